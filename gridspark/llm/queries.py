@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import mixing, packing, quality, secret_scan, simhash
-from gridspark.llm.common import table
+from gridspark.llm import curve_search, mixing, packing, quality, secret_scan, simhash, token_orc, url_filter
+from gridspark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +17,29 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Scratch(spark, "tokens").path("orc")
+    return token_orc.encode_to_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans"
     )
 
 
+def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", "trust", "distrust"
+    )
+
+
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -40,7 +57,10 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_length_buckets": op2_length_buckets,
+    "op3_token_orc": op3_token_orc,
     "op4_linked_secrets": op4_linked_secrets,
+    "op5_link_trust": op5_link_trust,
+    "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_quality_trees": op9_quality_trees,
     "op10_simhash_anchors": op10_simhash_anchors,
