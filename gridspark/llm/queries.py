@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import curve_search, mixing, packing, quality, secret_scan, simhash, token_orc, url_filter
+from gridspark.llm import curve_search, html_extract, mixing, packing, quality, secret_scan, simhash, token_orc, url_filter
 from gridspark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_orc": op3_token_orc,
     "op4_linked_secrets": op4_linked_secrets,
     "op5_link_trust": op5_link_trust,
+    "op6_cut_text": op6_cut_text,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_quality_trees": op9_quality_trees,
