@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -58,11 +59,17 @@ class Encoder:
         return [next(whole) if w is None else b"".join(map(ids, w)) for w in words]
 
 
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str) -> Encoder:
+    """One for each Python worker, so that what it remembers outlives a task."""
+    return Encoder(vocabulary)
+
+
 def encode(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     """(doc_id, text) to (doc_id, ids): the ids of each whole text, null as empty, and ``end_id`` behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             # few texts at a time, so that what is held grows with the longest text only
