@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import curve_search, html_extract, mixing, packing, quality, secret_scan, simhash, token_orc, url_filter
+from gridspark.llm import curve_search, html_extract, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_orc, url_filter
 from gridspark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_intervals": op1_suffix_intervals,
     "op2_length_buckets": op2_length_buckets,
     "op3_token_orc": op3_token_orc,
     "op4_linked_secrets": op4_linked_secrets,
