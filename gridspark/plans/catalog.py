@@ -1,66 +1,8 @@
-"""Registry of the named queries and of the SQL that states what each must return."""
+"""All named queries: importing the modules below registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gridspark.plans import aggregate_queries, clean_queries, form_queries, join_queries, scalar_queries, stream_queries  # noqa: F401
+from gridspark.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with its SQL where SQL can state it."""
-
-    def register(fn: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return register
-
-
-@query(
-    "prior_form_weekly",
-    """
-    WITH weekly AS (
-      SELECT o_custkey AS entity, CAST(date_trunc('week', o_orderdate) AS DATE) AS period,
-             SUM(l_extendedprice * (1 - l_discount)) AS value
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-    form AS (
-      SELECT *, AVG(value) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p
-      FROM weekly)
-    SELECT entity, period, ROUND(value, 4) AS value, ROUND(p, 4) AS prior3,
-           ROUND(p - AVG(p) OVER (PARTITION BY period), 4) AS prior3_vs_league
-    FROM form
-    """,
-)
-def prior_form_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of an entity's last three periods, and its distance from the period's league mean."""
-    weekly = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("entity"), F.date_trunc("week", "o_orderdate").cast("date").alias("period"))
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
-    )
-    own = Window.partitionBy("entity").orderBy("period").rowsBetween(-3, -1)
-    form = weekly.withColumn("p", F.avg("value").over(own))
-    return form.select(
-        "entity",
-        "period",
-        F.round("value", 4).alias("value"),
-        F.round("p", 4).alias("prior3"),
-        F.round(F.col("p") - F.avg("p").over(Window.partitionBy("period")), 4).alias("prior3_vs_league"),
-    )
+__all__ = ["ORACLES", "QUERIES"]
