@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import curve_search, html_extract, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_orc, url_filter
+from gridspark.llm import curve_search, html_extract, mixing, oracles, packing, quality, secret_scan, simhash, suffix_dedup, token_orc, url_filter
 from gridspark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,4 +76,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash_anchors": op10_simhash_anchors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_suffix_intervals": oracles.SUFFIX,
+    "op4_linked_secrets": oracles.SECRETS,
+}

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import Scratch
 
 _VALUE = r"[A-Za-z0-9+/_.=-]"
+#: A word boundary of ASCII words, which ``\b`` is only in some Java versions.
+_START, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _IS = r"""["']?\x20*[:=]\x20*["']?"""
 
 #: Fixed values of the contract: the base kinds, in the order in which they are listed.
@@ -25,12 +27,14 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
 #: Weak candidates, of which none is reported alone.
-IDENT = rf"(?i)\b(?:user(?:_?name|_?id)?|login|account|client_?id|(?:access_?)?key_?id){_IS}[A-Za-z0-9._@-]{{3,}}"
+IDENT = rf"(?i){_START}(?:user(?:_?name|_?id)?|login|account|client_?id|(?:access_?)?key_?id){_IS}[A-Za-z0-9._@-]{{3,}}"
 WEAK = (
-    rf"(?i:\b(?:pwd|pass|pass(?:phrase|code)|auth|credentials?|private_?key|access_?key|signature){_IS}{_VALUE}{{6,}})"
+    rf"(?i:{_START}(?:pwd|pass|pass(?:phrase|code)|auth|credentials?|private_?key|access_?key|signature){_IS}{_VALUE}{{6,}})"
     r"|[A-Za-z0-9+/_-]{24,}"
 )
-ENDPOINT = r"(?i)\b[a-z][a-z0-9+.-]{1,15}://[a-z0-9._~:@-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b"
+ENDPOINT = (
+    rf"(?i){_START}[a-z][a-z0-9+.-]{{1,15}}://[a-z0-9._~:@-]+|{_START}[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+:[0-9]{{2,5}}{_END}"
+)
 
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "weak": WEAK, "endpoint": ENDPOINT}
 BASE = ("assign", "access", "hex")
