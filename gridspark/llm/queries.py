@@ -79,4 +79,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_suffix_intervals": oracles.SUFFIX,
     "op4_linked_secrets": oracles.SECRETS,
+    "op8_entropy_mix": oracles.MIX,
 }
