@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from gridspark.plans import aggregate_queries, clean_queries, form_queries, join_queries, scalar_queries, stream_queries  # noqa: F401
+from gridspark.plans import (  # noqa: F401
+    aggregate_queries,
+    clean_queries,
+    football_queries,
+    form_queries,
+    join_queries,
+    scalar_queries,
+    stream_queries,
+)
 from gridspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
