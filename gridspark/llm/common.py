@@ -26,12 +26,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
+    """Tables written to the shared folder: they cut lineage and outlive a lost executor. They go when the session ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
+        folder, files = self._folder(self.root)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+
+    def _folder(self, path: str):
+        """The path and its file system, for Spark's own file access."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, label: str) -> str:
         self._next += 1
@@ -46,8 +54,8 @@ class Scratch:
         """Delete a table of this folder that nothing will read again."""
         for file in df.inputFiles()[:1]:
             if file.startswith(self.root) or self.root.split("://")[-1] in file:
-                folder = self.spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+                folder, files = self._folder(file.rsplit("/", 1)[0])
+                files.delete(folder, True)
 
 
 def text_bytes(column: str = "text") -> Column:

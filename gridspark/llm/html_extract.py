@@ -30,12 +30,15 @@ BLOCK = frozenset(
 NEVER = frozenset("head nav footer aside form button select menu dialog svg math object map datalist search".split())
 #: Words in a class, an id or a role that speak of something beside the article, and of the article.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|masthead|topbar|"
     r"footer|foot|copyright|sidebar\w*|side|aside|rail|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|"
     r"disqus|replies|reply|respond|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|toolbar|pagination|pager|subscribe|"
     r"newsletter|signup|login|search\w*|tags|skip|legal|disclaimer|contentinfo|navigation|complementary)(?=$|[\s_-])",
     re.I,
 )
+#: Words that speak so outside the article only: there they name the page's head, inside it the article's.
+HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|banner)(?=$|[\s_-])", re.I)
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies)(?=$|[\s_-])", re.I)
 WITHIN = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|maincontent|prose|text|body)(?=$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(>|\Z)", re.S)
@@ -104,10 +107,12 @@ class _Walk:
         self.count += 1
         up = self.opened[-1] if self.opened else _Open("", 0, False, False, False)
         named = " ".join(filter(None, (x for m in _NAMED.finditer(attributes) for x in m.groups()))) if attributes else ""
-        root = tag in ("html", "body", "article", "main")
+        root = tag in ("html", "body", "main")
         within = up.within or tag in ("article", "main") or bool(named and WITHIN.search(named) and tag != "body")
         never = up.never or tag in NEVER or (tag == "header" and not up.within)
-        beside = up.beside or bool(named and not root and BESIDE.search(named))
+        words = named if not root else ""
+        beside = up.beside or bool(words and (COMMENT if tag == "article" else BESIDE).search(words))
+        beside = beside or bool(words and tag != "article" and not up.within and HEAD.search(words))
         self.opened.append(_Open(tag, self.count, never, beside, within))
         self.links += tag == "a"
 

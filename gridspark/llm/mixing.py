@@ -17,6 +17,8 @@ from gridspark.llm.common import WORD, Scratch
 RATE_BITS = 24
 #: Documents in a rounding cell, about; larger groups of one source and size are split by a hash of doc_id.
 CELL_ROWS = 500_000
+#: Stands for a null doc_id as a key.
+_NULL_ID = -(1 << 63)
 
 
 def word_count(column: str = "text") -> Column:
@@ -112,7 +114,7 @@ def _rounded(rows: DataFrame, cells_of: int) -> DataFrame:
     placed = split.join(starts, ["k", "size", "shard"]).withColumn("run", run)
     extra = F.floor(F.col("run") / unit) - F.floor((F.col("run") - F.col("part")) / unit)
     return placed.withColumn("copies", (F.floor(F.col("q") / unit) + extra).cast("long")).select(
-        "row", "doc_id", "source", "k", "size", "target", "source_size", "rate", "copies"
+        "row", "doc_id", "hash", "source", "k", "size", "target", "source_size", "rate", "copies"
     )
 
 
@@ -137,10 +139,10 @@ def _nearer(rows: DataFrame, cap: float) -> DataFrame:
     )
 
 
-def _copies(docs: DataFrame, scratch: Scratch, cap: float, corrections: int, prior: Column | None, extra: list[str]) -> DataFrame:
+def _copies(docs: DataFrame, scratch: Scratch, cap: float, corrections: int, prior: Column | None) -> DataFrame:
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count().alias("size"),
-        (F.lit(1.0) if prior is None else prior).cast("double").alias("prior"), *extra,
+        (F.lit(1.0) if prior is None else prior).cast("double").alias("prior"), F.xxhash64("text").alias("hash"),
     )
     sizes = scratch.write(base, "sizes")
     targets = scratch.write(source_targets(sizes, cap), "targets")
@@ -171,7 +173,7 @@ def mix(docs: DataFrame, cap: float = 3.0, corrections: int = 3, prior: Column |
     and of equal rows it does not matter which gets a copy more. A source without words has target 0 and no
     copies. Other columns are not read; an empty table returns none. Copies never exceed ``cap``.
     """
-    rows = _copies(docs, Scratch(docs.sparkSession, "mixing"), cap, corrections, prior, [])
+    rows = _copies(docs, Scratch(docs.sparkSession, "mixing"), cap, corrections, prior)
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
@@ -181,18 +183,16 @@ def mix(docs: DataFrame, cap: float = 3.0, corrections: int = 3, prior: Column |
 def materialise(docs: DataFrame, cap: float = 3.0, corrections: int = 3) -> DataFrame:
     """``docs`` with each row repeated by its copies; rows with no copy are gone.
 
-    Rows are told apart by doc_id; of repeated rows of one doc_id the copies are joined by position in a fixed order.
+    The texts are shuffled once, by doc_id. Rows of one doc_id are told apart by source and a hash of the text; rows
+    that are equal in all three share out their copies in a fixed order.
     """
-    own = Window.partitionBy("doc_id")
-    copies = mix(docs, cap, corrections).withColumn("_at", F.row_number().over(own.orderBy("source", "size", "copies")))
-    copies = copies.filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), "_at", F.col("copies").alias("_copies")
-    )
-    order = [F.col("source"), word_count()] + [F.col(c) for c in docs.columns if c not in ("doc_id", "source")]
-    placed = docs.withColumn("_at", F.row_number().over(own.orderBy(*order)))
-    joined = placed.alias("d").join(
-        copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._at") == F.col("c._at"))
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[F.col(f"d.{c}").alias(c) for c in docs.columns]
+    order = [F.col("source"), F.col("hash"), F.col("copies")]
+    listed = (
+        _copies(docs, Scratch(docs.sparkSession, "mixing"), cap, corrections, None)
+        .groupBy(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_c_key"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["copies"]).alias("_copies"))
     )
+    own = Window.partitionBy("_key").orderBy("source", F.xxhash64("text"))
+    placed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("_at", F.row_number().over(own))
+    joined = placed.join(listed, F.col("_key") == F.col("_c_key")).withColumn("_n", F.element_at("_copies", F.col("_at")))
+    return joined.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)

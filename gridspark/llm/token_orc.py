@@ -8,22 +8,26 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: the pattern by which byte-level BPE vocabularies of this family cut a text.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from gridspark.llm.common import Scratch
+
+#: Letters and numbers among the characters of plain texts, U+0020 to U+024F.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: Fixed value: the pattern by which byte-level BPE vocabularies of this family cut a text, its classes spelled out for plain texts.
+PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 #: Texts with a character out of this range, where Unicode versions may differ, are encoded as they are.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
-#: Pretokens whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pretokens whose ids a worker remembers, about 200 bytes each; beyond, the older half is forgotten.
+REMEMBERED = 800_000
 
 
 class Encoder:
@@ -37,21 +41,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cut = regex.compile(PRETOKEN)
+        self.cut = re.compile(PRETOKEN)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [
-            np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not _PLAIN.search(t) and not self.special.search(t) for t in texts]
         words = [self.cut.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2, None))
         new = list(set(chain.from_iterable(w for w in words if w)).difference(self.known))
         self.known.update(zip(new, self._library(new), strict=True))
         whole = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
@@ -120,7 +124,7 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(*doc_ids))
 
 
-def digest(stored: DataFrame) -> DataFrame:
+def digest(stored: DataFrame, scratch: Scratch) -> DataFrame:
     """(shard, doc_id, ids) to (doc_id, start, n_tokens, ids_crc32), from the ids alone.
 
     ``start`` counts the ids of all documents before: a sum over shards (one row each) plus a running sum within the
@@ -139,6 +143,7 @@ def digest(stored: DataFrame) -> DataFrame:
             )
 
     rows = stored.select("shard", "doc_id", "ids").mapInArrow(check, "shard int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = scratch.write(rows, "digest")
     before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.groupBy(F.col("shard").alias("s")).agg(F.sum("n_tokens").alias("n"))
     starts = shards.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -158,4 +163,4 @@ def encode_to_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0)
     other columns are not read; an empty table gives an empty folder and no rows.
     """
     write(docs, path, vocabulary, end_id)
-    return digest(read(docs.sparkSession, path))
+    return digest(read(docs.sparkSession, path), Scratch(docs.sparkSession, "tokens"))

@@ -29,6 +29,8 @@ def test_article_alone_is_left():
         ("<article><p>x &amp", "x &"), ("<article><p>x &am", "x &am"), ("<article>x<script>y", "x"), ("<article>x<!-- y", "x"),
         ("<article>1 < 2 &#38; 3</article>", "1 < 2 & 3"), ("<ARTICLE><P CLASS=x>Ü&eacute;</P></ARTICLE>", "Üé"),
         ('<article><p>a<p class="ads">b<p>c</article>', "a\nc"), ("<article><header><h1>t</h1></header><p>x</article>", "t\nx"),
+        ('<article class="post"><div class="entry-header"><h1>t</h1></div><p>x</p></article><article class="comment-body"><p>c</p></article>', "t\nx"),
+        ('<div id="page-header">Site</div><div class="content"><p>x</p></div><div role="contentinfo">f</div>', "x"),
         ("<article><p><b>a.<br><p>b</p></article><footer>f</footer>", "a.\nb"),
     ],
 )

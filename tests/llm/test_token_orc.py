@@ -1,9 +1,11 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from gridspark.llm import token_orc as T
@@ -28,6 +30,23 @@ def texts():
     return out + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(300)]
 
 
+def test_spelled_out_classes():
+    """Every plain character, alone and between others, is cut as the Unicode classes cut it."""
+    full = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    cut = re.compile(T.PRETOKEN)
+    plain = [chr(c) for c in range(0x250) if not T._PLAIN.search(chr(c))]
+    for c in plain:
+        for text in (c, f"a{c}a", f"1{c}1", f" {c} {c}", f"!{c}!"):
+            assert cut.findall(text) == full.findall(text)
+
+
+def test_worker_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 5)
+    encoder, plain = T.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for text in (t for t in texts() if t):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(3 * i + 1, t) for i, t in enumerate(texts())]
     random.Random(1).shuffle(rows)
