@@ -81,30 +81,25 @@ def spread(
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = scratch.write(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "shares")
-    base = seeds.select("host", (F.col("seed") * (1 - keep)).alias("base"))
-    state = scratch.write(base.select("host", F.col("base").alias("score")), "score")
+    base = scratch.write(seeds.select("host", (F.col("seed") * (1 - keep)).alias("base")), "base")
+    state = scratch.write(base.select("host", F.col("base").alias("score"), F.lit(0.0).alias("old")), "score")
     if shares.isEmpty():
-        return state
+        return state.select("host", "score")
+    none = F.lit(0.0)
     for _ in range(rounds):
-        handed = (
-            shares.join(state, F.col("src") == F.col("host"))
-            .groupBy(F.col("dst").alias("to"))
-            .agg((F.sum(F.col("score") * F.col("w")) * keep).alias("got"))
+        handed = shares.join(state, F.col("src") == F.col("host")).select(
+            F.col("dst").alias("host"), (F.col("score") * F.col("w") * keep).alias("got"), none.alias("old")
         )
-        new = handed.join(base, F.col("to") == F.col("host"), "full").select(
-            F.coalesce("to", "host").alias("host"),
-            (F.coalesce("got", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("score"),
+        parts = handed.unionByName(base.select("host", F.col("base").alias("got"), none.alias("old"))).unionByName(
+            state.select("host", none.alias("got"), F.col("score").alias("old"))
         )
+        new = parts.groupBy("host").agg(F.sum("got").alias("score"), F.sum("old").alias("old"))
         before, state = state, scratch.write(new, "score")
-        moved = (
-            state.join(before.select("host", F.col("score").alias("old")), "host", "left")
-            .agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))))
-            .first()[0]
-        )
+        moved = state.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
         scratch.drop(before)
         if moved is None or moved <= tolerance:
             break
-    return state
+    return state.select("host", "score")
 
 
 def judge(
