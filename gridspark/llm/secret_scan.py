@@ -120,15 +120,17 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return seen.filter(~F.col("covered") & enough).select("key", "kind", "start", "end")
 
 
-def _spans(docs: DataFrame, scratch: Scratch, scope: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, and (key, kind, start, end) of every reported span; equal texts share a key."""
+def _marked(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of every row, with the key of its text (equal texts share one) and the hits of each pattern that matches."""
     hits = F.filter(F.array(*[_hits(k) for k in KINDS]), lambda h: h.isNotNull())
-    rows = docs.select(F.col("doc_id"), F.md5(F.encode(_text(), "UTF-8")).alias("key"), hits.alias("hits"))
-    found = scratch.write(rows, "hits")
-    texts = found.filter(F.size("hits") > 0).dropDuplicates(["key"])
+    return docs.select(*columns, F.md5(F.encode(_text(), "UTF-8")).alias("key"), hits.alias("hits"))
+
+
+def _spans(found: DataFrame, scratch: Scratch, scope: int) -> DataFrame:
+    """(key, kind, start, end) of every reported span, from rows with key and hits."""
+    texts = found.select("key", "hits").filter(F.size("hits") > 0).dropDuplicates(["key"])
     parts = scratch.write(_place(texts), "parts")
-    spans = parts.filter(F.col("kind").isin(*BASE)).union(_linked(parts, scope))
-    return found.select("doc_id", "key"), spans
+    return parts.filter(F.col("kind").isin(*BASE)).union(_linked(parts, scope))
 
 
 def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
@@ -138,7 +140,9 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     complement. A null text counts as empty and has no spans; null doc_ids and repeated rows keep their rows; other
     columns are not read; an empty table returns none.
     """
-    rows, spans = _spans(docs, Scratch(docs.sparkSession, "secrets"), scope)
+    scratch = Scratch(docs.sparkSession, "secrets")
+    rows = scratch.write(_marked(docs, F.col("doc_id")), "hits")
+    spans = _spans(rows, scratch, scope)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     label = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     listed = spans.withColumn("s", F.struct("start", order.alias("o"), label.alias("label")))
@@ -149,7 +153,7 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
         join(F.collect_list(F.when(base, F.col("s")))).alias("base_spans"),
         join(F.collect_list("s")).alias("spans"),
     )
-    return rows.join(by_text, "key", "left").select(
+    return rows.drop("hits").join(by_text, "key", "left").select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")],
@@ -159,11 +163,12 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; n_chars, if there, counts the new text.
 
-    Only texts with a match of some pattern are shuffled; the others pass by.
+    The patterns go over the texts once; only texts with a match of some pattern are shuffled, the others pass by.
     """
-    matched = reduce(Column.__or__, [F.rlike(_text(), F.lit(p)) for p in KINDS.values()])
-    suspects, clean = docs.filter(matched), docs.filter(~matched)
-    _, spans = _spans(suspects, Scratch(docs.sparkSession, "redact"), scope)
+    scratch = Scratch(docs.sparkSession, "redact")
+    found = scratch.write(_marked(docs, F.struct(*docs.columns).alias("d")), "hits")
+    suspects, clean = found.filter(F.size("hits") > 0), found.filter(F.size("hits") == 0).select("d.*")
+    spans = _spans(found, scratch, scope)
     so_far = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     #: A span that starts after every earlier end opens a new run of overlapping spans.
     opened = spans.withColumn("new", F.when(F.col("start") > F.max("end").over(so_far), 1).otherwise(0))
@@ -181,7 +186,7 @@ def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFra
     )
     rebuilt = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark)
     named = cuts.withColumnRenamed("key", "_key")
-    cleaned = suspects.withColumn("_k", F.md5(F.encode(_text(), "UTF-8"))).join(named, F.col("_k") == F.col("_key"), "left")
+    cleaned = suspects.select("d", "key").join(named, F.col("key") == F.col("_key"), "left").select("d.*", "_cuts")
     text = F.when(F.col("_cuts").isNotNull(), rebuilt).otherwise(F.col("text"))
     cleaned = cleaned.withColumn("_text", text)
     values = {c: F.col(c) for c in docs.columns} | {"text": F.col("_text")}
