@@ -78,7 +78,7 @@ def drawdown(df: DataFrame, value: str, keys: list[str], order: list[str]) -> Da
 
 def compound(df: DataFrame, growth: Column, keys: list[str], order: list[str], start: float, out: str) -> DataFrame:
     """Bankroll after each row where every stake is a share of it: start × the product of (1 + growth)."""
-    total = F.sum(F.log1p(growth)).over(ordered(keys, order).rowsBetween(ALL, 0))
+    total = F.sum(F.log(1 + growth)).over(ordered(keys, order).rowsBetween(ALL, 0))
     return df.withColumn(out, start * F.exp(total))
 
 
