@@ -85,3 +85,21 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], shards: int
     return ranked.withColumn(out, (F.col("_before") + F.col("_own")).cast("long")).drop(
         "_shard", "_own", "_before", "_k_shard", *[f"_k_{k}" for k in keys]
     )
+
+
+def keep_heads(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``docs`` with one row left of each label; ``labelled`` holds (doc_id, hash of the text, label) of every row.
+
+    The smallest doc_id stays, null last; then the smallest hash. Of rows equal in both, the other columns decide.
+    """
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("h_id"), F.col("hash").alias("h_hash")))
+    heads = labelled.groupBy("label").agg(head.alias("x")).select("x.h_id", "x.h_hash")
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy("_id", "_hash").orderBy(*(rest or [F.col("_hash")]))
+    return (
+        rows.join(heads, F.col("_id").eqNullSafe(F.col("h_id")) & (F.col("_hash") == F.col("h_hash")), "left_semi")
+        .withColumn("_row", F.row_number().over(one))
+        .filter("_row = 1")
+        .select(*docs.columns)
+    )

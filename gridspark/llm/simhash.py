@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Scratch, text_bytes
+from gridspark.llm.common import Scratch, keep_heads, text_bytes
 from gridspark.llm.components import connected_components
 
 #: (first bit, bits) of the three parts; the low CODE_BITS of each carry the Hamming code.
@@ -51,17 +51,18 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, hash, fp) of every row; hash is of the text, fp holds the 64 bits as a signed long."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), width) for t in batch.column("t")]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [batch.column("doc_id"), batch.column("hash"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))],
+                ["doc_id", "hash", "fp"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(
-        encode, "doc_id long, fp long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), text_bytes().alias("t")).mapInArrow(
+        encode, "doc_id long, hash long, fp long"
     )
 
 
@@ -179,6 +180,15 @@ def links(prints: DataFrame, scratch: Scratch, threshold: int = 4) -> DataFrame:
     return pairs.union(blocks).distinct()
 
 
+def _labelled(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, fp) of every row, and (fp, first, label) of every fingerprint."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.write(fingerprints(docs, width), "prints")
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    labels = connected_components(links(classes.select("fp"), scratch, threshold), scratch)
+    return rows, classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id, n_links (fingerprint classes linked in the forest).
 
@@ -186,13 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> Data
     and take the component of their fingerprint; component_id is the smallest doc_id that is not null. Repeated
     rows return repeated rows; other columns, whatever their names, are not read. An empty table returns none.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.write(fingerprints(docs, width), "prints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = connected_components(links(classes.select("fp"), scratch, threshold), scratch)
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "label", F.coalesce("label", "fp")
-    )
+    rows, labelled = _labelled(docs, width, threshold)
     heads = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows.join(labelled.join(heads, "label").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id"
@@ -200,13 +204,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> Data
 
 
 def deduplicate(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
-    """``docs`` with one row left of each group: the smallest doc_id; of its repeated rows, one."""
-    kept = near_duplicates(docs, width, threshold).filter(F.col("doc_id") == F.col("component_id"))
-    ids = kept.select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return (
-        docs.join(ids, "doc_id", "left_semi")
-        .withColumn("_row", F.row_number().over(one))
-        .filter("_row = 1")
-        .select(*docs.columns)
-    )
+    """``docs`` with one row left of each group: the smallest doc_id, null last; then the text hash and the other columns decide.
+
+    Rows are judged by their own texts: a null doc_id that nothing resembles stays, and so do different texts under one doc_id.
+    """
+    rows, labelled = _labelled(docs, width, threshold)
+    return keep_heads(docs, rows.join(labelled.select("fp", "label"), "fp"))
