@@ -183,16 +183,18 @@ def mix(docs: DataFrame, cap: float = 3.0, corrections: int = 3, prior: Column |
 def materialise(docs: DataFrame, cap: float = 3.0, corrections: int = 3) -> DataFrame:
     """``docs`` with each row repeated by its copies; rows with no copy are gone.
 
-    The texts are shuffled once, by doc_id. Rows of one doc_id are told apart by source and a hash of the text; rows
+    The texts are shuffled once, by doc_id, source and a hash of the text; so rows of one doc_id, or of none, spread over the tasks. Rows
     that are equal in all three share out their copies in a fixed order.
     """
-    order = [F.col("source"), F.col("hash"), F.col("copies")]
+    keys = ["_key", "_source", "_hash"]
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     listed = (
         _copies(docs, Scratch(docs.sparkSession, "mixing"), cap, corrections, None)
-        .groupBy(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_c_key"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["copies"]).alias("_copies"))
+        .groupBy(doc_id.alias("_key"), F.col("k").alias("_source"), F.col("hash").alias("_hash"))
+        .agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
     )
-    own = Window.partitionBy("_key").orderBy("source", F.xxhash64("text"))
-    placed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("_at", F.row_number().over(own))
-    joined = placed.join(listed, F.col("_key") == F.col("_c_key")).withColumn("_n", F.element_at("_copies", F.col("_at")))
+    own = Window.partitionBy(*keys).orderBy(*keys)
+    placed = docs.withColumns({"_key": doc_id, "_source": source, "_hash": F.xxhash64("text")}).withColumn("_at", F.row_number().over(own))
+    joined = placed.join(listed, keys).withColumn("_n", F.element_at("_copies", F.col("_at")))
     return joined.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
