@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import mixing, packing, quality, secret_scan, simhash
+from gridspark.llm import jaccard, mixing, packing, quality, secret_scan
 from gridspark.llm.common import Scratch, table
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document stays of each group that five-word shingles connect at a Jaccard similarity of 0.8: the one with the smallest id."""
+    return jaccard.deduplicate(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
