@@ -1,7 +1,9 @@
 """URL verdicts: rules first, and for all other pages trust and distrust that spread over the links between hosts.
 
 Trust spreads from hosts that rules allow along links; distrust spreads from hosts that rules block against the
-links, to those that link to them. Both are personalised PageRanks, computed by Spark joins over host edges.
+links, to those that link to them. A host takes the mean of what its links bring, damped at each step: the chance that a
+damped walk from it ends at a seed, times (1 − keep). So neither the size of the table nor the number of hosts that link to the
+same seed moves a verdict. Both are computed by Spark joins over host edges.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ RULES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: A link with a host of its own, with or without a scheme.
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -64,23 +67,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
         F.col("host").alias("src"),
         F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to"),
     )
-    pairs = links.select("src", host_of(F.col("to")).alias("dst")).filter(
+    to = F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), F.col("to"))).otherwise(F.col("to"))
+    pairs = links.select("src", host_of(to).alias("dst")).filter(
         (F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))
     )
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def spread(
-    edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, rounds: int = 30, tolerance: float = 1e-4
+    edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, rounds: int = 30, tolerance: float = 1e-4,
+    share_of: str = "src",
 ) -> DataFrame:
     """Personalised PageRank: edges (src, dst, n) and seeds (host, seed) to (host, score).
 
     score = (1 − keep) × seed + keep × what the linking hosts hand on, in proportion to their links; so the score
-    of a seed that nothing links to is (1 − keep). Rounds end when no score moves by more than ``tolerance``; each is
+    of a seed that nothing links to is (1 − keep). With ``share_of`` "dst" a host takes the mean over its own links
+    instead, so a score does not fall with the number of hosts that share its source. Rounds end when no score moves by more than ``tolerance``; each is
     written to the shared folder.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = scratch.write(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "shares")
+    out = edges.groupBy(share_of).agg(F.sum("n").alias("all"))
+    shares = scratch.write(edges.join(out, share_of).select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "shares")
     base = scratch.write(seeds.select("host", (F.col("seed") * (1 - keep)).alias("base")), "base")
     state = scratch.write(base.select("host", F.col("base").alias("score"), F.lit(0.0).alias("old")), "score")
     if shares.isEmpty():
@@ -124,8 +130,8 @@ def judge(
     seeds = per.filter(F.col("good") + F.col("bad") > least_share * F.col("n"))
     trusted = seeds.filter(F.col("good") > F.col("bad")).select("host", (F.col("good") / F.col("n")).alias("seed"))
     blocked = seeds.filter(F.col("good") <= F.col("bad")).select("host", (F.col("bad") / F.col("n")).alias("seed"))
-    trust = spread(edges, trusted, scratch)
-    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), blocked, scratch)
+    trust = spread(edges, trusted, scratch, share_of="dst")
+    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), blocked, scratch, share_of="dst")
     hosts = trust.select("host", F.col("score").alias("trust")).join(
         distrust.select("host", F.col("score").alias("distrust")), "host", "full"
     )
