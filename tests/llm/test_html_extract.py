@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from gridspark.llm import html_extract as H
@@ -78,3 +80,56 @@ def test_edges(spark):
     got = sorted((str(r.page_id), r.n_chars) for r in H.extract(df).collect())
     assert got == [("1", 0), ("1", 0), ("2", 39_999), ("None", 1), ("None", 1)]
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _fragments(rng, words, low, high):
+    """Words dealt out to blocks of some length; now and then a full stop ends one, and a link holds one."""
+    while words:
+        n = rng.randint(low, high)
+        part, words = " ".join(words[:n]), words[n:]
+        yield rng.choice((part, part, part + ".", f'<a href="/x">{part}</a>'))
+
+
+def _mixed_page(rng, page, named):
+    """The page's own words as short blocks: some make an article, others stand around it; ``named`` says which."""
+    words = re.sub(r"<[^>]*>|\W+", " ", page).split()[:400]
+    parts = [words[:60], words[60:330], words[330:]]
+    tags = (("nav", ""), ("article", ""), ("div", ' class="ad"')) if named else (("div", ""),) * 3
+    out = []
+    for (tag, name), part, most in zip(tags, parts, (8, 25, 8), strict=True):
+        out.append(f"<{tag}{name}>" + "".join(f"<p>{x}</p>" for x in _fragments(rng, part, 1, most)) + f"</{tag}>")
+    return f"<html><body>{''.join(out)}</body></html>"
+
+
+def test_cut_decides_where_names_say_nothing():
+    """Fitted on named pages, tried on others without names: the cut changes labels, and for the better."""
+    rng = random.Random(3)
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    known = [(H.inputs(b), H.known_label(b)) for h in rows[::2] for b in H.blocks(_mixed_page(rng, h, True))]
+    weights = H.fit(np.array([x for x, _ in known]), np.array([y for _, y in known]))
+    flips, right, of = 0, {"names": [], "classifier": [], "cut": []}, []
+    for h in rows[1::2]:
+        seed = rng.random()
+        truth = H.blocks(_mixed_page(random.Random(seed), h, True))
+        row = H.blocks(_mixed_page(random.Random(seed), h, False))
+        ends = [H.costs(b, weights) for b in row]
+        cut, alone = H.minimum_cut(ends, H.smoothness(row)), [k > d for k, d in ends]
+        flips += sum(a != b for a, b in zip(cut, alone, strict=True))
+        right["names"] += [b.within and not b.beside and not b.never for b in row]
+        right["classifier"] += alone
+        right["cut"] += cut
+        of += [H.known_label(b) == 1 for b in truth]
+
+    def f1(found):
+        return 2 * sum(a and b for a, b in zip(found, of, strict=True)) / (sum(found) + sum(of))
+
+    scores = {k: f1(v) for k, v in right.items()}
+    print(len(of), flips, scores)
+    assert flips > 100 and scores["cut"] > scores["classifier"] + 0.02 and scores["classifier"] > scores["names"], (flips, scores)
+
+
+def test_fit_keeps_the_prior_without_rows():
+    prior = np.array(list(H.PRIOR.values()))
+    assert (H.fit(np.zeros((0, len(prior))), np.zeros(0)) == prior).all()
+    seen = H.fit(np.eye(len(prior))[:1].repeat(50, axis=0), np.ones(50))
+    assert seen[0] > prior[0] and (seen[1:] == prior[1:]).all()
