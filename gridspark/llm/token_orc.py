@@ -6,6 +6,7 @@ stripes and row groups, and stripes are read in parallel.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -20,47 +21,78 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import Scratch
 
-#: Letters and numbers among the characters of plain texts, U+0020 to U+024F.
-_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-#: Fixed value: the pattern by which byte-level BPE vocabularies of this family cut a text, its classes spelled out for plain texts.
-PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
-#: Texts with a character out of this range, where Unicode versions may differ, are encoded as they are.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
-#: Pretokens whose ids a worker remembers, about 200 bytes each; beyond, the older half is forgotten.
-REMEMBERED = 800_000
+#: Chunks whose ids a worker remembers, about 200 bytes each, and their greatest length; beyond, the older half is forgotten.
+REMEMBERED, CHUNK_CHARS = 600_000, 64
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 256 << 20
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, by the tokenizers library.
+    """Ids of whole texts as little-endian 32-bit bytes, all by the tokenizers library.
 
-    A byte-level BPE merges within pretokens only; so each distinct pretoken is encoded once and remembered. Texts that
-    hold an added token's string, or unusual characters, go to the library whole.
+    Byte-level BPE with its own pattern never joins what stands on both sides of a single space between two visible
+    characters, and gives the space to what follows. There, and only for tokenizers of that make, a text is cut; chunks
+    met before are remembered, and the new ones of a batch go to the library as one text, whose ids are cut again at the
+    tokens that begin with a space. Texts with other white space around a space, or with an added token's string, and all texts
+    of other tokenizers, go to the library as they are.
     """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cut = re.compile(PRETOKEN)
+        made = json.loads(self.tokenizer.to_str())
+        cutter, model = made["pre_tokenizer"] or {}, made["model"]
+        plain = (made["normalizer"], made["post_processor"], made["truncation"], made["padding"], model.get("dropout")) == (None,) * 5
+        byte_level = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+        self.cuts = bool(plain and byte_level and model["type"] == "BPE")
+        names = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        #: Of a chunk met before: its ids, or None where its edges are no place to cut.
+        self.known: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [
-            array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _behind_space(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with a space before it."""
+        ids = np.frombuffer(b"".join(self._library(["".join([" " + c for c in chunks])])), "<u4")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(chunks):
+            return self._library([" " + c for c in chunks])
+        ends = np.append(starts[1:], len(ids))
+        return [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not _PLAIN.search(t) and not self.special.search(t) for t in texts]
-        words = [self.cut.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        if not self.cuts:
+            return self._library(texts)
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2, None))
-        new = list(set(chain.from_iterable(w for w in words if w)).difference(self.known))
-        self.known.update(zip(new, self._library(new), strict=True))
-        whole = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        cut = [t.split(" ") for t in texts]
+        new = list(set(chain.from_iterable(c[1:] for c in cut)).difference(self.known))
+        visible = [_visible(c) for c in new]
+        good = [c for c, v in zip(new, visible, strict=True) if v]
+        self.known.update(dict.fromkeys(c for c, v in zip(new, visible, strict=True) if not v))
+        self.known.update(zip(good, self._behind_space(good) if good else (), strict=True))
         ids = self.known.__getitem__
-        return [next(whole) if w is None else b"".join(map(ids, w)) for w in words]
+        found: list[bytes | None] = []
+        for text, chunks in zip(texts, cut, strict=True):
+            rest = list(map(ids, chunks[1:]))
+            safe = len(chunks) == 1 or (_visible(chunks[0]) and None not in rest)
+            found.append(b"".join(rest) if safe and not self.special.search(text) else None)
+        alone = [t if f is None else c[0] for t, f, c in zip(texts, found, cut, strict=True)]
+        for chunk in new:
+            if len(chunk) > CHUNK_CHARS:
+                del self.known[chunk]
+        return [a + (f or b"") for a, f in zip(self._library(alone), found, strict=True)]
+
+
+def _visible(chunk: str) -> bool:
+    """Whether the first and the last character are there and neither white space nor a format or control character."""
+    return bool(chunk) and chunk[0].isprintable() and chunk[-1].isprintable() and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
 @lru_cache(maxsize=2)
@@ -97,18 +129,20 @@ def write(
 ) -> None:
     """Encode and write ``docs`` as ORC in ascending doc_id order (null first), shard after shard.
 
-    Rows: shard int, doc_id long, ids array<int>. Without ``shards`` the session's shuffle partitions count.
+    Rows: shard int, doc_id long, ids array<int>. Without ``shards`` there are as many as the texts have SHARD_BYTES, and at
+    least one for each core. Rows of one doc_id, or of none, are in the order of a hash of their texts; so many of them
+    are no burden to one shard.
     """
-    count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(count, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not shards:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     (
         encode(ordered, vocabulary, end_id)
         .select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
-        .write.option("compression", "zstd")
+        .write.option("compression", "lz4")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")

@@ -1,11 +1,9 @@
 import random
-import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 from tokenizers import Tokenizer
 
 from gridspark.llm import token_orc as T
@@ -30,14 +28,17 @@ def texts():
     return out + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(300)]
 
 
-def test_spelled_out_classes():
-    """Every plain character, alone and between others, is cut as the Unicode classes cut it."""
-    full = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    cut = re.compile(T.PRETOKEN)
-    plain = [chr(c) for c in range(0x250) if not T._PLAIN.search(chr(c))]
-    for c in plain:
-        for text in (c, f"a{c}a", f"1{c}1", f" {c} {c}", f"!{c}!"):
-            assert cut.findall(text) == full.findall(text)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_library_s(name):
+    """Texts of odd white space, format characters and added tokens, by two tokenizers of different make."""
+    encoder, rng = T.Encoder(public_tokenizers.path(name)), random.Random(1)
+    assert encoder.cuts == (name == "byte_bpe_50k.json")
+    bits = [*"ab'sé 1,.  \n\t ᠎​\x1c\x85Ġ日", "<|endoftext|>", "'ll", " x", " y", " word"]
+    odd = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    for lo in range(0, len(odd), 97):
+        part = odd[lo : lo + 97]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert encoder.encode(part) == want
 
 
 def test_worker_forgets_and_stays_right(monkeypatch):
