@@ -17,16 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) one is made and set."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a session on one machine (tests) gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive a lost executor. They go when the session ends."""
+    """Tables written to the shared folder: they cut lineage and outlive a lost executor. They go when the driver ends in good order."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -87,19 +89,36 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], shards: int
     )
 
 
+def as_struct(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one struct ``d``, so that no name of theirs can clash with one of an operator's."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("d"))
+
+
+def quoted(name: str, of: str | None = None) -> Column:
+    """A column by its name, whatever characters that holds; ``of``: a field of that struct."""
+    return F.col((f"{of}." if of else "") + "`" + name.replace("`", "``") + "`")
+
+
+def from_struct(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the struct ``d`` again, some of them ``changed``."""
+    return rows.select(*[(changed[c] if c in changed else quoted(c, "d")).alias(c) for c in columns])
+
+
 def keep_heads(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``docs`` with one row left of each label; ``labelled`` holds (doc_id, hash of the text, label) of every row.
 
-    The smallest doc_id stays, null last; then the smallest hash. Of rows equal in both, the other columns decide.
+    The smallest doc_id stays, null last; then the smallest hash. Of rows equal in both, the other columns decide, as JSON.
     """
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("h_id"), F.col("hash").alias("h_hash")))
     heads = labelled.groupBy("label").agg(head.alias("x")).select("x.h_id", "x.h_hash")
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    one = Window.partitionBy("_id", "_hash").orderBy(*(rest or [F.col("_hash")]))
-    return (
-        rows.join(heads, F.col("_id").eqNullSafe(F.col("h_id")) & (F.col("_hash") == F.col("h_hash")), "left_semi")
-        .withColumn("_row", F.row_number().over(one))
-        .filter("_row = 1")
-        .select(*docs.columns)
+    rows = as_struct(docs).select(
+        "d", F.col("d.doc_id").cast("long").alias("id"), F.xxhash64("d.text").alias("hash")
+    )
+    rest = [quoted(c, "d") for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy("id", "hash").orderBy(F.to_json(F.struct(*rest)) if rest else F.col("hash"))
+    kept = (
+        rows.join(heads, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("hash") == F.col("h_hash")), "left_semi")
+        .withColumn("row", F.row_number().over(one))
+        .filter("row = 1")
     )
+    return from_struct(kept, docs.columns)

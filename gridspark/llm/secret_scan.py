@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Scratch
+from gridspark.llm.common import Scratch, as_struct, from_struct
 
 _VALUE = r"[A-Za-z0-9+/_.=-]"
 #: A word boundary of ASCII words, which ``\b`` is only in some Java versions.
@@ -32,8 +32,9 @@ WEAK = (
     rf"(?i:{_START}(?:pwd|pass|pass(?:phrase|code)|auth|credentials?|private_?key|access_?key|signature){_IS}{_VALUE}{{6,}})"
     r"|[A-Za-z0-9+/_-]{24,}"
 )
+#: A host has 63 characters before its first dot at most and 189 behind; so no place of a text is looked at more than some hundred times.
 ENDPOINT = (
-    rf"(?i){_START}[a-z][a-z0-9+.-]{{1,15}}://[a-z0-9._~:@-]+|{_START}[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+:[0-9]{{2,5}}{_END}"
+    rf"(?i){_START}[a-z][a-z0-9+.-]{{1,15}}://[a-z0-9._~:@-]+|{_START}[a-z0-9][a-z0-9-]{{0,62}}\.[a-z0-9.-]{{1,189}}:[0-9]{{2,5}}{_END}"
 )
 
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "weak": WEAK, "endpoint": ENDPOINT}
@@ -166,31 +167,26 @@ def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFra
     The patterns go over the texts once; only texts with a match of some pattern are shuffled, the others pass by.
     """
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.write(_marked(docs, F.struct(*docs.columns).alias("d")), "hits")
-    suspects, clean = found.filter(F.size("hits") > 0), found.filter(F.size("hits") == 0).select("d.*")
+    rows = as_struct(docs)
+    found = scratch.write(_marked(rows.withColumn("text", F.col("d.text")), F.col("d")), "hits")
+    suspects, clean = found.filter(F.size("hits") > 0), from_struct(found.filter(F.size("hits") == 0), docs.columns)
     spans = _spans(found, scratch, scope)
     so_far = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     #: A span that starts after every earlier end opens a new run of overlapping spans.
     opened = spans.withColumn("new", F.when(F.col("start") > F.max("end").over(so_far), 1).otherwise(0))
     run = F.sum("new").over(Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
     runs = opened.withColumn("run", run).groupBy("key", "run").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    cuts = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts"))
-    n = F.size("_cuts")
-    piece = lambda i: F.substring(
-        F.col("text"),
-        (F.when(i == 0, 0).otherwise(F.col("_cuts")[F.greatest(i - 1, F.lit(0))]["e"]) + 1).cast("int"),
-        (
-            F.when(i == n, F.length("text")).otherwise(F.col("_cuts")[F.least(i, n - 1)]["s"])
-            - F.when(i == 0, 0).otherwise(F.col("_cuts")[F.greatest(i - 1, F.lit(0))]["e"])
-        ).cast("int"),
-    )
+    cuts = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("cuts"))
+    n, text = F.size("cuts"), F.col("d.text")
+    after = lambda i: F.when(i == 0, 0).otherwise(F.col("cuts")[F.greatest(i - 1, F.lit(0))]["e"])
+    before = lambda i: F.when(i == n, F.length(text)).otherwise(F.col("cuts")[F.least(i, n - 1)]["s"])
+    piece = lambda i: F.substring(text, (after(i) + 1).cast("int"), (before(i) - after(i)).cast("int"))
     rebuilt = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark)
-    named = cuts.withColumnRenamed("key", "_key")
-    cleaned = suspects.select("d", "key").join(named, F.col("key") == F.col("_key"), "left").select("d.*", "_cuts")
-    text = F.when(F.col("_cuts").isNotNull(), rebuilt).otherwise(F.col("text"))
-    cleaned = cleaned.withColumn("_text", text)
-    values = {c: F.col(c) for c in docs.columns} | {"text": F.col("_text")}
-    if "n_chars" in values:
-        values["n_chars"] = F.when(F.col("_cuts").isNotNull(), F.length("_text")).otherwise(F.col("n_chars"))
-        values["n_chars"] = values["n_chars"].cast(docs.schema["n_chars"].dataType)
-    return cleaned.select(*[v.alias(c) for c, v in values.items()]).union(clean)
+    named = cuts.withColumnRenamed("key", "of_key")
+    cleaned = suspects.select("d", "key").join(named, F.col("key") == F.col("of_key"), "left")
+    cleaned = cleaned.select("d", F.col("cuts").isNotNull().alias("cut"), F.when(F.col("cuts").isNotNull(), rebuilt).otherwise(text).alias("new"))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        count = F.when(F.col("cut"), F.length("new")).otherwise(F.col("d.n_chars"))
+        changed["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
+    return from_struct(cleaned, docs.columns, **changed).union(clean)

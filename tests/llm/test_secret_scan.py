@@ -77,3 +77,14 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.scan(docs).count() == 0 and S.redact(docs).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_long_dotted_text_and_clashing_names(spark):
+    """A megabyte of labels neither overflows a stack nor takes long; columns named like the operator's own keep their values."""
+    dotted = "a" + ".a" * 500_000
+    text = "user = alice pwd = hunter22"
+    docs = spark.createDataFrame([(1, dotted, 5, 6, 7), (2, dotted[:2001] + ":8080 " + text, 5, 6, 7), (3, "a-" * 200_000, 5, 6, 7)], "doc_id long, text string, _text long, _cuts long, d long")
+    assert {r.doc_id: r.spans.count("endpoint") for r in S.scan(docs).collect()} == {1: 0, 2: 1, 3: 0}
+    got = {r.doc_id: r for r in S.redact(docs).collect()}
+    assert all((r._text, r._cuts, r.d) == (5, 6, 7) for r in got.values())
+    assert got[1].text == dotted and got[2].text.endswith(" [SECRET] [SECRET]")
