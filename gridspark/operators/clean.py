@@ -33,10 +33,13 @@ def replace_partitions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """One row: count and a hash of the rows that depends on neither their order nor that of the columns."""
-    names = sorted(df.columns)
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("hash"))
+    """One row: count and a hash of the rows that depends on neither their order nor that of the columns.
+
+    Names, types and nulls count: 1 differs from "1", and a null from any text.
+    """
+    kinds = dict(df.dtypes)
+    parts = [x for c in sorted(df.columns) for x in (F.lit(f"{c}:{kinds[c]}"), F.col(c).isNull(), F.col(c))]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).cast("string").alias("hash"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

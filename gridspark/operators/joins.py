@@ -22,42 +22,85 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, e
     return looking.join(named, [*keys, "_slice"]).withColumn(span, gap / 86_400).filter((gap >= 0) & (gap <= size)).drop("_slice")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, event: str, values: list[str], strict: bool = False) -> DataFrame:
-    """Left rows with the ``values`` of the key's last right row at or (``strict``) before them.
+def _instant(c: str) -> Column:
+    """A time as microseconds."""
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
-    Both sides are put in one order and the last right row is carried along, so a key's rows are never paired.
-    Right values that are null are carried as null.
-    """
-    carried = F.struct(F.col(event).alias("_at"), *values)
-    a = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"))
-    b = right.select(F.col(key).alias("_k"), F.col(event).alias("_t"), F.lit(1 if strict else 0).alias("_side"), carried.alias("_r"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_seen", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
-    return seen.select("_l.*", F.col("_seen._at").alias(f"{event}_asof"), *[F.col(f"_seen.{v}").alias(v) for v in values])
 
+def _carry(left: DataFrame, right: DataFrame, keys: list[str], at: Column, event: Column, strict: bool, tie: list[Column], slice_us: int) -> DataFrame:
+    """(l, r): left rows as structs, each with its keys' last right row at or (``strict``) before ``at``; of equal times the first by ``tie``.
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], distance: Column, tie: list[Column]) -> DataFrame:
-    """For each left row (``row`` is its identity) the right row of its keys at the least distance."""
-    joined = left.join(right, keys).withColumn("distance", distance)
-    w = Window.partitionBy(*row).orderBy("distance", *tie)
-    return joined.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    Each key's time is cut into slices. Inside a slice both sides are put in one order and the last right row is carried along; the
+    last row of each slice is carried over to the next by a window over the slices. So no task sorts more than a slice of a
+    key, and no rows are paired.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    order = F.struct(*tie) if tie else F.lit(0)
+    a = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], at.alias("t"), F.lit(0 if strict else 1).alias("side"), F.struct(*left.columns).alias("l"))
+    b = right.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], event.alias("t"), F.lit(1 if strict else 0).alias("side"), F.struct(*right.columns).alias("r"), order.alias("tie")
+    ).filter("t is not null")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("slice", F.floor(F.col("t") / slice_us))
+    w = Window.partitionBy(*names, "slice").orderBy("t", "side", F.desc("tie"))
+    seen = both.withColumn("own", F.last("r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(w))
+    ends = seen.groupBy(*names, "slice").agg(F.max_by("own", "n").alias("end"))
+    before = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(n).alias(f"e{n}") for n in names], F.col("slice").alias("e_slice"), F.last("end", ignorenulls=True).over(before).alias("before"))
+    carried = carried.filter(F.col("before").isNotNull()).repartition(*[f"e{n}" for n in names], "e_slice")
+    same = F.col("slice") == F.col("e_slice")
+    for n in names:
+        same = same & (F.col(n) == F.col(f"e{n}"))
+    return seen.filter(F.col("l").isNotNull()).join(carried, same, "left").select("l", F.coalesce("own", "before").alias("r"))
+
+
+#: A week in microseconds.
+WEEK = 7 * 86_400 * 1_000_000
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, key: str, at: str, event: str, values: list[str], strict: bool = False, tie: list[Column] | None = None, slice_us: int = WEEK
+) -> DataFrame:
+    """Left rows with the ``values`` of the key's last right row at or (``strict``) before them.
+
+    Of right rows at one time the first by ``tie`` counts. Right values that are null are carried as null; a left row without a time, or
+    with a null key, finds nothing. ``slice_us`` bounds what one task sorts of a key.
+    """
+    met = _carry(left, right, [key], _instant(at), _instant(event), strict, tie or [], slice_us)
+    return met.select("l.*", F.col(f"r.{event}").alias(f"{event}_asof"), *[F.col(f"r.{v}").alias(v) for v in values])
 
 
-def cascade_join(left: DataFrame, right: DataFrame, levels: list[list[str]], values: list[str]) -> DataFrame:
-    """Left rows with values looked up by the first level of keys that has them; ``level`` says which (null: none).
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, event: str, values: list[str], tie: list[str], slice_us: int = WEEK) -> DataFrame:
+    """Left rows with the ``values`` of the right row of their keys nearest in time, and its ``distance`` in microseconds.
 
-    A level only counts where its keys name exactly one right row.
+    The nearest is the last one at or before, or the first one after: two as-of passes. Of equally near ones the first by ``tie`` counts;
+    left rows whose keys have no right row are gone.
+    """
+    rows = left.withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col(c) for c in tie]
+    t, e = _instant(at), _instant(event)
+    found = None
+    for sign in (1, -1):
+        met = _carry(rows, right, keys, t * sign, e * sign, False, order, slice_us).filter(F.col("r").isNotNull())
+        gap = F.abs(F.unix_micros(F.col(f"l.{at}").cast("timestamp")) - F.unix_micros(F.col(f"r.{event}").cast("timestamp")))
+        part = met.select("l", F.col("l._row").alias("row"), F.struct(gap.alias("distance"), *[F.col(f"r.{c}").alias(f"_t{i}") for i, c in enumerate(tie)]).alias("o"), "r")
+        found = part if found is None else found.union(part)
+    best = found.groupBy("row").agg(F.min_by(F.struct("l", "r", F.col("o.distance").alias("distance")), "o").alias("b"))
+    return best.select("b.l.*", *[F.col(f"b.r.{v}").alias(v) for v in values], "b.distance").drop("_row")
+
+
+def cascade_join(left: DataFrame, right: DataFrame, levels: list[list[str]], values: list[str], order: list[str]) -> DataFrame:
+    """Left rows with values looked up level by level: each level fills only what is still null.
+
+    Of the right rows of a key the first in ``order`` counts. ``level`` is the first level that gave any value (null: none).
     """
     out = left
     for i, keys in enumerate(levels):
-        one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), *[F.first(v).alias(f"_{i}_{v}") for v in values])
-        one = one.filter("_c = 1").drop("_c").withColumn(f"_hit{i}", F.lit(True))
-        out = out.join(one, keys, "left")
+        kept = F.min_by(F.struct(*values), F.struct(*order)).alias(f"_v{i}")
+        out = out.join(right.groupBy(*keys).agg(kept), keys, "left")
     hits = range(len(levels))
-    level = F.coalesce(*[F.when(F.col(f"_hit{i}"), i + 1) for i in hits])
-    picked = {v: reduce(lambda a, i, v=v: a.when(F.col(f"_hit{i}"), F.col(f"_{i}_{v}")), hits, F.when(F.lit(False), None)) for v in values}
-    return out.select(*left.columns, *[c.alias(v) for v, c in picked.items()], level.alias("level"))
+    gave = [F.when(reduce(Column.__or__, [F.col(f"_v{i}.{v}").isNotNull() for v in values]), i + 1) for i in hits]
+    picked = [F.coalesce(*[F.col(f"_v{i}.{v}") for i in hits]).alias(v) for v in values]
+    return out.select(*left.columns, *picked, F.coalesce(*gave).alias("level"))
 
 
 def home_away(games: DataFrame, stats: DataFrame, home: str, away: str, key: str, period: list[str], values: list[str]) -> DataFrame:

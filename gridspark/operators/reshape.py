@@ -33,6 +33,13 @@ def explode_segments(df: DataFrame, segments: dict[str, Column]) -> DataFrame:
     return df.withColumn("segment", F.explode(names))
 
 
-def complete_grid(df: DataFrame, keys: DataFrame, periods: DataFrame, on: list[str], fill: dict[str, float]) -> DataFrame:
-    """Every key in every period, with ``fill`` where there is no row. Both sides are dimensions, far smaller than the facts."""
-    return keys.crossJoin(periods).join(df, on, "left").fillna(fill)
+def complete_grid(df: DataFrame, keys: DataFrame, periods: DataFrame, on: list[str], fill: dict[str, float], most_periods: int = 10_000) -> DataFrame:
+    """Every key in every period, with ``fill`` where there is no row; more than ``most_periods`` periods are an error.
+
+    The periods travel as one list, which each key's row unfolds.
+    """
+    if periods.limit(most_periods + 1).count() > most_periods:
+        raise ValueError(f"more than {most_periods} periods")
+    listed = periods.agg(F.collect_list(F.struct(*periods.columns)).alias("_periods"))
+    grid = keys.crossJoin(F.broadcast(listed)).select(*keys.columns, F.explode("_periods").alias("_p")).select(*keys.columns, "_p.*")
+    return grid.join(df, on, "left").fillna(fill)

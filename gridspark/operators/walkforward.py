@@ -25,31 +25,46 @@ def prior_rate(df: DataFrame, keys: list[str], period: str, y: str, out: str) ->
     return df.join(rates, [*keys, period], "left")
 
 
-def residual_cdf(df: DataFrame, keys: list[str], period: str, residual: str, point: str, out: str, shrink: float = 20.0, base: float = 0.5) -> DataFrame:
+def residual_cdf(
+    df: DataFrame, keys: list[str], period: str, residual: str, point: str, out: str, shrink: float = 20.0, base: float = 0.5, slices: int = 64
+) -> DataFrame:
     """Share of the key's residuals of earlier periods above each row's ``point``, drawn to ``base`` with ``shrink`` rows' weight.
 
-    No row is paired with its history. Residuals and points are put in order of value and cut into √n slices; a point counts the
-    whole slices above it from cumulated counts per (slice, period), and its own slice row by row.
+    Periods are numbered. A residual joins the even nodes over its number in a binary tree, a point asks the nodes that together make
+    up all earlier numbers: at most one a level. In a node all are put in order of value and counted along; nodes are cut into slices of
+    value, whose counts are carried over. So n rows make n log(periods) rows, and none is paired with another.
     """
-    span = df.groupBy(*keys).agg(F.min(residual).alias("_lo"), F.max(residual).alias("_hi"), F.ceil(F.sqrt(F.count(residual))).alias("_m"))
-    placed = df.join(span, keys)
-    cut = lambda c: F.greatest(F.lit(0), F.least(F.col("_m") - 1, F.floor(F.coalesce(F.try_divide((F.col(c) - F.col("_lo")) * F.col("_m"), F.col("_hi") - F.col("_lo")), F.lit(0.0))))).cast("long")
-    rows = placed.withColumn("_id", F.struct(*df.columns)).withColumn("_q", cut(point))
-    history = placed.filter(F.col(residual).isNotNull()).select(*keys, F.col(period).alias("_p"), cut(residual).alias("_b"), F.col(residual).alias("_r"))
-    cells = history.groupBy(*keys, "_b", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    distinct = rows.groupBy(*keys, period, "_q", point).agg(F.count(F.lit(1)).alias("_w"))
-    above = distinct.join(cells, keys).filter((F.col("_p") < F.col(period)) & (F.col("_b") > F.col("_q")))
-    upper = above.groupBy(*keys, period, "_q", point).agg(F.sum("_n").alias("_above"))
-    own = distinct.join(history.withColumnRenamed("_b", "_q"), [*keys, "_q"]).filter((F.col("_p") < F.col(period)) & (F.col("_r") > F.col(point)))
-    inside = own.groupBy(*keys, period, "_q", point).agg(F.count(F.lit(1)).alias("_inside"))
+    periods = df.select(F.col(period).alias("_p")).filter("_p is not null").distinct().withColumn("_i", F.row_number().over(Window.orderBy("_p")) - 1)
+    levels = max(1, int(periods.agg(F.max("_i")).first()[0] or 0).bit_length())
+    span = df.groupBy(*keys).agg(F.min(residual).alias("_lo"), F.max(residual).alias("_hi"))
+    placed = df.join(periods, F.col(period) == F.col("_p")).join(span, keys)
+    part = F.try_divide((F.col("_v") - F.col("_lo")) * slices, F.col("_hi") - F.col("_lo"))
+    cut = F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor(F.coalesce(part, F.lit(0.0))))).cast("int").alias("_b")
+    named = [F.col(k) for k in keys]
+    every = F.sequence(F.lit(0), F.lit(levels - 1))
+    over = F.filter(F.transform(every, lambda l: F.struct(l.alias("l"), F.call_function("shiftright", F.col("_i"), l).alias("node"))), lambda x: x["node"] % 2 == 0)
+    under = F.transform(
+        F.filter(every, lambda l: F.call_function("shiftright", F.col("_i"), l) % 2 == 1),
+        lambda l: F.struct(l.alias("l"), (F.call_function("shiftright", F.col("_i"), l) - 1).alias("node")),
+    )
+    history = placed.filter(F.col(residual).isNotNull()).select(*named, F.col(residual).cast("double").alias("_v"), F.lit(1).alias("_one"), F.explode(over).alias("_n"), "_lo", "_hi")
+    asked = placed.filter(F.col(point).isNotNull()).select(*named, "_i", F.col(point).cast("double").alias("_v"), "_lo", "_hi").distinct()
+    asking = asked.select(*named, "_v", F.lit(0).alias("_one"), "_i", F.explode(under).alias("_n"), "_lo", "_hi")
+    rows = history.unionByName(asking, allowMissingColumns=True).select(*named, "_n", "_v", "_one", "_i", cut)
+    group = [*keys, "_n", "_b"]
+    inside = Window.partitionBy(*group).orderBy(F.desc("_v"), "_one").rowsBetween(ALL, 0)
+    above = Window.partitionBy(*keys, "_n").orderBy(F.desc("_b")).rowsBetween(ALL, -1)
+    counts = rows.groupBy(*group).agg(F.sum("_one").alias("_c"))
+    carried = counts.select(*group, F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_over")).repartition(*group)
+    counted = rows.withColumn("_in", F.sum("_one").over(inside)).filter("_one = 0").join(carried, group)
+    hits = counted.groupBy(*keys, "_i", "_v").agg(F.sum(F.col("_in") + F.col("_over")).alias("_hits"))
+    hits = hits.join(periods, "_i").select(*named, F.col("_p").alias(period), F.col("_v").alias("_at"), "_hits")
     w = Window.partitionBy(*keys).orderBy(period).rowsBetween(ALL, -1)
     sizes = df.groupBy(*keys, period).agg(F.count(residual).alias("_c"))
     sizes = sizes.select(*keys, period, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(f"{out}_n"))
-    on = [*keys, period, "_q", point]
-    joined = rows.join(upper, on, "left").join(inside, on, "left").join(sizes, [*keys, period], "left")
-    hits = F.coalesce("_above", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    joined = df.withColumn("_at", F.col(point).cast("double")).join(hits, [*keys, period, "_at"], "left").join(sizes, [*keys, period], "left")
     n = F.col(f"{out}_n")
-    return joined.withColumn(out, (hits + shrink * base) / (n + shrink)).select(*df.columns, out, f"{out}_n")
+    return joined.withColumn(out, (F.coalesce("_hits", F.lit(0)) + shrink * base) / (n + shrink)).select(*df.columns, out, f"{out}_n")
 
 
 def blend_weight(df: DataFrame, keys: list[str], period: str, model: str, market: str, y: str, gain: float = 2.0, low: float = 0.0, high: float = 1.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -58,16 +60,19 @@ def carry_forward(value: Column, w: WindowSpec) -> Column:
 def ewm_prior(df: DataFrame, value: str, keys: list[str], order: list[str], span: int, out: str) -> DataFrame:
     """Exponentially weighted mean of earlier rows (the first value starts it; nulls are passed over).
 
-    A fold over the list of a key's earlier values: for keys with a bounded history.
+    A fold over the last values that still carry weight: what lies further back counts for less than 2**-60 of the mean, so no row
+    holds its whole history.
     """
     alpha = 2 / (span + 1)
-    w = ordered(keys, order)
+    reach = math.ceil(60 * math.log(2) / -math.log(1 - alpha)) if span > 1 else 1
+    there = F.col(value).isNotNull()
+    own = Window.partitionBy(*keys, there).orderBy(*order).rowsBetween(-reach, 0)
     folded = F.aggregate(
-        F.collect_list(value).over(w.rowsBetween(ALL, -1)),
-        F.lit(None).cast("double"),
+        F.collect_list(value).over(own), F.lit(None).cast("double"),
         lambda acc, x: F.when(acc.isNull(), x.cast("double")).otherwise(acc * (1 - alpha) + x * alpha),
     )
-    return df.withColumn(out, folded)
+    marked = df.withColumn("_ewm", F.when(there, folded))
+    return marked.withColumn(out, F.last("_ewm", ignorenulls=True).over(ordered(keys, order).rowsBetween(ALL, -1))).drop("_ewm")
 
 
 def drawdown(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:

@@ -42,13 +42,13 @@ def priority_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "append_new_rows",
-    """SELECT o_orderkey, o_orderstatus, NULL::VARCHAR AS note FROM orders WHERE o_orderkey % 3 = 0
-    UNION ALL SELECT o_orderkey, NULL, 'new' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0""",
+    """SELECT o_orderkey, o_orderstatus, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus <> 'O'
+    UNION ALL SELECT o_orderkey, NULL, 'new' FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderstatus = 'O'""",
 )
 def append_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    old = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")
-    return clean.append_new(old, orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("new").alias("note")), ["o_orderkey"])
+    old = orders.filter("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus")
+    return clean.append_new(old, orders.filter("o_orderdate >= TIMESTAMP_NTZ '1996-01-01'").select("o_orderkey", F.lit("new").alias("note")), ["o_orderkey"])
 
 
 @query(
@@ -65,14 +65,14 @@ def replace_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_diff",
     """WITH a AS (SELECT p_partkey, p_brand, p_type FROM part), b AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'X' ELSE p_brand END AS p_brand,
-      CASE WHEN p_partkey % 15 = 0 THEN NULL ELSE p_type END AS p_type FROM part WHERE p_partkey % 7 <> 0)
+      CASE WHEN p_partkey % 15 = 0 THEN NULL ELSE p_type END AS p_type FROM part WHERE p_size < 45)
     SELECT p_partkey, name, before, after FROM (
       SELECT COALESCE(a.p_partkey, b.p_partkey) AS p_partkey, 'p_brand' AS name, a.p_brand AS before, b.p_brand AS after FROM a FULL JOIN b ON a.p_partkey = b.p_partkey
       UNION ALL SELECT COALESCE(a.p_partkey, b.p_partkey), 'p_type', a.p_type, b.p_type FROM a FULL JOIN b ON a.p_partkey = b.p_partkey) WHERE before IS DISTINCT FROM after""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    new = old.filter("p_partkey % 7 <> 0").select(
+    new = table(spark, sf_dir, "part").filter("p_size < 45").select(
         "p_partkey", F.when(F.col("p_partkey") % 10 == 0, "X").otherwise(F.col("p_brand")).alias("p_brand"),
         F.when(F.col("p_partkey") % 15 != 0, F.col("p_type")).alias("p_type"),
     )

@@ -64,12 +64,12 @@ def opponent_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "full_outer_sources",
-    """WITH a AS (SELECT l_suppkey AS k, SUM(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 0 GROUP BY 1), b AS (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier WHERE s_suppkey % 2 = 0)
+    """WITH a AS (SELECT l_suppkey AS k, SUM(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09 GROUP BY 1), b AS (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier WHERE s_acctbal > 0)
     SELECT COALESCE(a.k, b.k) AS k, q, bal, COALESCE(q, bal) AS first_known FROM a FULL JOIN b ON a.k = b.k""",
 )
 def full_outer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum("l_quantity").alias("q"))
-    b = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
+    a = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_discount > 0.09").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum("l_quantity").alias("q"))
+    b = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
     return a.join(b, "k", "full").withColumn("first_known", F.coalesce("q", "bal"))
 
 
@@ -105,32 +105,38 @@ def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) WHERE a.event_type = 'error' AND b.event_type = 'click') WHERE n = 1""",
 )
 def nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    bad = events.filter("event_type = 'error'").select("event_id", "user_id", "day", "us")
-    near = events.filter("event_type = 'click'").select("user_id", "day", F.col("event_id").alias("near_id"), F.col("us").alias("near_us"))
-    gap = F.abs(F.col("us") - F.col("near_us"))
-    return joins.nearest(bad, near, ["user_id", "day"], ["event_id"], gap, [F.asc("near_id")]).select("event_id", "near_id")
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    bad = events.filter("event_type = 'error'").select("event_id", "user_id", "day", "ts")
+    near = events.filter("event_type = 'click'").select("user_id", "day", F.col("event_id").alias("near_id"), F.col("ts").alias("near_ts"))
+    return joins.nearest(bad, near, ["user_id", "day"], "ts", "near_ts", ["near_id"], ["near_id"]).select("event_id", "near_id")
 
 
 @query(
     "cascade_join",
-    """WITH r AS (SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part WHERE p_partkey % 5 = 0),
-    l AS (SELECT l_orderkey, l_linenumber, l_partkey, p_brand, p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey),
-    k1 AS (SELECT p_partkey, MIN(p_retailprice) AS v FROM r GROUP BY 1 HAVING COUNT(*) = 1),
-    k2 AS (SELECT p_brand, p_type, p_size, MIN(p_retailprice) AS v FROM r GROUP BY 1, 2, 3 HAVING COUNT(*) = 1)
-    SELECT l_orderkey, l_linenumber, l_partkey, COALESCE(k1.v, k2.v) AS price, CASE WHEN k1.v IS NOT NULL THEN 1 WHEN k2.v IS NOT NULL THEN 2 END AS level
-    FROM l LEFT JOIN k1 ON l.l_partkey = k1.p_partkey LEFT JOIN k2 ON l.p_brand = k2.p_brand AND l.p_type = k2.p_type AND l.p_size = k2.p_size""",
+    """WITH r AS (SELECT *, CASE WHEN p_size > 10 THEN p_retailprice END AS v, CASE WHEN p_size < 40 THEN p_name END AS n FROM part),
+    l AS (SELECT l_orderkey, l_linenumber, l_partkey, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
+    k1 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY p_partkey) AS i FROM r) WHERE i = 1),
+    k2 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS i FROM r) WHERE i = 1),
+    k3 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM r) WHERE i = 1)
+    SELECT l_orderkey, l_linenumber, l_partkey, COALESCE(k1.v, k2.v, k3.v) AS price, COALESCE(k1.n, k2.n, k3.n) AS name,
+      CASE WHEN k1.v IS NOT NULL OR k1.n IS NOT NULL THEN 1 WHEN k2.v IS NOT NULL OR k2.n IS NOT NULL THEN 2 WHEN k3.v IS NOT NULL OR k3.n IS NOT NULL THEN 3 END AS level
+    FROM l LEFT JOIN k1 ON l.l_partkey = k1.p_partkey LEFT JOIN k2 ON l.p_brand = k2.p_brand AND l.p_type = k2.p_type LEFT JOIN k3 ON l.p_brand = k3.p_brand""",
 )
 def cascade_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices known for larger parts and names for smaller ones: what a part lacks comes from its brand and type, then from its brand."""
     part = table(spark, sf_dir, "part")
-    left = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_partkey", "p_brand", "p_type", "p_size")
-    right = part.filter("p_partkey % 5 = 0").select("p_partkey", "p_brand", "p_type", "p_size", F.col("p_retailprice").alias("price"))
-    return joins.cascade_join(left, right, [["p_partkey"], ["p_brand", "p_type", "p_size"]], ["price"]).select("l_orderkey", "l_linenumber", "l_partkey", "price", "level")
+    left = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_partkey", "p_brand", "p_type")
+    right = part.select(
+        "p_partkey", "p_brand", "p_type", F.col("p_partkey").alias("first"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("price"),
+        F.when(F.col("p_size") < 40, F.col("p_name")).alias("name"),
+    )
+    levels = [["p_partkey"], ["p_brand", "p_type"], ["p_brand"]]
+    return joins.cascade_join(left, right, levels, ["price", "name"], ["first"]).select("l_orderkey", "l_linenumber", "l_partkey", "price", "name", "level")
 
 
 @query(
     "tiered_match",
-    """WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, FLOOR(c_acctbal / 100) AS cell FROM customer WHERE c_custkey % 4 = 0),
+    """WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, FLOOR(c_acctbal / 100) AS cell FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
     l AS (SELECT c_custkey AS row, c_nationkey, c_mktsegment, FLOOR(c_acctbal / 100) AS cell FROM customer),
     a AS (SELECT c_nationkey, c_mktsegment, cell, MIN(c_custkey) AS v FROM r GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT c_custkey) = 1),
     b AS (SELECT c_nationkey, cell, MIN(c_custkey) AS v FROM r GROUP BY 1, 2 HAVING COUNT(DISTINCT c_custkey) = 1)
@@ -140,7 +146,7 @@ def cascade_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("cell"))
     tiers = [("strict", ["c_nationkey", "c_mktsegment", "cell"]), ("loose", ["c_nationkey", "cell"])]
-    right = people.filter("c_custkey % 4 = 0").withColumnRenamed("c_custkey", "matched")
+    right = people.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").withColumnRenamed("c_custkey", "matched")
     return joins.tiered_match(people.withColumnRenamed("c_custkey", "row"), right, "row", tiers, "matched").select("row", "matched", "match_method")
 
 

@@ -16,7 +16,11 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared one; only where none is set (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridspark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gridspark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
