@@ -1,9 +1,11 @@
-"""URL verdicts: rules first, and for all other pages trust and distrust that spread over the links between hosts.
-
-Trust spreads from hosts that rules allow along links; distrust spreads from hosts that rules block against the
-links, to those that link to them. A host takes the mean of what its links bring, damped at each step: the chance that a
-damped walk from it ends at a seed, times (1 − keep). So neither the size of the table nor the number of hosts that link to the
-same seed moves a verdict. Both are computed by Spark joins over host edges.
+"""URL verdicts: rules first, and for all other pages trust and distrust that spread over edges between hosts.
+
+Edges are links with a host of their own (relative ones stay on their host and make none) and, both ways, the step from a
+host to the host its name hangs from, down to the last two labels. Trust spreads from pages that rules allow along the edges;
+distrust spreads from pages that rules block against them, to those that link there. A host's score is what a walk
+finds that starts there, follows a random edge back and stops with the chance 1 - keep at each step, or where no edge is left: the mean
+of the seeds it stops at, which is personalised PageRank seen from the host. So neither the size of the table nor the number of
+hosts that link to the same seed moves a verdict. Trust and distrust go through the same Spark joins, round by round.
 """
 
 from __future__ import annotations
@@ -36,8 +38,12 @@ RULES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Evidence is broadcast to the pages up to so many hosts, about 10 MB.
+BROADCAST_HOSTS = 100_000
+#: Rounds that make one job, after which the scores are written.
+AT_ONCE = 4
 #: A link with a host of its own, with or without a scheme.
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -62,81 +68,93 @@ def match_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links from pages of one host to another, with the share of the host's links that they are."""
+    """(src, dst, n): links from pages of one host to another, and one each way between a host and the one it hangs from."""
     links = pages.select(
         F.col("host").alias("src"),
         F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to"),
     )
     to = F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), F.col("to"))).otherwise(F.col("to"))
-    pairs = links.select("src", host_of(to).alias("dst")).filter(
-        (F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))
+    pairs = links.select("src", host_of(to).alias("dst"))
+    hosts = pairs.select(F.col("dst").alias("h")).union(pages.select(F.col("host").alias("h"))).filter("h <> ''").distinct()
+    labels = F.split("h", r"\.")
+    ups = hosts.filter(F.size(labels) > 2).select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.size(labels) - 3), lambda i: F.slice(labels, i + 1, F.size(labels)))).alias("l")
     )
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ups = ups.select(F.array_join("l", ".").alias("src"), F.array_join(F.slice("l", 2, F.size("l")), ".").alias("dst")).distinct()
+    down = ups.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    linked = pairs.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
+    return linked.union(ups).union(down).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(
-    edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, rounds: int = 30, tolerance: float = 1e-4,
-    share_of: str = "src",
-) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, n) and seeds (host, seed) to (host, score).
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, max_rounds: int = 150, tolerance: float = 2e-4) -> DataFrame:
+    """Edges (kind, src, dst, n) and seeds (kind, host, seed) to (kind, host, score).
 
-    score = (1 − keep) × seed + keep × what the linking hosts hand on, in proportion to their links; so the score
-    of a seed that nothing links to is (1 − keep). With ``share_of`` "dst" a host takes the mean over its own links
-    instead, so a score does not fall with the number of hosts that share its source. Rounds end when no score moves by more than ``tolerance``; each is
-    written to the shared folder.
+    score = (1 - keep) × seed + keep × the mean of the scores of src over the edges to the host, weighed by n; a host that no edge
+    leads to keeps its seed. So scores stay between the smallest and the largest seed, 0 included. Rounds begin with
+    the seeds and end when no score moves by more than ``tolerance``, or with an error after ``max_rounds``; every fourth is written to the shared folder.
     """
-    out = edges.groupBy(share_of).agg(F.sum("n").alias("all"))
-    shares = scratch.write(edges.join(out, share_of).select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "shares")
-    base = scratch.write(seeds.select("host", (F.col("seed") * (1 - keep)).alias("base")), "base")
-    state = scratch.write(base.select("host", F.col("base").alias("score"), F.lit(0.0).alias("old")), "score")
+    into = edges.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
+    shares = scratch.write(edges.join(into, ["kind", "dst"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * keep).alias("w")), "shares")
+    fed = into.select("kind", F.col("dst").alias("host"), F.lit(1 - keep).alias("own"))
+    every = fed.select("kind", "host", F.lit(0.0).alias("seed")).unionByName(seeds.select("kind", "host", F.col("seed").cast("double")))
+    seeded = every.groupBy("kind", "host").agg(F.max("seed").alias("seed")).join(fed, ["kind", "host"], "left")
+    state = scratch.write(seeded.select("kind", "host", "seed", (F.col("seed") * F.coalesce("own", F.lit(1.0))).alias("base"), F.col("seed").alias("score")), "score")
+    base = state.select("kind", "host", "base")
     if shares.isEmpty():
-        return state.select("host", "score")
-    none = F.lit(0.0)
-    for _ in range(rounds):
-        handed = shares.join(state, F.col("src") == F.col("host")).select(
-            F.col("dst").alias("host"), (F.col("score") * F.col("w") * keep).alias("got"), none.alias("old")
-        )
-        parts = handed.unionByName(base.select("host", F.col("base").alias("got"), none.alias("old"))).unionByName(
-            state.select("host", none.alias("got"), F.col("score").alias("old"))
+        return state.select("kind", "host", "score")
+
+    def step(old: DataFrame) -> DataFrame:
+        handed = shares.join(old.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"]).select(
+            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("got"), F.lit(0.0).alias("old")
         )
-        new = parts.groupBy("host").agg(F.sum("got").alias("score"), F.sum("old").alias("old"))
+        parts = handed.union(base.select("kind", "host", "base", F.lit(0.0))).union(old.select("kind", "host", F.lit(0.0), "score"))
+        return parts.groupBy("kind", "host").agg(F.sum("got").alias("score"), F.sum("old").alias("old"))
+
+    first = state
+    for _ in range(max_rounds // AT_ONCE):
+        new = state
+        for _ in range(AT_ONCE):
+            new = step(new)
         before, state = state, scratch.write(new, "score")
         moved = state.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
-        scratch.drop(before)
+        if before is not first:
+            scratch.drop(before)
         if moved is None or moved <= tolerance:
-            break
-    return state.select("host", "score")
+            return state.select("kind", "host", "score")
+    raise RuntimeError(f"scores still move by {moved} after {max_rounds} rounds")
 
 
-def judge(
-    pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_share: float = 0.5, least_distrust: float = 0.02
-) -> DataFrame:
+def evidence(ruled: DataFrame, scratch: Scratch, keep: float = 0.85, tolerance: float = 2e-4) -> DataFrame:
+    """(host, trust, distrust) from pages with host, html and rule_verdict; seeds are the shares of a host's pages that rules allow, and block."""
+    edges = scratch.write(host_edges(ruled), "edges")
+    per = scratch.write(
+        ruled.filter("host <> ''").groupBy("host").agg(
+            (F.count_if(F.col("rule_verdict") == "allow") / F.count(F.lit(1))).alias("good"),
+            (F.count_if(F.col("rule_verdict") == "block") / F.count(F.lit(1))).alias("bad"),
+        ),
+        "seeds",
+    )
+    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(
+        edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n")
+    )
+    seeds = per.select(F.lit("trust").alias("kind"), "host", F.col("good").alias("seed")).union(per.select(F.lit("distrust"), "host", "bad"))
+    scores = spread(both, seeds, scratch, keep, tolerance=tolerance)
+    value = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
+    return scratch.write(scores.groupBy("host").agg(value("trust"), value("distrust")), "evidence")
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_distrust: float = 0.4) -> DataFrame:
     """One row per row of ``pages``: page_id, url, host, path, rule, verdict, trust, distrust.
 
-    A host is a seed if rules fit more than ``least_share`` of its pages: trusted if most of those are allowed, else blocked. Where no rule
-    fits, a page is blocked if its host's distrust reaches ``least_distrust`` and exceeds its trust; without any evidence it is
+    Where no rule fits, a page is blocked if its host's distrust (0 to 1) reaches ``least_distrust`` and exceeds its trust; else it is
     allowed. Null urls, or urls without ``://``, have an empty host and path and no evidence. Null html has no
     links; repeated rows keep their rows; other columns are not read; an empty table returns none.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     ruled = match_rules(pages.select("page_id", "url", "html"), rules)
-    edges = scratch.write(host_edges(ruled), "edges")
-    known = scratch.write(ruled.select("page_id", "url", "host", "path", "rule", "rule_verdict"), "rules")
-    per = known.filter("host <> ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("rule_verdict") == "allow").alias("good"),
-        F.count_if(F.col("rule_verdict") == "block").alias("bad"),
-    )
-    seeds = per.filter(F.col("good") + F.col("bad") > least_share * F.col("n"))
-    trusted = seeds.filter(F.col("good") > F.col("bad")).select("host", (F.col("good") / F.col("n")).alias("seed"))
-    blocked = seeds.filter(F.col("good") <= F.col("bad")).select("host", (F.col("bad") / F.col("n")).alias("seed"))
-    trust = spread(edges, trusted, scratch, share_of="dst")
-    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), blocked, scratch, share_of="dst")
-    hosts = trust.select("host", F.col("score").alias("trust")).join(
-        distrust.select("host", F.col("score").alias("distrust")), "host", "full"
-    )
-    evidence = hosts.select(F.col("host").alias("h"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
-    rows = known.join(evidence, F.col("host") == F.col("h"), "left").drop("h")
+    found = evidence(ruled, scratch).withColumnRenamed("host", "h")
+    found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
+    rows = ruled.drop("html").join(found, F.col("host") == F.col("h"), "left").drop("h")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     bad = (F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce("rule_verdict", F.when(bad, "block").otherwise("allow"))

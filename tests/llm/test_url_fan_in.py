@@ -5,7 +5,7 @@ from gridspark.llm import url_filter as U
 SCHEMA = "page_id long, url string, html string"
 
 
-@pytest.mark.parametrize("linkers", [1, 7, 1000])
+@pytest.mark.parametrize("linkers", [1, 1000])
 def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, linkers):
     pages = [(-1, "https://bad.net/x", "")]
     pages += [(i, f"https://farm{i}.com/", '<a href="https://bad.net/p">x</a>') for i in range(linkers)]
