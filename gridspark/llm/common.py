@@ -79,6 +79,8 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], shards: int
         F.col("_shard").alias("_k_shard"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
+    #: Else the join would take over the window's partitions, one a group.
+    starts = starts.repartition(*[f"_k_{k}" for k in keys], "_k_shard")
     own = Window.partitionBy(*keys, "_shard").orderBy(*order)
     on = F.col("_shard") == F.col("_k_shard")
     for k in keys:

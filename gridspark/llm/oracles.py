@@ -50,34 +50,3 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 SECRETS = _secrets()
-
-
-def _mix(corrections: int = 3, bits: int = 24) -> str:
-    """Without priors the balanced rate of a source is its target over its words; the rounding is spelled out in order."""
-    unit = 1 << bits
-    rounds = []
-    for i in range(corrections):
-        rounds.append(f"""
-d{i} AS (SELECT source, max(target) - sum(size * copies)::BIGINT AS due FROM r{i} GROUP BY 1),
-x{i} AS (SELECT source, doc_id, sign(due)::BIGINT AS change FROM (
-  SELECT r.source, r.doc_id, r.size, due, row_number() OVER (PARTITION BY r.source ORDER BY abs(abs(due) - r.size), r.doc_id) AS n
-  FROM r{i} r JOIN d{i} d ON r.source IS NOT DISTINCT FROM d.source WHERE r.size > 0 AND ((due > 0 AND r.copies + 1 <= 3) OR (due < 0 AND r.copies > 0)))
-  WHERE n = 1 AND abs(abs(due) - size) < abs(due)),
-r{i + 1} AS (SELECT r.* EXCLUDE (copies), r.copies + coalesce(change, 0) AS copies FROM r{i} r
-  LEFT JOIN x{i} x ON r.source IS NOT DISTINCT FROM x.source AND r.doc_id = x.doc_id)""")
-    return f"""
-WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
-p AS (SELECT source, sum(size)::BIGINT AS s FROM z GROUP BY 1),
-w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS wt, s * 3.0::DOUBLE AS room FROM p),
-l AS (SELECT *, ((sum(s) OVER ())::DOUBLE - 3.0::DOUBLE * coalesce(sum(s) OVER (ORDER BY room / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-  / (sum(wt) OVER (ORDER BY room / wt, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lev FROM w),
-t AS (SELECT source, s AS source_size, least(room, CASE WHEN lev * wt >= room THEN room ELSE max(CASE WHEN lev * wt < room THEN lev END) OVER () * wt END) AS target FROM l),
-q AS (SELECT z.*, source_size, target, CASE WHEN target > 0 AND source_size > 0 THEN round(least(3, target / source_size) * {unit})::BIGINT ELSE 0 END AS q
-  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
-s AS (SELECT *, {unit // 2} + sum(q % {unit}) OVER (PARTITION BY source ORDER BY size, doc_id) AS run FROM q),
-r0 AS (SELECT doc_id, source, size, source_size, target, (q // {unit} + run // {unit} - (run - q % {unit}) // {unit})::BIGINT AS copies FROM s),{",".join(rounds)}
-SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM r{corrections}
-"""
-
-
-MIX = _mix()

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import mixing
 from gridspark.llm.common import Scratch
@@ -55,13 +57,68 @@ def test_words_come_near_targets(spark, sources):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in out)
 
 
-def test_newton_with_priors_and_cap(spark):
-    cells = spark.createDataFrame([("a", 0.1, 100), ("a", 2.0, 50), ("a", 9.0, 10), (None, 1.0, 5)], "source string, prior double, size long")
-    targets = spark.createDataFrame([("a", 230.0), (None, 15.0)], "source string, target double")
-    found = {r.source: r.multiplier for r in mixing.dual_multipliers(cells, targets, Scratch(spark, "t"), 3.0).collect()}
-    rate = lambda p, s: min(3.0, p * 2.718281828459045 ** found[s])
-    assert sum(w * rate(p, "a") for p, w in ((0.1, 100), (2.0, 50), (9.0, 10))) == pytest.approx(230, rel=1e-6)
-    assert rate(1.0, None) * 5 == pytest.approx(15, rel=1e-6)
+def dense(rows, target, cap=3.0, slack=0.1):
+    """Rates of (source, size, prior), by Newton's method with step halving on the whole dual at once, document by document."""
+    names = sorted(target, key=str)
+    size = np.array([r[1] for r in rows], float)
+    prior = np.array([r[2] for r in rows], float)
+    which = np.array([names.index(r[0]) for r in rows])
+    kind = np.searchsorted(mixing.LENGTHS, size, side="right")
+    x = np.zeros((len(rows), len(names) + len(mixing.CLASSES)))
+    x[np.arange(len(rows)), which] = 1
+    x[np.arange(len(rows)), len(names) + kind] = 1
+    held = np.bincount(kind, size, len(mixing.CLASSES))
+    aim = np.concatenate(([target[n] for n in names], held))
+    ridge = np.concatenate((np.zeros(len(names)), slack * held))
+    of_source = np.bincount(which, size, len(names))
+    full = (np.array([target[n] for n in names]) >= cap * of_source)[which]
+
+    def look(m):
+        z = np.log(prior) + x @ m
+        rate = np.where(full, cap, np.exp(np.minimum(z, np.log(cap))))
+        value = (size * np.where(full, cap * z, rate + cap * np.maximum(0, z - np.log(cap)))).sum() - aim @ m + ridge @ m**2 / 2
+        return value, rate, size * rate * (z < np.log(cap)) * ~full
+
+    m = np.zeros(x.shape[1])
+    for _ in range(300):
+        value, rate, bend = look(m)
+        slope = x.T @ (size * rate) - aim + ridge * m
+        if np.abs(slope / np.maximum(aim, 1)).max() < 1e-11:
+            break
+        move = np.linalg.lstsq((x * bend[:, None]).T @ x + np.diag(ridge), slope, rcond=1e-14)[0]
+        t = min(1.0, 2 / np.abs(move).max())
+        while look(m - t * move)[0] > value + 1e-13 * abs(value) and t > 1e-9:
+            t /= 2
+        m = m - t * move
+    return rate
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rates_are_those_of_a_dense_solution(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        s = rng.choices(["a", "b", "c", None], [8, 4, 2, 1])[0]
+        rows.append((i, " ".join(["w"] * min(6000, int(rng.paretovariate(0.7) * (20 if s == "a" else 60)))), s, None, rng.choice([1, 2, 4])))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix(docs, prior=F.col("copies") / 2.0).collect()
+    known = {r[0]: r for r in rows}
+    per = defaultdict(int)
+    for r in out:
+        per[r.source] += r["size"]
+    target = brute_targets(dict(per))
+    want = dense([(r.source, r["size"], known[r.doc_id][4] / 2.0) for r in out], target)
+    assert max(abs(r.rate - w) for r, w in zip(out, want, strict=True)) < 1e-6
+    assert out[0].steps > 2 and out[0].residual < 1e-9
+    assert len({round(r.rate, 9) for r in out if r.source == "a"}) > 3  # tilted by length class and prior, not one rate a source
+
+
+def test_no_balance_is_an_error(spark):
+    cells = spark.createDataFrame([("sa", 1.0, 100, 50, 10, 0, 9)], "k string, prior double, w0 long, w1 long, w2 long, w3 long, w4 long")
+    targets = spark.createDataFrame([("sa", 230.0)], "k string, t double")
+    with pytest.raises(RuntimeError):
+        mixing.balance(cells, targets, Scratch(spark, "t"), 3.0, max_steps=2)
+    assert mixing.balance(cells, targets, Scratch(spark, "t"), 3.0).steps > 2
 
 
 def test_materialised_rows(spark):

@@ -11,6 +11,6 @@ def test_mix_spreads_rows_without_an_id(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [row_number" in plan
     keys = [line for line in plan.splitlines() if "Window [row_number" in line]
-    assert all("_hash" in k and "_source" in k for k in keys), keys
+    assert all("hash#" in k and "source#" in k for k in keys), keys
     taken = {(r.source, r.size): r.taken for r in mixing.mix(docs).groupBy("source", "size").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
     assert got.count() * 6 == sum(taken.values())
