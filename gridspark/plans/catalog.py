@@ -5,9 +5,12 @@ from __future__ import annotations
 from gridspark.plans import (  # noqa: F401
     aggregate_queries,
     clean_queries,
+    feed_queries,
     football_queries,
     form_queries,
+    grading_queries,
     join_queries,
+    player_queries,
     scalar_queries,
     stream_queries,
 )

@@ -159,3 +159,43 @@ def test_partition_overwrite(spark, tmp_path):
     io.write_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "s int, v string"), path, ["s"])
     io.write_partitions(spark.createDataFrame([(2, "c")], "s int, v string"), path, ["s"])
     assert sorted((r.s, r.v) for r in io.read_table(spark, path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_bootstrap_gap_is_the_mean_difference_with_its_deviation(spark):
+    from gridspark.operators import grading
+
+    rows = [(i, float(i % 7), float(i % 5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    run = lambda seed: grading.bootstrap_gap(df, ["id"], F.col("a"), F.col("b"), 200, seed).first()
+    out, gaps = run(1), [a - b for _, a, b in rows]
+    mean = sum(gaps) / len(gaps)
+    error = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / len(gaps) ** 0.5
+    assert abs(out.gap - mean) < 1e-12 and abs(out.sd / error - 1) < 0.2 and abs(out.z - out.gap / out.sd) < 1e-9
+    assert run(1) == out and run(2).sd != out.sd
+
+
+def test_actuals_that_come_twice_are_an_error(spark):
+    from gridspark.operators import grading
+
+    p = spark.createDataFrame([(1, 0.6, 1.0, -110.0, 100.0)], "game_id long, home_win_prob double, pred_home_margin double, home_moneyline double, away_moneyline double")
+    r = spark.createDataFrame([(1, 3.0, True)] * 2, "game_id long, home_margin double, actual_home_win boolean")
+    with pytest.raises(Exception, match="comes twice"):
+        grading.versus_actual(p, r, ["game_id"]).collect()
+
+
+def test_html_rows_leave_headers_and_tags(spark):
+    from gridspark.sources import feeds
+
+    html = "<table><tr><th>a</th><th>b</th></tr>\n<tr><td> <b>x</b> </td><td>1,234%</td></tr><tr><td>one cell</td></tr></table>"
+    out = feeds.html_rows(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "html", ["a", "b"])
+    assert [tuple(r) for r in out.withColumn("b", feeds.number(F.col("b"))).collect()] == [(1, "x", 1234.0)]
+
+
+def test_nearest_and_asof_across_slices(spark):
+    """Small slices of time carry over; ties go to the smaller id; no match ahead or behind."""
+    left = spark.createDataFrame([(1, "a", 100), (2, "a", 5), (3, "b", 7), (4, "a", 50)], "id int, k string, s long").withColumn("t", F.timestamp_seconds("s"))
+    right = spark.createDataFrame([(9, "a", 10), (8, "a", 90), (7, "a", 110), (6, "a", 10)], "rid int, k string, s long").select("rid", "k", F.timestamp_seconds("s").alias("e"))
+    near = {r.id: r.rid for r in joins.nearest(left.drop("s"), right, ["k"], "t", "e", ["rid"], ["rid"], 3_000_000).collect()}
+    assert near == {1: 7, 2: 6, 4: 6}
+    last = {r.id: r.rid for r in joins.asof_join(left.drop("s"), right, "k", "t", "e", ["rid"], tie=[F.col("rid")], slice_us=3_000_000).collect()}
+    assert last == {1: 8, 2: None, 3: None, 4: 6}
