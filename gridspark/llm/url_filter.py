@@ -41,7 +41,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Evidence is broadcast to the pages up to so many hosts, about 10 MB.
 BROADCAST_HOSTS = 100_000
 #: Rounds that make one job, after which the scores are written.
-AT_ONCE = 4
+AT_ONCE = 3
 #: A link with a host of its own, with or without a scheme.
 LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -86,12 +86,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(ups).union(down).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, max_rounds: int = 150, tolerance: float = 2e-4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, max_rounds: int = 150, tolerance: float = 1e-3) -> DataFrame:
     """Edges (kind, src, dst, n) and seeds (kind, host, seed) to (kind, host, score).
 
     score = (1 - keep) × seed + keep × the mean of the scores of src over the edges to the host, weighed by n; a host that no edge
     leads to keeps its seed. So scores stay between the smallest and the largest seed, 0 included. Rounds begin with
-    the seeds and end when no score moves by more than ``tolerance``, or with an error after ``max_rounds``; every fourth is written to the shared folder.
+    the seeds and end when no score moves by more than ``tolerance``, or with an error after ``max_rounds``; every third is written to the shared folder.
     """
     into = edges.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
     shares = scratch.write(edges.join(into, ["kind", "dst"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * keep).alias("w")), "shares")
@@ -104,18 +104,17 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0
         return state.select("kind", "host", "score")
 
     def step(old: DataFrame) -> DataFrame:
-        handed = shares.join(old.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("got"), F.lit(0.0).alias("old")
-        )
-        parts = handed.union(base.select("kind", "host", "base", F.lit(0.0))).union(old.select("kind", "host", F.lit(0.0), "score"))
-        return parts.groupBy("kind", "host").agg(F.sum("got").alias("score"), F.sum("old").alias("old"))
+        handed = shares.join(old.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"])
+        parts = handed.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("got")).union(base)
+        return parts.groupBy("kind", "host").agg(F.sum("got").alias("score"))
 
     first = state
     for _ in range(max_rounds // AT_ONCE):
         new = state
-        for _ in range(AT_ONCE):
+        for _ in range(AT_ONCE - 1):
             new = step(new)
-        before, state = state, scratch.write(new, "score")
+        both = step(new).join(new.withColumnRenamed("score", "old"), ["kind", "host"])
+        before, state = state, scratch.write(both, "score")
         moved = state.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
         if before is not first:
             scratch.drop(before)
@@ -124,7 +123,7 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0
     raise RuntimeError(f"scores still move by {moved} after {max_rounds} rounds")
 
 
-def evidence(ruled: DataFrame, scratch: Scratch, keep: float = 0.85, tolerance: float = 2e-4) -> DataFrame:
+def evidence(ruled: DataFrame, scratch: Scratch, keep: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """(host, trust, distrust) from pages with host, html and rule_verdict; seeds are the shares of a host's pages that rules allow, and block."""
     edges = scratch.write(host_edges(ruled), "edges")
     per = scratch.write(
