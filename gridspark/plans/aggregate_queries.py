@@ -233,7 +233,15 @@ def empirical_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("rate", 8).alias("rate"))
 
 
-@query("platt_calibration")
+@query(
+    "platt_calibration",
+    f"""WITH RECURSIVE {BETS_SQL}, t AS (SELECT LN(p / (1 - p)) AS z, COUNT(*) AS n, SUM(y) AS s FROM graded WHERE season < 2000 GROUP BY p),
+    it(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+      SELECT i, a, b, SUM(s - n * q) - 1e-6 * a AS g0, SUM((s - n * q) * z) - 1e-6 * b AS g1, SUM(n * q * (1 - q)) + 1e-6 AS h00, SUM(n * q * (1 - q) * z) AS h01, SUM(n * q * (1 - q) * z * z) + 1e-6 AS h11
+      FROM (SELECT i, a, b, z, n, s, 1 / (1 + EXP(-(a + z * b))) AS q FROM it, t) GROUP BY i, a, b) WHERE i < 12),
+    f AS (SELECT a, b FROM it WHERE i = 12)
+    SELECT l_orderkey, l_linenumber, ROUND(1 / (1 + EXP(-(LN(p / (1 - p)) * b + a))), 6) AS calibrated FROM graded, f WHERE season >= 2000""",
+)
 def platt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     bets = graded(spark, sf_dir).withColumn("z", odds.logit(F.col("p")))
     a, b = walkforward.platt(bets.filter("season < 2000"), "z", "y")

@@ -181,9 +181,24 @@ def schedule_rest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("elo_ratings")
+ELO_SQL = """WITH RECURSIVE games AS (SELECT o_orderkey % 16 AS league, YEAR(o_orderdate) AS season, WEEKOFYEAR(o_orderdate) AS week, c_nationkey AS home, s_nationkey AS away, MIN(o_orderkey) AS game_id,
+    SUM(l_quantity) AS hs, SUM(l_tax * 500) AS aws FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+    WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey GROUP BY ALL),
+  k AS (SELECT *, DENSE_RANK() OVER (PARTITION BY league ORDER BY season, week) AS i FROM games),
+  w AS (SELECT league, i, MAX(season) AS season, list({'h': home, 'a': away, 'm': hs - aws} ORDER BY game_id::VARCHAR, home, away) AS gs FROM k GROUP BY 1, 2),
+  r AS (SELECT league, 1::BIGINT AS i, season, list_transform(range(25), lambda t: 1500.0::DOUBLE) AS e FROM w WHERE i = 1
+    UNION ALL SELECT league, i, season, list_transform(range(25), lambda t: CASE WHEN season <> before THEN n[t + 1] + 0.33 * (1500 - n[t + 1]) ELSE n[t + 1] END) FROM (
+      SELECT x.league, y.i, y.season, x.season AS before, list_transform(range(25), lambda t: x.e[t + 1] + COALESCE(list_sum(list_transform(x.gs, lambda g: CASE WHEN g.h = t THEN g.s WHEN g.a = t THEN -g.s ELSE 0 END)), 0)) AS n
+      FROM (SELECT league, i, season, e, list_transform(gs, lambda g: {'h': g.h, 'a': g.a, 's': 20.0 * LN(ABS(g.m) + 1) * 2.2 / (GREATEST((e[g.h + 1] + 55 - e[g.a + 1]) * CASE WHEN g.m >= 0 THEN 1 ELSE -1 END, -2000) * 0.001 + 2.2)
+          * (CASE WHEN g.m = 0 THEN 0.5 WHEN g.m > 0 THEN 1 ELSE 0 END - 1 / (1 + POW(10, -(e[g.h + 1] + 55 - e[g.a + 1]) / 400)))}) AS gs FROM (SELECT r.league, r.i, r.season, r.e, w.gs FROM r JOIN w ON w.league = r.league AND w.i = r.i)) x
+      JOIN w y ON y.league = x.league AND y.i = x.i + 1))
+  SELECT k.league, k.season, k.week, k.game_id::VARCHAR AS game_id, k.home::VARCHAR AS home, k.away::VARCHAR AS away, ROUND(e[home + 1], 4) AS home_elo, ROUND(e[away + 1], 4) AS away_elo,
+    ROUND(1 / (1 + POW(10, -(e[home + 1] + 55 - e[away + 1]) / 400)), 6) AS home_probability FROM k JOIN r ON r.league = k.league AND r.i = k.i"""
+
+
+@query("elo_ratings", ELO_SQL)
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks of orders as games between a customer's and a supplier's nation; the months are the seasons."""
+    """Weeks of orders as games between a customer's and a supplier's nation, scored by the orders' first lines; leagues by order number."""
     games = (
         table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -193,4 +208,5 @@ def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.pmod("o_orderkey", F.lit(16)).alias("league"), F.year("o_orderdate").alias("season"), F.weekofyear("o_orderdate").alias("week"), F.col("c_nationkey").alias("home"), F.col("s_nationkey").alias("away"))
         .agg(F.min("o_orderkey").alias("game_id"), F.sum("l_quantity").alias("home_score"), F.sum(F.col("l_tax") * 500).alias("away_score"))
     )
-    return sequential.elo(games, "league")
+    out = sequential.elo(games, "league")
+    return out.withColumns({"home_elo": F.round("home_elo", 4), "away_elo": F.round("away_elo", 4), "home_probability": F.round("home_probability", 6)})

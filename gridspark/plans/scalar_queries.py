@@ -126,7 +126,11 @@ def zone_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", local.alias("local"), geo.zone_offset_hours(at, "America/New_York").alias("offset_hours"))
 
 
-@query("feature_fingerprint")
+@query(
+    "feature_fingerprint",
+    """SELECT p_partkey, substring(sha1(printf('%.6f', p_size::DOUBLE) || '|' || printf('%.6f', p_retailprice)), 1, 16) AS fingerprint,
+      sha1(array_to_string(list_sort([p_brand, p_type]), '|')) AS set_hash FROM part""",
+)
 def feature_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = text.fingerprint([F.col("p_size"), F.col("p_retailprice")]).alias("fingerprint")
     return table(spark, sf_dir, "part").select("p_partkey", named, text.set_hash(F.array("p_brand", "p_type")).alias("set_hash"))

@@ -47,10 +47,18 @@ def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, out, "tumbling").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """WITH e AS (SELECT *, CASE WHEN ts < LAG(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n_session FROM e),
+    g AS (SELECT user_id, n_session, MIN(ts) AS session_start, MAX(ts) + INTERVAL 2 HOUR AS session_end, COUNT(*) AS n, ROUND(SUM(value), 4) AS value FROM s GROUP BY 1, 2)
+    SELECT session_start, session_end, user_id, n, value FROM g WHERE session_end <= (SELECT date_trunc('milliseconds', MAX(ts)) FROM events) - INTERVAL 10 MINUTE""",
+)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stream.sessions(_source(spark, sf_dir), "ts", "2 hours", "10 minutes", ["user_id"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")])
-    return _result(spark, out, "sessions")
+    ended = _result(spark, out, "sessions")
+    naive = {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}
+    return ended.withColumns(naive).withColumn("value", F.round("value", 4))
 
 
 @query("stream_distinct", "SELECT event_type, user_id FROM events GROUP BY 1, 2")
