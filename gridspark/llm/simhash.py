@@ -27,6 +27,8 @@ CODE_BITS = 15
 #: An anchor with more comparisons than this is split into blocks of the sizes below.
 DIRECT_PAIRS = 4096
 HOME_BLOCK, VISIT_BLOCK = 2048, 8192
+#: Rows that stand for one component in the last join.
+SALTS = 32
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -180,27 +182,31 @@ def links(prints: DataFrame, scratch: Scratch, threshold: int = 4) -> DataFrame:
     return pairs.union(blocks).distinct()
 
 
-def _labelled(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash, fp) of every row, and (fp, first, label) of every fingerprint."""
+def _labelled(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, hash, fp) of every row, (fp, first) of every fingerprint, and (fp, label) of those that another is linked to."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs, width), "prints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = connected_components(links(classes.select("fp"), scratch, threshold), scratch)
-    return rows, classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return rows, classes, labels.withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id, n_links (fingerprint classes linked in the forest).
+    """One row per row of ``docs``: doc_id, fp, component_id.
 
     A null or empty text has fingerprint 0 and is linked like any other. Rows with a null doc_id keep their row
     and take the component of their fingerprint; component_id is the smallest doc_id that is not null. Repeated
     rows return repeated rows; other columns, whatever their names, are not read. An empty table returns none.
     """
-    rows, labelled = _labelled(docs, width, threshold)
-    heads = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.join(labelled.join(heads, "label").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
-    )
+    rows, classes, labels = _labelled(docs, width, threshold)
+    linked = classes.join(labels, "fp")
+    heads = linked.groupBy("label").agg(F.min("first").alias("head"))
+    #: A component may hold most fingerprints: its row is repeated, and its members are spread over the repetitions.
+    spread = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition("label", "salt")
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    of_linked = salted.join(spread, ["label", "salt"]).select("fp", "head")
+    components = classes.join(of_linked, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id"))
+    return rows.join(components, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
@@ -208,5 +214,5 @@ def deduplicate(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFram
 
     Rows are judged by their own texts: a null doc_id that nothing resembles stays, and so do different texts under one doc_id.
     """
-    rows, labelled = _labelled(docs, width, threshold)
-    return keep_heads(docs, rows.join(labelled.select("fp", "label"), "fp"))
+    rows, _, labels = _labelled(docs, width, threshold)
+    return keep_heads(docs, rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
