@@ -7,7 +7,7 @@ its bucket's boundary adds the fewest tokens. Inside a bucket, pieces fill batch
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import Scratch, rank_in_groups
@@ -51,20 +51,24 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return found[::-1]
 
 
-def pieces(docs: DataFrame, max_len: int) -> DataFrame:
-    """(doc_id, piece, start, length): whole texts cut at every ``max_len`` words; an empty text is one empty piece."""
+def pieces(docs: DataFrame, max_len: int, length: Column | None = None) -> DataFrame:
+    """(row, doc_id, piece, start, length): whole texts cut at every ``max_len`` units of ``length``; an empty text is one empty piece.
+
+    ``row`` numbers the input's rows, so that copies of a document can be told apart once the pieces are written.
+    """
     n = F.greatest(F.lit(1), F.ceil(F.col("words") / max_len)).cast("int")
     return (
-        docs.select("doc_id", word_count().alias("words"))
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (word_count() if length is None else length.cast("long")).alias("words"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
         .withColumn("start", F.col("piece").cast("long") * max_len)
-        .select("doc_id", "piece", "start", F.least(F.lit(max_len), F.col("words") - F.col("start")).cast("int").alias("length"))
+        .select("row", "doc_id", "piece", "start", F.least(F.lit(max_len), F.col("words") - F.col("start")).cast("int").alias("length"))
     )
 
 
-def pack(docs: DataFrame, buckets: int = 8, max_len: int = 2048, budget: int = 16384) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, bucket_len, batch, slot.
+def pack(docs: DataFrame, buckets: int = 8, max_len: int = 2048, budget: int = 16384, length: Column | None = None) -> DataFrame:
+    """One row per piece: row, doc_id, piece, start, length, bucket_len, batch, slot.
 
+    ``length`` is a column of ``docs`` with the documents' lengths, such as the sizes of their token ids; without it words count.
     All pieces of a batch (bucket_len, batch) share a boundary, and slots × boundary never exceeds ``budget``; only
     the last batch of a bucket may be short. The histogram has at most ``max_len`` + 1 rows. Null texts count as
     empty; null doc_ids and repeated rows are packed like others; an empty table gives no rows.
@@ -72,18 +76,18 @@ def pack(docs: DataFrame, buckets: int = 8, max_len: int = 2048, budget: int = 1
     if not 0 < max_len <= budget:
         raise ValueError("a batch must hold at least one piece of max_len words")
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.write(pieces(docs, max_len), "pieces")
+    cut = scratch.write(pieces(docs, max_len, length), "pieces")
     histogram = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = sorted((r.length, r.n) for r in histogram)
     lengths, counts = (np.array([h[i] for h in histogram], np.int64) for i in (0, 1))
     ends = optimal_boundaries(lengths, counts, buckets) or [max_len]
     bucket = F.array_min(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e >= F.col("length")))
     ranked = rank_in_groups(
-        cut.withColumn("bucket_len", bucket), ["bucket_len"], ["doc_id", "piece"], 1 + int(counts.sum()) // SHARD_ROWS, "at"
+        cut.withColumn("bucket_len", bucket), ["bucket_len"], ["doc_id", "row", "piece"], 1 + int(counts.sum()) // SHARD_ROWS, "at"
     )
     slots = F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))).cast("long")
     return ranked.select(
-        "doc_id", "piece", "start", "length", "bucket_len",
+        "row", "doc_id", "piece", "start", "length", "bucket_len",
         F.floor(F.col("at") / slots).cast("long").alias("batch"),
         F.pmod(F.col("at"), slots).cast("int").alias("slot"),
     )

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import packing
 
@@ -61,3 +62,11 @@ def test_edges(spark, rows):
 def test_budget_below_piece_is_refused(spark):
     with pytest.raises(ValueError, match="max_len"):
         packing.pack(spark.createDataFrame([], SCHEMA), max_len=10, budget=5)
+
+
+def test_lengths_of_tokens_and_copies(spark):
+    """Any column may hold the lengths; copies of one document are told apart by their row."""
+    docs = spark.createDataFrame([(1, "a b", [5] * 7), (1, "a b", [5] * 7), (2, "c", [])], "doc_id long, text string, ids array<int>")
+    out = packing.pack(docs, 2, 4, 8, F.size("ids")).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in out) == [(1, 0, 4), (1, 0, 4), (1, 1, 3), (1, 1, 3), (2, 0, 0)]
+    assert len({(r.row, r.piece) for r in out}) == 5
