@@ -24,6 +24,8 @@ from gridspark.llm.common import Scratch
 DIMS, BITS = 12, 5
 #: Bounds of the samples that are collected: distinct vectors for the ranges, queries for the width.
 KEY_SAMPLE, QUERY_SAMPLE = 20_000, 192
+#: Found rows kept beyond what a query needs, before the last scoring.
+SPARE = 8
 #: Most rows and queries, on average, that meet in one group.
 CHUNK_ROWS, CHUNK_QUERIES = 8192, 2048
 
@@ -210,8 +212,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = 16, a
     met = looking.groupBy(*group).cogroup(data.groupBy(*group)).applyInPandas(meet, "qid long, cid long, score double")
     merged = met.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    top = merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    named = top.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
+    top = merged.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1 + SPARE).select("qid", "cid")
+    #: Blocks of other shapes may differ in a score's last bit; what is kept is scored anew, one product after the other.
+    both = top.join(classes, "cid").join(queries.select("qid", F.col("v").alias("q")), "qid")
+    score = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    named = both.select("qid", score.alias("score"), F.explode("ids").alias("vec_id"))
     listed = named.groupBy("qid").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("near")
     )
