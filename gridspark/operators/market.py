@@ -77,3 +77,58 @@ def signal_score(df: DataFrame, parts: dict[str, float], key: str) -> DataFrame:
         out = out.withColumn(f"_{name}", F.when(F.col(name).isNotNull(), rank / F.count(F.lit(1)).over(Window.partitionBy(key))).otherwise(0.0))
     total = sum((F.col(f"_{n}") * w for n, w in parts.items()), F.lit(0.0))
     return out.withColumn("signal_score", total / sum(parts.values())).drop(*[f"_{n}" for n in parts])
+
+
+def wide_odds(offers: DataFrame, key: str, book: str, books: list[str], values: list[str], order: str) -> DataFrame:
+    """One row per game with ``odds_{book}_{value}`` of the named books: the last offer of each; one pass and no pivot's extra scan."""
+    last = [
+        F.max_by(v, F.when(F.col(book) == b, F.col(order))).alias(f"odds_{b}_{v}") for b in books for v in values
+    ]
+    return offers.filter(F.col(book).isin(*books)).groupBy(key).agg(*last)
+
+
+def filled_from_opponent(df: DataFrame, pairs: dict[str, str], team: str, opponent: str, period: list[str]) -> DataFrame:
+    """Defensive values, and where they are missing what the opponent's offence did in the same period; ``_source`` says which."""
+    other = df.select(F.col(team).alias(opponent), *period, *[F.col(o).alias(f"_o_{d}") for d, o in pairs.items()])
+    out = df.join(other, [opponent, *period], "left")
+    new = {d: F.coalesce(F.col(d), F.col(f"_o_{d}")) for d in pairs}
+    source = {f"{d}_source": F.when(F.col(d).isNotNull(), "own").when(F.col(f"_o_{d}").isNotNull(), "opponent").otherwise("none") for d in pairs}
+    return out.withColumns(source).withColumns(new).drop(*[f"_o_{d}" for d in pairs])
+
+
+def board_status(df: DataFrame, rules: list[tuple[str, str, Column]], default: tuple[str, str]) -> DataFrame:
+    """``status`` and ``reason`` of the first rule (status, reason, condition) that holds; a null condition does not."""
+    status, reason = F.lit(default[0]), F.lit(default[1])
+    for s, r, holds in reversed(rules):
+        on = F.coalesce(holds, F.lit(False))
+        status, reason = F.when(on, s).otherwise(status), F.when(on, r).otherwise(reason)
+    return df.withColumn("status", status).withColumn("reason", reason)
+
+
+def attach_policy(df: DataFrame, bins: DataFrame, segment: str, prob: str, width: float, least: int) -> DataFrame:
+    """Calibrated probability of each row: its (segment, bin) if that has ``least`` rows, else its bin over all segments, else its own.
+
+    ``bins``: segment, bin, n, rate. Small tables, joined by key.
+    """
+    cell = F.floor(F.col(prob) / width + 1e-9).cast("int")
+    own = bins.filter(F.col("n") >= least).select(segment, F.col("bin").alias("_bin"), F.col("rate").alias("_own"))
+    whole = bins.groupBy(F.col("bin").alias("_bin")).agg(F.sum("n").alias("_n"), F.try_divide(F.sum(F.col("n") * F.col("rate")), F.sum("n")).alias("_all"))
+    whole = whole.filter(F.col("_n") >= least).drop("_n")
+    out = df.withColumn("_bin", cell).join(own, [segment, "_bin"], "left").join(whole, "_bin", "left")
+    level = F.when(F.col("_own").isNotNull(), "segment").when(F.col("_all").isNotNull(), "overall").otherwise("raw")
+    return out.withColumn("calibrated", F.coalesce("_own", "_all", F.col(prob))).withColumn("calibration_level", level).drop("_bin", "_own", "_all")
+
+
+def travel(schedule: DataFrame, venues: DataFrame, at: str, km) -> DataFrame:
+    """Distance (``km`` of two points) and hours' shift of each side between its home venue and the game's.
+
+    schedule: game_id, venue, home, away; venues: venue, team, lat, lon and the offset from UTC in hours, one row a team.
+    """
+    place = venues.select(F.col("venue").alias(at), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("offset").alias("_off")).dropDuplicates([at])
+    out = schedule.join(place, at, "left")
+    for side in ("home", "away"):
+        own = venues.select(F.col("team").alias(side), F.col("lat").alias("_a"), F.col("lon").alias("_b"), F.col("offset").alias("_c"))
+        out = out.join(own, side, "left").withColumns(
+            {f"{side}_km": km(F.col("_a"), F.col("_b"), F.col("_lat"), F.col("_lon")), f"{side}_shift": F.abs(F.col("_c") - F.col("_off"))}
+        ).drop("_a", "_b", "_c")
+    return out.drop("_lat", "_lon", "_off")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridspark.plans import (  # noqa: F401
     aggregate_queries,
+    attach_queries,
     clean_queries,
     feed_queries,
     football_queries,
