@@ -91,6 +91,13 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], shards: int
     )
 
 
+def about(rows: int, of: int, *columns: str) -> Column:
+    """Holds for about ``rows`` rows out of ``of``, chosen by a hash of ``columns``; for all, if there are no more. Nothing is sorted."""
+    if of <= rows:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(-(1 << 63) + (1 << 64) * rows // of)
+
+
 def as_struct(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` in one struct ``d``, so that no name of theirs can clash with one of an operator's."""
     return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("d"))

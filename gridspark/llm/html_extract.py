@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import about
+
 #: Fixed values of HTML: elements without an end, elements whose content is no markup, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -312,9 +314,9 @@ def main_text(page: str, weights: np.ndarray | None = None) -> str:
 
 
 def fit_on(pages: DataFrame, max_pages: int = FIT_PAGES, max_chars: int = FIT_CHARS, max_blocks: int = FIT_BLOCKS) -> np.ndarray:
-    """Weights fitted on blocks whose containers say what they are, of ``max_pages`` pages at most, the smallest by a hash."""
-    order = F.xxhash64("page_id", "url", F.length("html"))
-    chosen = pages.filter(F.length("html").between(1, max_chars)).select("html").orderBy(order).limit(max_pages)
+    """Weights fitted on blocks whose containers say what they are, of about ``max_pages`` pages, and no more, chosen by a hash."""
+    some = pages.filter(about(max_pages, pages.count(), "page_id", "url"))
+    chosen = some.filter(F.length("html").between(1, max_chars)).select("html").limit(max_pages)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
