@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Scratch
+from gridspark.llm.common import Scratch, about
 
 DIMS, BITS = 12, 5
-#: Bounds of the samples that are collected: distinct vectors for the ranges, queries for the width.
+#: Sizes, about, of the samples that are collected: distinct vectors for the ranges, queries for the width. They are chosen by a hash.
 KEY_SAMPLE, QUERY_SAMPLE = 20_000, 192
 #: Found rows kept beyond what a query needs, before the last scoring.
 SPARE = 8
@@ -156,11 +156,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = 16, a
     if not rows.n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    sample = classes.select("cid", "v").orderBy(F.xxhash64("cid")).limit(KEY_SAMPLE).collect()
-    known = np.array([r.v for r in sample], float)
+    sample = classes.select("cid", "v").filter(about(KEY_SAMPLE, rows.n, "cid")).collect()
+    known = np.array([r.v for r in sorted(sample)], float)
     fit = Curves.fit(known, rows.norm, curves, seed)
     keys = np.sort(fit.keys(_lift(known, rows.norm)), axis=0)
-    width = _width(classes, queries, fit, keys, k, aim, rows.n)
+    width = _width(classes, queries.filter(about(QUERY_SAMPLE, n_queries, "qid")), fit, keys, k, aim, rows.n)
     cuts = max(1, min(int(1 / width), len(keys)))
     ends = keys[(np.arange(1, cuts) * len(keys)) // cuts]
 
@@ -231,8 +231,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = 16, a
 
 def _width(classes: DataFrame, queries: DataFrame, fit: Curves, keys: np.ndarray, k: int, aim: float, n: int) -> float:
     """The share of an ordering that a range must hold so that the windows hold ``aim`` of the true neighbours."""
-    asked = queries.orderBy(F.xxhash64("qid")).limit(QUERY_SAMPLE).collect()
-    q = np.array([r.v for r in asked], float)
+    asked = queries.collect()
+    if not asked:
+        return 1.0
+    q = np.array([r.v for r in sorted(asked, key=lambda r: r.qid)], float)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
