@@ -131,7 +131,6 @@ def balance(
             *[_exact(F.when(~F.col("full") & (x < top), F.col(c) * r).otherwise(0.0)).alias(f"c{i}") for i, (c, r, x) in enumerate(zip(w, rate, z, strict=True))],
             _exact(sum((F.col(c) * p for c, p in zip(w, phi, strict=True)), F.lit(0.0))).alias("phi"),
         )
-        got = scratch.write(got, "words")
         off = F.when(F.col("full"), 0.0).otherwise(sum((F.col(f"g{i}") for i in CLASSES), F.lit(0.0)) - F.col("t"))
         bend = sum((F.col(f"c{i}") for i in CLASSES), F.lit(0.0))
         share = lambda i: F.when(bend > 0, F.col(f"c{i}") / bend).otherwise(0.0)
@@ -151,7 +150,6 @@ def balance(
         #: Close to the solution the dual is flat, and what is missed says more.
         if least is not None and dual > least and miss >= best and t > 1e-9:
             t /= 2
-            scratch.drop(got)
             continue
         if miss <= tolerance:
             found = got.select("k", a_new.alias("multiplier"), "full")
@@ -165,7 +163,6 @@ def balance(
         move = F.when(F.col("full"), 0.0).when(bend > 0, move).otherwise(F.when(off > 0, -1.0).otherwise(0.0))
         after = scratch.write(got.select("k", "t", "full", a_new.alias("a"), move.alias("da")), "dual")
         scratch.drop(state)
-        scratch.drop(got)
         state, b, db, least, best, t = after, b_new, direction, dual, miss, 1.0
     raise RuntimeError(f"no balance within {max_steps} evaluations: worst residual {sums.worst}")
 
