@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: For bytes.translate: A-Z lower-cased, and all of ASCII but letters and digits as a space.
+FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +49,9 @@ class Scratch:
         self._next += 1
         return f"{self.root}/{self._next:03d}-{label}"
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -50,3 +50,28 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 SECRETS = _secrets()
+
+#: crc32 of each distinct word byte by byte, over the table that its polynomial makes; gains of buckets; the draw.
+RESAMPLING = """
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+u AS (SELECT DISTINCT unnest(ws) AS w FROM (SELECT ws FROM d UNION ALL SELECT ws FROM b)),
+bytes AS (SELECT w, [('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT FOR i IN range(octet_length(encode(w)))] AS bs FROM u),
+h AS (SELECT w, xor(list_reduce(bs, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS k FROM bytes, tab),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+s AS (SELECT k, sum(n) AS n FROM dw JOIN h USING (w) GROUP BY 1),
+t AS (SELECT k, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) JOIN h USING (w) GROUP BY 1),
+totals AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS big_s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS big_t),
+g AS (SELECT h.w, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (big_s + 10000)) / ((coalesce(s.n, 0) + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS gain
+      FROM h, totals LEFT JOIN s ON s.k = h.k LEFT JOIN t ON t.k = h.k),
+m AS (SELECT doc_id, sum(n) AS n, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM dw JOIN g USING (w) GROUP BY 1),
+f AS (SELECT doc_id, coalesce(m.n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+      ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS hash FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((hash + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM f),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS fit FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM q
+"""

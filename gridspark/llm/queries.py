@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import curve_search, html_extract, mixing, oracles, packing, quality, secret_scan, simhash, suffix_dedup, token_orc, url_filter
+from gridspark.llm import (
+    alignment,
+    curve_search,
+    html_extract,
+    mixing,
+    oracles,
+    packing,
+    quality,
+    resampling,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    token_orc,
+    toxicity,
+    url_filter,
+)
 from gridspark.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +80,22 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_factor_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_stripe_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_intervals": op1_suffix_intervals,
     "op2_length_buckets": op2_length_buckets,
@@ -76,9 +107,13 @@ QUERIES: dict[str, Query] = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_quality_trees": op9_quality_trees,
     "op10_simhash_anchors": op10_simhash_anchors,
+    "op11_suffix_resampling": op11_suffix_resampling,
+    "op12_factor_toxicity": op12_factor_toxicity,
+    "op13_stripe_alignment": op13_stripe_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_intervals": oracles.SUFFIX,
     "op4_linked_secrets": oracles.SECRETS,
+    "op11_suffix_resampling": oracles.RESAMPLING,
 }

@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": {"doc_id", "size", "source_size", "target", "taken"},
     "op9": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op10": {"doc_id", "fingerprint", "component_id"},
+    "op11": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op12": {"doc_id", "held_out", "score", "predicted"},
+    "op13": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
