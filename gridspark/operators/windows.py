@@ -57,22 +57,39 @@ def carry_forward(value: Column, w: WindowSpec) -> Column:
     return F.last(value, ignorenulls=True).over(w.rowsBetween(ALL, 0))
 
 
-def ewm_prior(df: DataFrame, value: str, keys: list[str], order: list[str], span: int, out: str) -> DataFrame:
-    """Exponentially weighted mean of earlier rows (the first value starts it; nulls are passed over).
+def ewm(df: DataFrame, value: str, keys: list[str], order: list[str], span: int, out: str, prior: bool = True) -> DataFrame:
+    """Exponentially weighted mean of earlier rows, with ``prior`` False of the row itself too.
 
-    A fold over the last values that still carry weight: what lies further back counts for less than 2**-60 of the mean, so no row
-    holds its whole history.
+    The first value starts it. A row without a value keeps the mean, but ages it: after a gap the next value weighs the more. A mean and
+    a new value meet as ((1 - alpha)^gap mean + alpha value) over the sum of both weights, so each value takes over a share that depends
+    on the gap before it alone. The fold goes over the last values that still carry weight: what lies further back counts for less
+    than 2**-60 of the mean, so no row holds its whole history.
     """
     alpha = 2 / (span + 1)
     reach = math.ceil(60 * math.log(2) / -math.log(1 - alpha)) if span > 1 else 1
     there = F.col(value).isNotNull()
-    own = Window.partitionBy(*keys, there).orderBy(*order).rowsBetween(-reach, 0)
+    numbered = df.withColumn("_at", F.row_number().over(ordered(keys, order))).withColumn("_there", there)
+    own = Window.partitionBy(*keys, "_there").orderBy("_at")
+    aged = F.pow(F.lit(1 - alpha), F.col("_at") - F.lag("_at").over(own))
+    marked = numbered.withColumn("_old", aged).withColumn("_one", F.struct(F.col(value).cast("double").alias("x"), F.col("_old").alias("w")))
     folded = F.aggregate(
-        F.collect_list(value).over(own), F.lit(None).cast("double"),
-        lambda acc, x: F.when(acc.isNull(), x.cast("double")).otherwise(acc * (1 - alpha) + x * alpha),
+        F.collect_list("_one").over(own.rowsBetween(-reach, 0)), F.lit(None).cast("double"),
+        lambda acc, r: F.when(acc.isNull(), r["x"]).otherwise((r["w"] * acc + alpha * r["x"]) / (r["w"] + alpha)),
     )
-    marked = df.withColumn("_ewm", F.when(there, folded))
-    return marked.withColumn(out, F.last("_ewm", ignorenulls=True).over(ordered(keys, order).rowsBetween(ALL, -1))).drop("_ewm")
+    last = F.last("_ewm_row", ignorenulls=True).over(ordered(keys, ["_at"]).rowsBetween(ALL, -1 if prior else 0))
+    return marked.withColumn("_ewm_row", F.when(F.col("_there"), folded)).withColumn(out, last).drop("_at", "_there", "_old", "_one", "_ewm_row")
+
+
+def ewm_prior(df: DataFrame, value: str, keys: list[str], order: list[str], span: int, out: str) -> DataFrame:
+    return ewm(df, value, keys, order, span, out)
+
+
+def rows_since(df: DataFrame, flag: Column, keys: list[str], order: list[str], cap: int, out: str) -> DataFrame:
+    """Rows between each row and the last earlier one with a true flag (0: the row before), ``cap`` at most and before any."""
+    w = ordered(keys, order)
+    numbered = df.withColumn("_at", F.row_number().over(w))
+    last = F.last(F.when(flag, F.col("_at")), ignorenulls=True).over(w.rowsBetween(ALL, -1))
+    return numbered.withColumn(out, F.least(F.lit(cap), F.coalesce(F.col("_at") - 1 - last, F.lit(cap)))).drop("_at")
 
 
 def drawdown(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from gridspark.functions import geo
 from gridspark.operators import market
 from gridspark.plans.aggregate_queries import BETS_SQL, graded
 from gridspark.plans.registry import query, table
-from gridspark.plans.stream_queries import _folder
+from gridspark.sources.scratch import folder
 from gridspark.sources import feeds, io
 
 
@@ -88,7 +88,7 @@ def travel_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder per season and week is written, then found again by its name."""
-    path = _folder(spark, "history")
+    path = folder(spark, "history")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"))
     io.write_partitions(rows, path, ["season", "week"])
     found = feeds.from_file_name(spark.read.parquet(path), r"season=(\d+)/week=(\d+)/", ["file_season", "file_week"])
@@ -101,7 +101,7 @@ def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reference_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small typed CSV files attached by key; roofs are trimmed and lower-cased."""
-    path = f"{_folder(spark, 'reference')}/venues.csv"
+    path = f"{folder(spark, 'reference')}/venues.csv"
     nation = table(spark, sf_dir, "nation")
     nation.select("n_nationkey", "n_name", F.concat(F.lit(" R"), "n_regionkey").alias("roof"), (F.col("n_regionkey") / 2).alias("advantage")).write.option("header", True).csv(path)
     kinds = T.StructType([T.StructField(n, t) for n, t in (("n_nationkey", T.LongType()), ("n_name", T.StringType()), ("roof", T.StringType()), ("advantage", T.DoubleType()))])

@@ -13,6 +13,7 @@ from gridspark.plans import (  # noqa: F401
     join_queries,
     player_queries,
     scalar_queries,
+    state_queries,
     stream_queries,
 )
 from gridspark.plans.registry import ORACLES, QUERIES

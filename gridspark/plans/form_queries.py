@@ -116,14 +116,16 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ewm_prior",
-    f"""WITH RECURSIVE {WEEKLY_SQL}, o AS (SELECT entity, period, value, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY period) AS i FROM weekly),
-    r AS (SELECT entity, i, value::DOUBLE AS m FROM o WHERE i = 1 UNION ALL
-          SELECT o.entity, o.i, r.m * 0.5 + o.value * 0.5 FROM r JOIN o ON o.entity = r.entity AND o.i = r.i + 1)
+    f"""WITH RECURSIVE {WEEKLY_SQL}, o AS (SELECT entity, period, CASE WHEN done > 0 THEN value END::DOUBLE AS v, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY period) AS i FROM weekly),
+    r AS (SELECT entity, i, v AS m, 1.0::DOUBLE AS w FROM o WHERE i = 1 UNION ALL
+          SELECT o.entity, o.i, CASE WHEN o.v IS NULL THEN r.m WHEN r.m IS NULL THEN o.v ELSE (r.w * 0.5 * r.m + 0.5 * o.v) / (r.w * 0.5 + 0.5) END, CASE WHEN o.v IS NULL THEN r.w * 0.5 ELSE 1.0 END
+          FROM r JOIN o ON o.entity = r.entity AND o.i = r.i + 1)
     SELECT o.entity, o.period, r.m AS ewm3 FROM o LEFT JOIN r ON r.entity = o.entity AND r.i = o.i - 1""",
 )
 def ewm_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entity's weeks are bounded, so a fold over the list of earlier values holds."""
-    return windows.ewm_prior(weekly(spark, sf_dir), "value", ["entity"], ["period"], 3, "ewm3").select("entity", "period", "ewm3")
+    """Weeks without a finished order have no value; they age what came before."""
+    weeks = weekly(spark, sf_dir).withColumn("finished", F.when(F.col("done") > 0, F.col("value")))
+    return windows.ewm_prior(weeks, "finished", ["entity"], ["period"], 3, "ewm3").select("entity", "period", "ewm3")
 
 
 @query(
@@ -183,7 +185,7 @@ def schedule_rest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ELO_SQL = """WITH RECURSIVE games AS (SELECT o_orderkey % 16 AS league, YEAR(o_orderdate) AS season, WEEKOFYEAR(o_orderdate) AS week, c_nationkey AS home, s_nationkey AS away, MIN(o_orderkey) AS game_id,
     SUM(l_quantity) AS hs, SUM(l_tax * 500) AS aws FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey GROUP BY ALL),
+    WHERE c_nationkey <> s_nationkey GROUP BY ALL),
   k AS (SELECT *, DENSE_RANK() OVER (PARTITION BY league ORDER BY season, week) AS i FROM games),
   w AS (SELECT league, i, MAX(season) AS season, list({'h': home, 'a': away, 'm': hs - aws} ORDER BY game_id::VARCHAR, home, away) AS gs FROM k GROUP BY 1, 2),
   r AS (SELECT league, 1::BIGINT AS i, season, list_transform(range(25), lambda t: 1500.0::DOUBLE) AS e FROM w WHERE i = 1
@@ -198,9 +200,9 @@ ELO_SQL = """WITH RECURSIVE games AS (SELECT o_orderkey % 16 AS league, YEAR(o_o
 
 @query("elo_ratings", ELO_SQL)
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks of orders as games between a customer's and a supplier's nation, scored by the orders' first lines; leagues by order number."""
+    """Weeks of orders as games between a customer's and a supplier's nation, scored by the lines between them; leagues by order number."""
     games = (
-        table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+        table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

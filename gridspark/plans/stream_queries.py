@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.plans.registry import query
+from gridspark.sources.scratch import folder
 from gridspark.streaming import events as stream
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared one; only where none is set (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gridspark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a pattern, so that the table may be one file or a folder of files
     rows = stream.read_events(spark, f"{sf_dir}/events.parque[t]", SCHEMA)
@@ -31,7 +19,7 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    out = _folder(spark, name)
+    out = folder(spark, name)
     stream.run_to_table(frame, f"{out}/rows", f"{out}/state", mode)
     return spark.read.schema(frame.schema).parquet(f"{out}/rows")
 
