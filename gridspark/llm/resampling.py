@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import FOLDED, Scratch, text_bytes
 
 #: Bytes of text in one suffix array, at which a block ends; a longer text is a block of its own. Results don't depend on it.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def suffix_order(ids: np.ndarray, width: int) -> np.ndarray:
@@ -49,34 +49,44 @@ def common_prefixes(ids: np.ndarray, order: np.ndarray, width: int) -> np.ndarra
     return shared
 
 
-def gram_buckets(docs: list[list[bytes]], width: int, buckets: int) -> list[np.ndarray]:
-    """For each document the buckets of all its runs of 1 to ``width`` words: those of single words first, in order of place."""
-    numbers: dict[bytes, int] = {}
-    words: list[bytes] = [b""]
-    parts = []
-    for d in docs:
-        for w in set(d).difference(numbers):
-            numbers[w] = len(words)
-            words.append(w)
-        parts += [np.fromiter(map(numbers.__getitem__, d), np.int64, len(d)), np.zeros(1, np.int64)]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    order = suffix_order(ids, width)
-    shared = common_prefixes(ids, order, width)
-    lengths = np.array([len(d) for d in docs], np.int64)
-    ends = np.repeat(np.cumsum(lengths + 1) - 1, lengths + 1)  # of each place: where its document's separator stands
-    firsts = np.cumsum(lengths + 1) - lengths - 1
-    found: list[list[np.ndarray]] = [[] for _ in docs]
-    for n in range(1, width + 1):
-        whole = ends[order] - order >= n  # n words from here on are in the document
-        places, opens = order[whole], (shared < n)[whole]
-        run = np.cumsum(opens) - 1
-        at = ids[places[opens][:, None] + np.arange(n)].tolist()
-        hashed = np.fromiter((zlib.crc32(b" ".join([words[i] for i in g])) % buckets for g in at), np.int64, len(at))
-        scattered = np.zeros(len(ids), np.int64)
-        scattered[places] = hashed[run]
-        for k, (first, length) in enumerate(zip(firsts.tolist(), lengths.tolist(), strict=True)):
-            found[k].append(scattered[first : first + max(length - n + 1, 0)])
-    return [np.concatenate(f) for f in found]
+class Block:
+    """Documents as ids of their words, with a separator (0) behind each; words are held once."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.words: list[bytes] = [b""]
+        self.parts: list[np.ndarray] = []
+        self.lengths: list[int] = []
+        self.size = 0
+
+    def add(self, text: bytes) -> None:
+        words = text.translate(FOLDED).split()
+        for w in set(words).difference(self.numbers):
+            self.numbers[w] = len(self.words)
+            self.words.append(w)
+        self.parts += [np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
+        self.lengths.append(len(words))
+        self.size += len(text)
+
+    def gram_buckets(self, width: int, buckets: int) -> list[np.ndarray]:
+        """For each document the buckets of all its runs of 1 to ``width`` words: those of single words first, in order of place."""
+        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
+        order = suffix_order(ids, width)
+        shared = common_prefixes(ids, order, width)
+        lengths = np.array(self.lengths, np.int64)
+        stops = np.cumsum(lengths + 1) - 1  # where the documents' separators stand
+        ends = np.repeat(stops, lengths + 1)
+        found: list[list[np.ndarray]] = [[] for _ in self.lengths]
+        for n in range(1, width + 1):
+            whole = ends[order] - order >= n  # n words from here on are in the document
+            places, opens = order[whole], (shared < n)[whole]
+            at = ids[places[opens][:, None] + np.arange(n)].tolist()
+            hashed = np.fromiter((zlib.crc32(b" ".join([self.words[i] for i in g])) % buckets for g in at), np.int64, len(at))
+            scattered = np.zeros(len(ids), _packed(buckets))
+            scattered[places] = hashed[np.cumsum(opens) - 1]
+            for k, (stop, length) in enumerate(zip(stops.tolist(), self.lengths, strict=True)):
+                found[k].append(scattered[stop - length : max(stop - n + 1, stop - length)])
+        return [np.concatenate(f) for f in found]
 
 
 def _packed(buckets: int) -> str:
@@ -87,29 +97,27 @@ def features(docs: DataFrame, key: str, width: int = 1, buckets: int = 10_000) -
     """(``key``, text) to (id, n_words, n_features, packed): the bucket of every feature of every whole text, null as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-            found = gram_buckets(texts, width, buckets)
+        def close(ids: list, block: Block) -> pa.RecordBatch:
+            found = block.gram_buckets(width, buckets)
             return pa.record_batch(
                 [
                     pa.array(ids, pa.int64()),
-                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array(block.lengths, pa.int64()),
                     pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([f.astype(_packed(buckets)).tobytes() for f in found], pa.binary()),
+                    pa.array([f.tobytes() for f in found], pa.binary()),
                 ],
                 ["id", "n_words", "n_features", "packed"],
             )
 
-        ids, texts, held = [], [], 0
+        ids, block = [], Block()
         for batch in batches:
             for i, t in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
-                raw = t.as_py()
                 ids.append(i)
-                texts.append(raw.translate(FOLDED).split())
-                held += len(raw)
-                if held >= BLOCK_BYTES:
-                    yield block(ids, texts)
-                    ids, texts, held = [], [], 0
-        yield block(ids, texts)
+                block.add(t.as_py())
+                if block.size >= BLOCK_BYTES:
+                    yield close(ids, block)
+                    ids, block = [], Block()
+        yield close(ids, block)
 
     rows = docs.select(F.col(key).cast("long").alias("id"), text_bytes().alias("t"))
     return rows.mapInArrow(run, "id long, n_words long, n_features long, packed binary")
