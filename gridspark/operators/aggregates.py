@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions import odds
+
 
 def bet_record(profit: Column) -> list[Column]:
     """Bets, wins, losses, pushes, hit rate over decided bets, and return on one unit a bet."""
@@ -110,3 +117,92 @@ def mcnemar(df: DataFrame, a: Column, b: Column, actual: Column) -> DataFrame:
 def error_metrics(predicted: Column, actual: Column) -> list[Column]:
     gap = predicted - actual
     return [F.count(gap).alias("n"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(gap).alias("bias"), F.corr(predicted, actual).alias("corr")]
+
+
+def bootstrap_auc(df: DataFrame, row: list[str], a: str, b: str, y: str, replicates: int = 1000, seed: int = 42, slices: int = 64) -> DataFrame:
+    """One row: the areas under the ROC curves of ``a`` and ``b``, their gap, its mean and deviation over Poisson bootstrap replicates, z and p.
+
+    A row's weights in all replicates are drawn from a hash of its key, so reruns agree, and are the same for both scores. Where rows are read, those of
+    one score are added up, as vectors of weights with and without the outcome. Slices of scores (0 to 1) are ordered on their own, one pass giving what every
+    replicate's area gains there; what lies below a slice is added from the slices' totals.
+    """
+    wide = replicates + 1
+    parts = "model int, slice int, score double, pos binary, neg binary"
+    sums = "model int, slice int, below array<double>, pos array<double>, neg array<double>"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                some = batch.slice(lo, 2048)
+                weight = _poisson(some.column("h").to_numpy(), replicates)
+                won = some.column("y").to_numpy() > 0
+                rows: list[list] = []
+                for model, name in enumerate(("a", "b")):
+                    scores, at = np.unique(some.column(name).to_numpy(), return_inverse=True)
+                    both = np.zeros((2, len(scores), wide), np.int64)
+                    np.add.at(both[0], at[won], weight[won])
+                    np.add.at(both[1], at[~won], weight[~won])
+                    cut = np.clip((scores * slices).astype(np.int64), 0, slices - 1)
+                    rows += [[model, int(c), float(s), p.tobytes(), n.tobytes()] for c, s, p, n in zip(cut, scores, both[0], both[1], strict=True)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("model", "slice", "score", "pos", "neg"), r, strict=True)) for r in rows], _schema(parts))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, score = None, None
+        below, pos, neg, tied_pos, tied_neg = (np.zeros(wide) for _ in range(5))
+
+        def settle() -> None:
+            below[:] += tied_pos * (neg + tied_neg / 2)
+            pos[:], neg[:] = pos + tied_pos, neg + tied_neg
+            tied_pos[:], tied_neg[:] = 0, 0
+
+        def told() -> pa.RecordBatch:
+            settle()
+            row = dict(zip(("model", "slice", "below", "pos", "neg"), (*now, below.tolist(), pos.tolist(), neg.tolist()), strict=True))
+            return pa.RecordBatch.from_pylist([row], _schema(sums))
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (key := (r["model"], r["slice"])) != now:
+                    if now is not None:
+                        yield told()
+                    now, score = key, r["score"]
+                    for total in (below, pos, neg, tied_pos, tied_neg):
+                        total[:] = 0
+                if r["score"] != score:
+                    settle()
+                    score = r["score"]
+                tied_pos += np.frombuffer(r["pos"], np.int64)
+                tied_neg += np.frombuffer(r["neg"], np.int64)
+        if now is not None:
+            yield told()
+
+    rows = df.select(F.xxhash64(F.lit(seed), *row).alias("h"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(y).cast("int").alias("y")).dropna()
+    gathered = rows.mapInArrow(gather, parts)
+    each = gathered.repartition("model", "slice").sortWithinPartitions("model", "slice", "score").mapInArrow(order, sums)
+    long = each.select("model", "slice", F.posexplode(F.arrays_zip("below", "pos", "neg")).alias("r", "v")).select("model", "slice", "r", "v.*")
+    under = F.coalesce(F.sum("neg").over(Window.partitionBy("model", "r").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    area = F.try_divide(F.sum(F.col("below") + F.col("pos") * F.col("under")), F.sum("pos") * F.sum("neg"))
+    sides = long.withColumn("under", under).groupBy("model", "r").agg(area.alias("auc"))
+    per = sides.groupBy("r").agg(F.max(F.when(F.col("model") == 0, F.col("auc"))).alias("x"), F.max(F.when(F.col("model") == 1, F.col("auc"))).alias("y"))
+    drawn = F.when(F.col("r") > 0, F.col("x") - F.col("y"))
+    first = lambda c: F.max(F.when(F.col("r") == 0, F.col(c)))
+    out = per.agg(first("x").alias("auc_a"), first("y").alias("auc_b"), F.avg(drawn).alias("mean_gap"), F.stddev_pop(drawn).alias("sd"))
+    z = F.when(F.col("sd") > 0, F.col("mean_gap") / F.col("sd")).otherwise(0.0)
+    out = out.withColumn("gap", F.col("auc_a") - F.col("auc_b")).withColumn("z", z)
+    return out.withColumn("p_value", F.when(F.col("sd") > 0, 2 * (1 - odds.normal_cdf(F.abs("z")))).otherwise(1.0))
+
+
+def _poisson(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Weights of each key: 1, then draws with mean 1 from a mix of the key's and the replicate's bits."""
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+    drawn = np.searchsorted(steps, u, side="right").astype(np.int64)
+    return np.concatenate([np.ones((len(keys), 1), np.int64), drawn], axis=1)
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])

@@ -27,7 +27,7 @@ def _instant(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def _carry(left: DataFrame, right: DataFrame, keys: list[str], at: Column, event: Column, strict: bool, tie: list[Column], slice_us: int) -> DataFrame:
+def carry_last(left: DataFrame, right: DataFrame, keys: list[str], at: Column, event: Column, strict: bool, tie: list[Column], slice_us: int) -> DataFrame:
     """(l, r): left rows as structs, each with its keys' last right row at or (``strict``) before ``at``; of equal times the first by ``tie``.
 
     Each key's time is cut into slices. Inside a slice both sides are put in one order and the last right row is carried along; the
@@ -65,7 +65,7 @@ def asof_join(
     Of right rows at one time the first by ``tie`` counts. Right values that are null are carried as null; a left row without a time, or
     with a null key, finds nothing. ``slice_us`` bounds what one task sorts of a key.
     """
-    met = _carry(left, right, [key], _instant(at), _instant(event), strict, tie or [], slice_us)
+    met = carry_last(left, right, [key], _instant(at), _instant(event), strict, tie or [], slice_us)
     return met.select("l.*", F.col(f"r.{event}").alias(f"{event}_asof"), *[F.col(f"r.{v}").alias(v) for v in values])
 
 
@@ -80,7 +80,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, event:
     t, e = _instant(at), _instant(event)
     found = None
     for sign in (1, -1):
-        met = _carry(rows, right, keys, t * sign, e * sign, False, order, slice_us).filter(F.col("r").isNotNull())
+        met = carry_last(rows, right, keys, t * sign, e * sign, False, order, slice_us).filter(F.col("r").isNotNull())
         gap = F.abs(F.unix_micros(F.col(f"l.{at}").cast("timestamp")) - F.unix_micros(F.col(f"r.{event}").cast("timestamp")))
         part = met.select("l", F.col("l._row").alias("row"), F.struct(gap.alias("distance"), *[F.col(f"r.{c}").alias(f"_t{i}") for i, c in enumerate(tie)]).alias("o"), "r")
         found = part if found is None else found.union(part)

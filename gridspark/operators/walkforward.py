@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions import odds
+
 ALL = Window.unboundedPreceding
 
 
@@ -117,3 +122,49 @@ def split(df: DataFrame, season: str, score_season: int, first: int | None = Non
     return df.filter(early if first is None else early & (F.col(season) >= first)), df.filter(F.col(season) == score_season)
 
 
+
+
+def walk_forward_scores(
+    games: DataFrame, features: list[str], margin: str, cadence: str = "week", first: int | None = None, least: int = 150, ridge: float = 1.0
+) -> DataFrame:
+    """Final games with ``pred_margin``, ``win_prob`` and what they were trained on, each chunk scored by a model of what was final before it.
+
+    A chunk is a week, trained on earlier weeks and seasons, or (``cadence`` season) a season, trained on earlier seasons, from ``first`` on. The model is a ridge
+    regression of the margin (the intercept free), the chance of winning that of a normal margin. Its sums of products are made per week, and run over the weeks:
+    so each chunk's model is solved from one row, without a pass of its own over the games. A chunk with fewer than ``least`` games before it, or without a win
+    or a loss among them, is not scored. Missing features count as 0.
+    """
+    x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
+    d, y = len(x), F.col(margin).cast("double")
+    final = games.filter(F.col(margin).isNotNull() & F.col("season").isNotNull() & F.col("week").isNotNull())
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    taught = F.lit(True) if first is None else F.col("season") >= first
+    names = {**{f"_s{i}_{j}": x[i] * x[j] for i, j in pairs}, **{f"_t{i}": x[i] * y for i in range(d)}, "_yy": y * y, "_n": F.lit(1.0), "_won": (y > 0).cast("double"), "_lost": (y < 0).cast("double")}
+    weeks = final.groupBy("season", "week").agg(*[F.coalesce(F.sum(F.when(taught, v)), F.lit(0.0)).alias(n) for n, v in names.items()], F.count(F.lit(1)).alias("_games"))
+    #: One row a week of the calendar.
+    before = Window.orderBy("season", "week").rowsBetween(ALL, -1) if cadence == "week" else Window.orderBy("season").rangeBetween(ALL, -1)
+    run = weeks.select(
+        "season", "week", F.when(F.lit(cadence == "week"), F.row_number().over(Window.partitionBy("season").orderBy("week")) - 1).otherwise(0).alias("refit_id"),
+        *[F.sum(n).over(before).alias(n) for n in names], F.min(F.when(F.col("_n") > 0, F.col("season"))).over(before).alias("train_start"),
+        F.max(F.when(F.col("_n") > 0, F.col("season"))).over(before).alias("train_end"),
+    ).filter((F.col("_n") >= least) & (F.col("_won") > 0) & (F.col("_lost") > 0))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.to_dict("records"):
+                s = np.zeros((d, d))
+                for i, j in pairs:
+                    s[i, j] = s[j, i] = r[f"_s{i}_{j}"]
+                t = np.array([r[f"_t{i}"] for i in range(d)])
+                b = np.linalg.solve(s + ridge * np.diag([0.0] + [1.0] * (d - 1)), t) if d > 1 else t / s[0, 0]
+                spread = max((r["_yy"] - 2 * b @ t + b @ s @ b) / r["_n"], 1e-9) ** 0.5
+                out.append((r["season"], r["week"], r["refit_id"], int(r["train_start"]), int(r["train_end"]), int(r["_n"]), b.tolist(), spread))
+            yield pd.DataFrame(out, columns=["season", "week", "refit_id", "train_start", "train_end", "train_rows", "_b", "_spread"])
+
+    kinds = dict(run.dtypes)
+    schema = f"season {kinds['season']}, week {kinds['week']}, refit_id int, train_start int, train_end int, train_rows long, _b array<double>, _spread double"
+    models = run.mapInPandas(solve, schema)
+    scored = final.join(F.broadcast(models), ["season", "week"])
+    told = sum((F.col("_b")[i] * v for i, v in enumerate(x)), F.lit(0.0))
+    return scored.withColumn("pred_margin", told).withColumn("win_prob", odds.normal_cdf(F.col("pred_margin") / F.col("_spread"))).drop("_b", "_spread")

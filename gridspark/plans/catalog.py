@@ -6,10 +6,12 @@ from gridspark.plans import (  # noqa: F401
     aggregate_queries,
     attach_queries,
     clean_queries,
+    evaluation_queries,
     feed_queries,
     football_queries,
     form_queries,
     grading_queries,
+    ingest_queries,
     join_queries,
     player_queries,
     scalar_queries,

@@ -5,9 +5,11 @@ Each flattener is from_json and explode, so that a payload is read by the task t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.text import slug
+
 ROSTER = "struct<team:string,athletes:array<struct<position:string,items:array<struct<id:string,name:string,status:string>>>>>"
 DEPTH = "struct<team:string,positions:array<struct<position:string,athletes:array<struct<id:string>>>>>"
 ARTICLES = "struct<articles:array<struct<headline:string,published:string,categories:array<struct<type:string,team:string>>>>>"
@@ -100,16 +102,77 @@ def historical_events(feed: DataFrame) -> DataFrame:
     return parsed(feed, EVENTS).select(*keep, F.col("x.timestamp").alias("snapshot"), F.inline("x.data"))
 
 
+_ROW, _CELL = r"(?is)<tr\b[^<>]*>(.*?)</tr\s*>", r"(?is)<t%s\b([^<>]*)>(.*?)</t%s\s*>"
+
+
+def _cells(row: Column, kind: str = "d") -> Column:
+    """Texts of a row's cells (``kind``: d, h or [dh]) without tags; a cell that spans n columns stands n times."""
+    pattern = F.lit(_CELL % (kind, kind))
+    spans, texts = F.regexp_extract_all(row, pattern, F.lit(1)), F.regexp_extract_all(row, pattern, F.lit(2))
+    wide = F.transform(spans, lambda a: F.coalesce(F.nullif(F.regexp_extract(a, r"(?i)\bcolspan\s*=\s*[\"']?(\d{1,3})", 1), F.lit("")).cast("int"), F.lit(1)))
+    return F.flatten(F.zip_with(texts, wide, lambda t, n: F.array_repeat(F.trim(F.regexp_replace(t, "<[^<>]*>", "")), n)))
+
+
 def html_rows(pages: DataFrame, html: str, columns: list[str]) -> DataFrame:
-    """Body rows of HTML tables: one row per tr that has as many td cells as ``columns``; header rows have none.
+    """Body rows of HTML tables: one row per tr with td cells that fill all ``columns``; header rows have none.
+
+    A cell over several columns fills each of them. Rows with fewer cells are filled with nulls, surplus cells are left out. Tags within a cell are dropped and white space is
+    trimmed; patterns only, no row leaves the JVM.
+    """
+    keep = [c for c in pages.columns if c != html]
+    each = pages.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(_ROW), F.lit(1))).alias("r")).withColumn("c", _cells(F.col("r")))
+    return each.filter(F.size("c") > 0).select(*keep, *[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(columns)])
+
 
-    Tags within a cell are dropped and white space is trimmed; patterns only, no row leaves the JVM.
+def stitched_tables(pages: DataFrame, html: str, id_columns: list[str]) -> DataFrame:
+    """Pages whose rows stand in two tables, names in the first and values in the second, as long rows: (page columns, row, ``id_columns``, name, value).
+
+    Rows meet by their position among the body rows of their table; header rows, wherever they are repeated, count in neither. Names of values come from the second table's
+    last header row, as snake case, a repeated one with a number behind it. A row that one table lacks keeps what the other has.
     """
     keep = [c for c in pages.columns if c != html]
-    each = pages.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^<>]*>(.*?)</tr\s*>"), F.lit(1))).alias("r"))
-    cells = F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^<>]*>(.*?)</td\s*>"), F.lit(1))
-    plain = each.withColumn("c", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, "<[^<>]*>", ""))))
-    return plain.filter(F.size("c") == len(columns)).select(*keep, *[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^<>]*>(.*?)</table\s*>"), F.lit(1))
+    two = pages.select(*keep, tables.alias("t")).filter(F.size("t") >= 2)
+    body = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(_ROW), F.lit(1)), lambda r: _cells(r)), lambda c: F.size(c) > 0)
+    heads = F.filter(F.transform(F.regexp_extract_all(F.col("t")[1], F.lit(_ROW), F.lit(1)), lambda r: _cells(r, "h")), lambda c: F.size(c) > 0)
+    named = two.select(*keep, body(F.col("t")[0]).alias("a"), body(F.col("t")[1]).alias("b"), F.try_element_at(heads, F.lit(-1)).alias("h"))
+    plain = F.transform(F.coalesce("h", F.array().cast("array<string>")), slug)
+    seen = F.transform(plain, lambda n, i: F.size(F.filter(F.slice(F.col("n"), F.lit(1), i), lambda m: m == n)))
+    named = named.withColumn("n", plain).withColumn("n", F.zip_with("n", seen, lambda n, k: F.when(k > 0, F.concat_ws("_", n, k.cast("string"))).otherwise(n)))
+    rows = named.select(*keep, "n", F.posexplode(F.zip_with("a", "b", lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("row", "r"))
+    ids = [F.try_element_at("r.x", F.lit(i + 1)).alias(c) for i, c in enumerate(id_columns)]
+    values = F.filter(F.arrays_zip(F.col("n").alias("name"), F.col("r.y").alias("value")), lambda v: v["name"].isNotNull())
+    return rows.select(*keep, "row", *ids, F.explode_outer(values).alias("v")).select(*keep, "row", *id_columns, "v.name", "v.value")
+
+
+def paged(rows: DataFrame, feed: list[str], page: str, key: list[str]) -> DataFrame:
+    """Rows of a feed's pages up to the first page that brings nothing new, each ``key`` from the first page that has it.
+
+    A server that is asked beyond its last page sends an earlier one again; so the first page without a new key ends the feed.
+    """
+    w = Window.partitionBy(*feed, *key).orderBy(page)
+    fresh = rows.withColumn("_new", F.rank().over(w) == 1)
+    pages = fresh.groupBy(*feed, F.col(page).alias("_page")).agg(F.bool_or("_new").alias("_any"))
+    order = Window.partitionBy(*feed).orderBy("_page").rowsBetween(Window.unboundedPreceding, 0)
+    #: A page counts if it and all before it are there, from the first on, and bring something new.
+    good = pages.withColumn("_ok", F.min(F.col("_any").cast("int")).over(order)).withColumn("_ok", (F.col("_ok") == 1) & (F.row_number().over(Window.partitionBy(*feed).orderBy("_page")) == F.col("_page")))
+    kept = good.withColumn("_ok", F.min(F.col("_ok").cast("int")).over(order)).filter("_ok = 1").drop("_any", "_ok")
+    same = F.col(page) == F.col("_page")
+    for c in feed:
+        same = same & (F.col(c) == F.col(f"_f_{c}"))
+    named = kept.select(*[F.col(c).alias(f"_f_{c}") for c in feed], "_page")
+    return fresh.filter("_new").join(named, same).select(*rows.columns)
+
+
+def team_totals(values: DataFrame, keys: list[str], category: str, name: str = "name", value: str = "value", prefix: str = "espn") -> DataFrame:
+    """(keys, stat, total) of long tables of texts: sums of what reads as a number, by team and season, null where nothing does.
+
+    ``stat`` is prefix, category and name; a stat that two tables of one category bring is taken from the first that has a number, by the table's ``source``.
+    """
+    stat = F.lower(F.concat_ws("_", F.lit(prefix), F.trim(F.col(category)), F.col(name))).alias("stat")
+    per = values.dropna(subset=[*keys, name]).groupBy(*keys, stat, "source").agg(F.sum(number(F.col(value))).alias("total"))
+    first = F.min_by("total", F.when(F.col("total").isNotNull(), F.col("source")))
+    return per.groupBy(*keys, "stat").agg(first.alias("total"))
 
 
 def number(x: Column) -> Column:
