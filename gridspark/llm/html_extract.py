@@ -1,10 +1,10 @@
 """Main text of web pages by a minimum cut.
 
 A page becomes a row of text blocks. A logistic classifier over what speaks for and against each block (length, links, ending,
-tag, depth, names around it) gives log-odds, which become the capacities to the two terminals; blocks that are neighbours on
+tag) gives log-odds, to which containers and names around the block add theirs; they become the capacities to the two terminals. Blocks that are neighbours on
 the page, or close in the document tree, are joined by smoothness edges. The minimum cut, found by maximum flow,
-labels all blocks at once. The classifier is fitted on a bounded sample of the pages themselves. Spark deals out the pages; a
-task holds one page's blocks at a time.
+labels all blocks at once. The classifier is fitted on a bounded sample of the pages themselves, whose containers and names give the labels. Nothing of a block depends on how
+deep it stands, so plain containers around a page change nothing. Spark deals out the pages; a task holds one page's blocks at a time.
 """
 
 from __future__ import annotations
@@ -49,14 +49,16 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Units of a capacity, and one that no cut pays: only the elements in NEVER have it.
 UNIT, NO_CUT = 16, 1 << 30
-#: Inputs of the classifier, and the weights that hold before any page was seen: the middle of the prior of the fit.
+#: Inputs of the classifier, all between 0 and 1 and blind to plain containers around a block, and the weights that hold before any page was seen.
+#: A weight is fitted on its own side of 0 (free where it is 0), so no sample turns what an input speaks for.
 PRIOR = {
-    "one": -2.0, "log_words": 1.1, "link_share": -4.0, "ends_sentence": 1.0, "heading": 1.0, "cell": -1.0, "copyright": -3.0,
-    "depth": 0.0, "capitals": 0.0, "digits": 0.0, "within": 7.0, "beside": -15.0,
+    "log_words": 4.4, "link_share": -4.0, "ends_sentence": 1.0, "heading": 1.0, "cell": -1.0, "copyright": -3.0, "capitals": 0.0, "digits": 0.0, "one": -2.0,
 }
-_NAMES = [i for i, k in enumerate(PRIOR) if k in ("within", "beside")]
-#: Bounds of the sample that the classifier is fitted on: pages, characters of a page, blocks.
-FIT_PAGES, FIT_CHARS, FIT_BLOCKS = 400, 100_000, 20_000
+_FREE = ("capitals", "digits", "one")
+#: What a container of the article adds, and what is left of a name beside the article after all else: more than its neighbours' edges can pay.
+WITHIN_GAIN, BESIDE_LEFT = 12.0, 6.0
+#: Bounds of the sample that the classifier is fitted on: pages, characters of a page, blocks; and how many blocks the sample counts for beside the prior.
+FIT_PAGES, FIT_CHARS, FIT_BLOCKS, EVIDENCE = 400, 100_000, 20_000, 200.0
 
 
 @dataclass
@@ -191,10 +193,9 @@ def inputs(block: Block) -> list[float]:
     text = block.text
     words, size = text.count(" ") + 1, len(text)
     return [
-        1.0, min(float(np.log1p(words)), 4.0), min(1.0, block.linked / size), float(text[-1] in ".!?…:\"'”»)"),
+        min(float(np.log1p(words)), 4.0) / 4, min(1.0, block.linked / size), float(text[-1] in ".!?…:\"'”»)"),
         float(block.tag in ("h1", "h2", "h3", "h4", "blockquote", "pre", "figcaption")), float(block.tag in ("li", "td", "th")),
-        float("©" in text), min(len(block.path), 20) / 10, sum(map(str.isupper, text[:400])) / min(size, 400),
-        sum(map(str.isdigit, text[:400])) / min(size, 400), float(block.within), float(block.beside),
+        float("©" in text), sum(map(str.isupper, text[:400])) / min(size, 400), sum(map(str.isdigit, text[:400])) / min(size, 400), 1.0,
     ]
 
 
@@ -203,36 +204,44 @@ def known_label(block: Block) -> int:
     return 0 if block.never or block.beside else 1 if block.within else -1
 
 
-def fit(x: np.ndarray, y: np.ndarray, spread: float = 3.0, steps: int = 30) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, spread: float = 3.0, steps: int = 60) -> np.ndarray:
     """Weights of a logistic classifier by Newton's method, with a normal prior around PRIOR of width ``spread``.
 
-    Each row counts twice, once without the inputs that come from names and containers; so the others must do without them.
-    What the rows say nothing of keeps its prior weight; without rows all do.
+    All rows together count for EVIDENCE blocks at most, so that a large sample that a plane can part does not drive the weights off. A weight that would cross 0
+    stays there. Names and containers are no inputs: they make the labels. Without rows the prior stands.
     """
     middle = np.array(list(PRIOR.values()))
     if not len(y):
         return middle
-    bare = x.copy()
-    bare[:, _NAMES] = 0
-    x, y = np.concatenate((x, bare)), np.concatenate((y, y)).astype(float)
+    share, y = min(1.0, EVIDENCE / len(y)), y.astype(float)
+    side = np.where([k in _FREE for k in PRIOR], 0, np.sign(middle))
     w = middle.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + (w - middle) / spread**2
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2
-        move = np.linalg.solve(bend, slope)
+        slope = share * (x.T @ (p - y)) + (w - middle) / spread**2
+        stuck = (side != 0) & (w == 0) & (slope * side > 0)
+        bend = share * (x.T * (p * (1 - p))) @ x + np.eye(len(w)) / spread**2
+        move = np.zeros(len(w))
+        move[~stuck] = np.linalg.solve(bend[~stuck][:, ~stuck], slope[~stuck])
         w = w - move * min(1.0, 3.0 / max(float(np.abs(move).max()), 1e-12))
+        w = np.where((side != 0) & (w * side < 0), 0.0, w)
         if np.abs(move).max() < 1e-8:
             break
     return w
 
 
 def costs(block: Block, weights: np.ndarray) -> tuple[int, int]:
-    """What it costs to call a block boilerplate, and to call it content: its log-odds, in units of a capacity."""
+    """What it costs to call a block boilerplate, and to call it content: its log-odds, in units of a capacity.
+
+    A container of the article adds to them; a name beside the article takes away all that could speak for the block, its neighbours among it.
+    """
     if block.never:
         return 0, NO_CUT
-    odds = round(UNIT * float(np.dot(inputs(block), weights)))
-    return max(odds, 0), max(-odds, 0)
+    odds = float(np.dot(inputs(block), weights)) + WITHIN_GAIN * block.within
+    if block.beside:
+        odds = min(odds, 0.0) - BESIDE_LEFT
+    units = round(UNIT * odds)
+    return max(units, 0), max(-units, 0)
 
 
 def smoothness(row: list[Block]) -> list[tuple[int, int, int]]:
@@ -314,9 +323,9 @@ def main_text(page: str, weights: np.ndarray | None = None) -> str:
 
 
 def fit_on(pages: DataFrame, max_pages: int = FIT_PAGES, max_chars: int = FIT_CHARS, max_blocks: int = FIT_BLOCKS) -> np.ndarray:
-    """Weights fitted on blocks whose containers say what they are, of about ``max_pages`` pages, and no more, chosen by a hash."""
-    some = pages.filter(about(max_pages, pages.count(), "page_id", "url"))
-    chosen = some.filter(F.length("html").between(1, max_chars)).select("html").limit(max_pages)
+    """Weights fitted on blocks whose containers say what they are, of the ``max_pages`` pages with the smallest hashes, whatever their order in the table."""
+    some = pages.filter(about(2 * max_pages, pages.count(), "page_id", "url"))
+    chosen = some.filter(F.length("html").between(1, max_chars)).orderBy(F.xxhash64("page_id", "url"), F.xxhash64("html")).limit(max_pages).select("html")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,8 +128,70 @@ def test_cut_decides_where_names_say_nothing():
     assert flips > 100 and scores["cut"] > scores["classifier"] + 0.02 and scores["classifier"] > scores["names"], (flips, scores)
 
 
+def _rows():
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+
+
+def _fitted(rows):
+    known = [(H.inputs(b), y) for h in rows for b in H.blocks(h) if (y := H.known_label(b)) >= 0]
+    return H.fit(np.array([x for x, _ in known]), np.array([y for _, y in known]))
+
+
+@pytest.mark.parametrize("deep", [1, 4, 12, 40])
+def test_plain_containers_change_nothing(deep):
+    rows = _rows()
+    weights = _fitted(rows)
+    opened, closed = "<div>" * deep, "</div>" * deep
+    for h in rows:
+        text = H.main_text(h, weights)
+        assert H.main_text(h.replace("<body>", "<body>" + opened).replace("</body>", closed + "</body>"), weights) == text
+        assert H.main_text(h.replace("<article>", opened + "<article>"), weights) == text
+
+
+@pytest.mark.parametrize("name", ["sidebar", "ad", "comments", "cookie-notice", "related"])
+def test_named_boilerplate_never_comes_in(name):
+    rows = _rows()
+    weights = _fitted(rows)
+    told = "A long and well formed sentence that could stand in any article, if its container did not say otherwise. " * 5
+    for h in rows[:60]:
+        text = H.main_text(h, weights)
+        for deep in (1, 10):
+            extra = f"{'<div>' * deep}<div class='{name}'><p>{told}</p><h2>{told}</h2></div>{'</div>' * deep}"
+            assert H.main_text(h.replace("<article>", extra + "<article>"), weights) == text
+            assert H.main_text(h.replace("</p></article>", f"</p>{extra}</article>"), weights) == text
+
+
+def test_given_pages_without_their_names():
+    """Half of the pages lose all that names their parts; what is left to the classifier and the cut is held against the named pages' labels."""
+    rows = _rows()
+    weights = _fitted(rows[::2])
+    flips, right, of = 0, {"names": [], "classifier": [], "cut": []}, []
+    for h in rows[1::2]:
+        bare = re.sub(r"<(/?)(?:nav|article|footer)\b", r"<\1div", h).replace(' class="ad"', "")
+        row, truth = H.blocks(bare), [H.known_label(b) == 1 for b in H.blocks(h)]
+        assert [b.text for b in row] == [b.text for b in H.blocks(h)]
+        ends = [H.costs(b, weights) for b in row]
+        cut, alone = H.minimum_cut(ends, H.smoothness(row)), [k > d for k, d in ends]
+        flips += sum(a != b for a, b in zip(cut, alone, strict=True))
+        right["names"] += [b.within and not b.beside and not b.never for b in row]
+        right["classifier"] += alone
+        right["cut"] += cut
+        of += truth
+    scores = {k: 2 * sum(a and b for a, b in zip(v, of, strict=True)) / max(sum(v) + sum(of), 1) for k, v in right.items()}
+    print(len(of), flips, scores)
+    assert flips > 0 and scores["names"] == 0 and scores["cut"] > scores["classifier"] and scores["cut"] > 0.9, (len(of), flips, scores)
+
+
+def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    a, b = (H.fit_on(pages.repartition(n, key), max_pages=50) for n, key in ((1, "page_id"), (7, "html")))
+    assert (a == b).all()
+
+
 def test_fit_keeps_the_prior_without_rows():
     prior = np.array(list(H.PRIOR.values()))
     assert (H.fit(np.zeros((0, len(prior))), np.zeros(0)) == prior).all()
     seen = H.fit(np.eye(len(prior))[:1].repeat(50, axis=0), np.ones(50))
     assert seen[0] > prior[0] and (seen[1:] == prior[1:]).all()
+    against = H.fit(np.eye(len(prior))[:1].repeat(50_000, axis=0), np.zeros(50_000))
+    assert 0 <= against[0] < prior[0]  # a weight keeps its side, however many rows speak against it
