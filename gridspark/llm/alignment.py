@@ -9,10 +9,12 @@ back goes to the block, where each document sums its links. Stripes are salted b
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from gridspark.llm.common import Scratch
 
 #: Bytes of text at which a block of documents ends; a longer text is a block of its own. Results don't depend on it.
 BLOCK_BYTES = 8 << 20
+#: Characters of text that go to the libraries at once.
+PORTION = 1 << 20
 #: Ids of the second tokenizer in one matrix: with 50,257 columns 51 MB.
 STRIPE_IDS = 128
 #: Cells of a matrix in one row of its table.
@@ -60,16 +64,43 @@ class Pair:
         ends = ((self.a, ","), (self.a, "|"), (self.b, ","), (self.b, ";"))
         self.written = [f"{i}{end}".encode() for n, end in ends for i in range(n)]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.flat_a, self.at_a = _flat(self.bytes_a)
+        self.flat_b, self.at_b = _flat(self.bytes_b)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both for each whole text; none where its bytes don't come back."""
-        found_a = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        found_b = self.second.encode(texts, num_threads=1)
-        out = []
-        for text, a, b in zip(texts, found_a, found_b, strict=True):
-            raw = b" " + text.encode()
-            whole = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((np.array(a if whole else [], np.int64), np.array(b if whole else [], np.int64)))
-        return out
+        found_a = [_ids(e.ids) for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        found_b = [_ids(x) for x in self.second.encode(texts, num_threads=1)]
+        raw = [b" " + t.encode() for t in texts]
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        whole = np.array([len(t) > 0 for t in texts])
+        for found, flat, at, length in ((found_a, self.flat_a, self.at_a, self.length_a), (found_b, self.flat_b, self.at_b, self.length_b)):
+            whole &= _same(found, raw, joined, flat, at, length)
+        none = np.zeros(0, np.int32)
+        return [a if w else none for a, w in zip(found_a, whole, strict=True)], [b if w else none for b, w in zip(found_b, whole, strict=True)]
+
+
+def _ids(found: list[int]) -> np.ndarray:
+    return np.frombuffer(array("i", found), np.int32)
+
+
+def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes in a row, and where each begins."""
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *[len(t) for t in tokens[:-1]]]).astype(np.int64)
+
+
+def _same(found: list[np.ndarray], raw: list[bytes], joined: np.ndarray, flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each text whether the bytes of its ids are its own."""
+    ids = np.concatenate(found)
+    sizes = length[ids]
+    ends = np.cumsum(sizes)
+    back = flat[np.repeat(at[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    if len(back) == len(joined) and np.array_equal(back, joined):
+        per = np.concatenate([[0], ends])[np.cumsum([len(f) for f in found])]
+        if np.array_equal(per, np.cumsum([len(r) for r in raw])):
+            return np.ones(len(found), bool)
+    cuts = np.concatenate([[0], ends])[np.cumsum([0, *[len(f) for f in found]])]
+    return np.array([back[x:y].tobytes() == r for x, y, r in zip(cuts[:-1], cuts[1:], raw, strict=True)])
 
 
 @lru_cache(maxsize=1)
@@ -78,23 +109,31 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
-def align(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
-    """Of one text's ids: the places of the A and B tokens that end together, and the checksum of the groups between."""
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), ""
+def align(pair: Pair, found_a: list[np.ndarray], found_b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of texts' ids: A ids and B ids of the tokens that end together, how many of them each text has, and the checksums of the groups between."""
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
     ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
-    at = np.searchsorted(ends_b, ends_a)
-    last_a = np.flatnonzero(ends_b[at] == ends_a)
-    last_b = at[last_a]
+    size = int(ends_a[-1]) + 1 if len(ends_a) else 1
+    marked = np.zeros(size, np.int8)
+    marked[ends_a] = 1
+    marked[ends_b] += 2
+    last_a, last_b = np.flatnonzero(marked[ends_a] == 3), np.flatnonzero(marked[ends_b] == 3)
     sizes_a, sizes_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-    code_a, code_b = a.copy(), b + 2 * pair.a
+    code_a, code_b = a.copy(), b + np.int32(2 * pair.a)
     code_a[last_a] += pair.a
     code_b[last_b] += pair.b
-    codes = np.empty(len(a) + len(b), np.int64)
+    codes = np.empty(len(a) + len(b), np.int32)
     codes[np.arange(len(a)) + np.repeat(last_b + 1 - sizes_b, sizes_a)] = code_a
     codes[np.arange(len(b)) + np.repeat(last_a + 1, sizes_b)] = code_b
-    groups = b"".join(map(pair.written.__getitem__, codes.tolist()))[:-1]
-    return last_a, last_b, hashlib.sha256(groups).hexdigest()
+    written, listed = pair.written.__getitem__, codes.tolist()
+    stops_a = np.cumsum([len(x) for x in found_a])
+    stops = (stops_a + np.cumsum([len(x) for x in found_b])).tolist()
+    checksums, start = [], 0
+    for stop in stops:
+        checksums.append(hashlib.sha256(b"".join(map(written, listed[start:stop]))[:-1]).hexdigest() if stop > start else "")
+        start = stop
+    links = np.diff(np.searchsorted(last_a, stops_a), prepend=0)
+    return a[last_a], b[last_b], links, checksums
 
 
 _BLOCKS = (
@@ -119,16 +158,19 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, stripe_ids: int = STRI
         stripes = -(-pair.b // stripe_ids)
         number = TaskContext.get().partitionId() << 20
 
-        def close(ids: list, found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            linked = [a.size for a, *_ in found]
-            of_a, of_b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        def close(ids: list, found: dict[str, list]) -> Iterator[pa.RecordBatch]:
+            linked, of_a, of_b = found["links"], np.concatenate(found["of_a"]), np.concatenate(found["of_b"]).astype(np.int64)
             code = ((of_b % stripes) * stripe_ids + of_b // stripes) * pair.a + of_a
-            distinct, place, times = np.unique(code, return_inverse=True, return_counts=True)
-            packed = place.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
+            seen, met = pd.factorize(code)
+            order = np.argsort(met)
+            distinct, times = met[order], np.bincount(seen, minlength=len(met))[order]
+            place = np.empty(len(order), "<u2" if len(order) <= 1 << 16 else "<u4")
+            place[order] = np.arange(len(order))
+            packed = place[seen]
             starts = np.cumsum([0, *linked]).tolist()
             yield batch_of(
-                {"block": [number] * len(ids), "doc_id": ids, "n_a": [f[2] for f in found], "n_b": [f[3] for f in found],
-                 "n_groups": linked, "groups_sha256": [f[4] for f in found],
+                {"block": [number] * len(ids), "doc_id": ids, "n_a": found["n_a"], "n_b": found["n_b"],
+                 "n_groups": linked, "groups_sha256": found["checksums"],
                  "links": [packed[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]}
             )
             stripe, cell = np.divmod(distinct, stripe_ids * pair.a)
@@ -139,19 +181,20 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, stripe_ids: int = STRI
                  "cells": [cell[x:y].astype("<u4").tobytes() for x, y in cuts], "counts": [times[x:y].astype("<i8").tobytes() for x, y in cuts]}
             )
 
-        ids, found, held = [], [], 0
+        ids, found, held = [], {}, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for i, t, (a, b) in zip(part.column("doc_id").to_pylist(), texts, pair.encode(texts), strict=True):
-                    last_a, last_b, checksum = align(pair, a, b)
-                    ids.append(i)
-                    found.append((a[last_a], b[last_b], len(a), len(b), checksum))
-                    held += len(t)
-                    if held >= BLOCK_BYTES:
-                        yield from close(ids, found)
-                        ids, found, held, number = [], [], 0, number + 1
+            every, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            for lo, hi in _portions([len(t) for t in texts]):
+                found_a, found_b = pair.encode(texts[lo:hi])
+                of_a, of_b, links, checksums = align(pair, found_a, found_b)
+                told = {"of_a": [of_a], "of_b": [of_b], "links": links.tolist(), "n_a": map(len, found_a), "n_b": map(len, found_b), "checksums": checksums}
+                for name, values in told.items():
+                    found.setdefault(name, []).extend(values)
+                ids += every[lo:hi]
+                held += sum(map(len, texts[lo:hi]))
+                if held >= BLOCK_BYTES:
+                    yield from close(ids, found)
+                    ids, found, held, number = [], {}, 0, number + 1
         if ids:
             yield from close(ids, found)
 
@@ -159,6 +202,18 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, stripe_ids: int = STRI
     return rows.mapInArrow(run, _BLOCKS)
 
 
+def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have PORTION characters together; a longer text is one of its own."""
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > PORTION:
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if sizes:
+        yield lo, len(sizes)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         columns = {c: batch.column(c) for c in batch.schema.names}

@@ -110,9 +110,22 @@ def test_nothing_to_align(spark):
 
 def test_groups_of_a_pair_of_ids():
     pair = alignment.Pair(*FILES)
-    ((a, b),) = pair.encode(["unbelievably tokenised"])
-    last_a, last_b, checksum = alignment.align(pair, a, b)
-    cuts = list(zip([0, *(last_a + 1)], last_a + 1, [0, *(last_b + 1)], last_b + 1, strict=False))
-    text = ";".join(f"{','.join(map(str, a[w:x]))}|{','.join(map(str, b[y:z]))}" for w, x, y, z in cuts)
-    assert hashlib.sha256(text.encode()).hexdigest() == checksum
-    assert np.all(np.cumsum(pair.length_a[a])[last_a] == np.cumsum(pair.length_b[b])[last_b])
+    texts = ["unbelievably tokenised", "", "a▁b", "twice twice"]
+    found_a, found_b = pair.encode(texts)
+    assert [len(x) > 0 for x in found_a] == [len(x) > 0 for x in found_b] == [True, False, False, True]
+    of_a, of_b, links, checksums = alignment.align(pair, found_a, found_b)
+    assert links.sum() == len(of_a) == len(of_b) and checksums[1] == checksums[2] == ""
+    for a, b, n, checksum in zip(found_a, found_b, links, checksums, strict=True):
+        ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
+        common = sorted({*ends_a.tolist()} & {*ends_b.tolist()})
+        assert n == len(common)
+        if common:
+            of = lambda ids, ends, lo, hi: ",".join(str(i) for i, e in zip(ids, ends, strict=True) if lo < e <= hi)
+            text = ";".join(f"{of(a, ends_a, lo, hi)}|{of(b, ends_b, lo, hi)}" for lo, hi in zip([0, *common], common, strict=False))
+            assert hashlib.sha256(text.encode()).hexdigest() == checksum
+
+
+def test_portions():
+    assert list(alignment._portions([])) == [] and list(alignment._portions([0, 0, 3])) == [(0, 3)]
+    n = alignment.PORTION
+    assert list(alignment._portions([n + 1, 1, n, n - 1, 1, 5])) == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6)]
