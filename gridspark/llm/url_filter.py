@@ -1,18 +1,18 @@
 """URL verdicts: rules first, and for all other pages trust and distrust that spread over edges between hosts.
 
 Edges are links with a host of their own (relative ones stay on their host and make none) and, both ways, the step from a
-host to the host its name hangs from, down to the last two labels. Trust spreads from pages that rules allow along the edges;
-distrust spreads from pages that rules block against them, to those that link there. A host's score is what a walk
-finds that starts there, follows a random edge back and stops with the chance 1 - keep at each step, or where no edge is left: the mean
-of the seeds it stops at, which is personalised PageRank seen from the host. So neither the size of the table nor the number of
-hosts that link to the same seed moves a verdict. Trust and distrust go through the same Spark joins, round by round.
+host to the host its name hangs from, down to the last two labels. Personalised PageRank spreads trust from the hosts whose pages rules
+allow, along the edges; distrust spreads from the hosts whose pages rules block, against them. At each step a host hands a part, ``keep``, of what it has to
+its neighbours, by the number of edges to each; every host starts with the share of its pages that a rule allows, or blocks. The same without seeds, every
+host starting with 1, is ordinary PageRank; a host's score is the one over the other: the part of all that reaches it which comes from seeds. So a host with many
+neighbours has no higher score than one with few. Scores count against the mean share of all hosts; all four sums go through the same Spark joins, round by round.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import Scratch
@@ -86,45 +86,56 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(ups).union(down).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, max_rounds: int = 150, tolerance: float = 1e-3) -> DataFrame:
-    """Edges (kind, src, dst, n) and seeds (kind, host, seed) to (kind, host, score).
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0.85, max_rounds: int = 150, tolerance: float = 2e-4) -> DataFrame:
+    """Edges (kind, src, dst, n) and seeds (kind, host, seed) to (kind, host, score, mean).
 
-    score = (1 - keep) × seed + keep × the mean of the scores of src over the edges to the host, weighed by n; a host that no edge
-    leads to keeps its seed. So scores stay between the smallest and the largest seed, 0 included. Rounds begin with
-    the seeds and end when no score moves by more than ``tolerance``, or with an error after ``max_rounds``; every third is written to the shared folder.
+    ``seeded`` is what reaches a host if every host starts with its seed, ``all`` if each starts with 1; a host keeps ``1 - keep`` of its start, and hands
+    ``keep`` of what it has to those its edges lead to, weighed by n; a host without edges hands on nothing. ``score`` is seeded over all, between the smallest and the largest seed, 0 included;
+    ``mean`` is the mean seed of the kind over all hosts. Rounds end when no score moves by more than ``tolerance`` in one, or with an error after
+    ``max_rounds``; every third is written to the shared folder.
     """
-    into = edges.groupBy("kind", "dst").agg(F.sum("n").alias("all"))
-    shares = scratch.write(edges.join(into, ["kind", "dst"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * keep).alias("w")), "shares")
-    fed = into.select("kind", F.col("dst").alias("host"), F.lit(1 - keep).alias("own"))
-    every = fed.select("kind", "host", F.lit(0.0).alias("seed")).unionByName(seeds.select("kind", "host", F.col("seed").cast("double")))
-    seeded = every.groupBy("kind", "host").agg(F.max("seed").alias("seed")).join(fed, ["kind", "host"], "left")
-    state = scratch.write(seeded.select("kind", "host", "seed", (F.col("seed") * F.coalesce("own", F.lit(1.0))).alias("base"), F.col("seed").alias("score")), "score")
-    base = state.select("kind", "host", "base")
-    if shares.isEmpty():
-        return state.select("kind", "host", "score")
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
+    shares = scratch.write(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * keep).alias("w")), "shares")
+    ends = [edges.select("kind", F.col(c).alias("host"), F.lit(0.0).alias("seed")) for c in ("src", "dst")]
+    every = seeds.select("kind", "host", F.col("seed").cast("double")).unionByName(ends[0]).unionByName(ends[1])
+    started = every.groupBy("kind", "host").agg(F.max("seed").alias("seed"))
+    state = scratch.write(started.select("kind", "host", "seed", (F.col("seed") * (1 - keep)).alias("seeded"), F.lit(1 - keep).alias("all")), "score")
+    base = state.select("kind", "host", "seeded", "all")
+    mean = state.groupBy("kind").agg(F.avg("seed").alias("mean"))  # one row a kind
+    score = F.try_divide("seeded", "all")
+
+    def told(found: DataFrame) -> DataFrame:
+        return found.withColumn("score", score).select("kind", "host", "score").join(F.broadcast(mean), "kind")
+
+    if shares.isEmpty() or keep == 0:
+        return told(state.withColumns({"seeded": F.col("seed"), "all": F.lit(1.0)}))
 
     def step(old: DataFrame) -> DataFrame:
-        handed = shares.join(old.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"])
-        parts = handed.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("got")).union(base)
-        return parts.groupBy("kind", "host").agg(F.sum("got").alias("score"))
+        handed = shares.join(old.select("kind", F.col("host").alias("src"), "seeded", "all"), ["kind", "src"])
+        parts = handed.select("kind", F.col("dst").alias("host"), (F.col("seeded") * F.col("w")).alias("seeded"), (F.col("all") * F.col("w")).alias("all")).union(base)
+        return parts.groupBy("kind", "host").agg(F.sum("seeded").alias("seeded"), F.sum("all").alias("all"))
 
     first = state
     for _ in range(max_rounds // AT_ONCE):
-        new = state
+        new = state.select("kind", "host", "seeded", "all")
         for _ in range(AT_ONCE - 1):
             new = step(new)
-        both = step(new).join(new.withColumnRenamed("score", "old"), ["kind", "host"])
-        before, state = state, scratch.write(both, "score")
-        moved = state.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        last = step(new).join(new.select("kind", "host", score.alias("old")), ["kind", "host"])
+        seen = Observation()
+        before, state = state, scratch.write(last.observe(seen, F.max(F.abs(score - F.col("old"))).alias("moved")), "score")
         if before is not first:
             scratch.drop(before)
+        moved = seen.get["moved"]
         if moved is None or moved <= tolerance:
-            return state.select("kind", "host", "score")
+            return told(state)
     raise RuntimeError(f"scores still move by {moved} after {max_rounds} rounds")
 
 
-def evidence(ruled: DataFrame, scratch: Scratch, keep: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
-    """(host, trust, distrust) from pages with host, html and rule_verdict; seeds are the shares of a host's pages that rules allow, and block."""
+def evidence(ruled: DataFrame, scratch: Scratch, keep: float = 0.85, tolerance: float = 2e-4) -> DataFrame:
+    """(host, trust, distrust) from pages with host, html and rule_verdict: scores over the mean of all hosts, 0 without any seed.
+
+    Seeds are the shares of a host's pages that rules allow, and block.
+    """
     edges = scratch.write(host_edges(ruled), "edges")
     per = scratch.write(
         ruled.filter("host <> ''").groupBy("host").agg(
@@ -137,21 +148,21 @@ def evidence(ruled: DataFrame, scratch: Scratch, keep: float = 0.85, tolerance:
         edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n")
     )
     seeds = per.select(F.lit("trust").alias("kind"), "host", F.col("good").alias("seed")).union(per.select(F.lit("distrust"), "host", "bad"))
-    scores = spread(both, seeds, scratch, keep, tolerance=tolerance)
+    scores = spread(both, seeds, scratch, keep, tolerance=tolerance).withColumn("score", F.try_divide("score", "mean"))
     value = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return scratch.write(scores.groupBy("host").agg(value("trust"), value("distrust")), "evidence")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_distrust: float = 0.4) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_distrust: float = 1.0, keep: float = 0.85) -> DataFrame:
     """One row per row of ``pages``: page_id, url, host, path, rule, verdict, trust, distrust.
 
-    Where no rule fits, a page is blocked if its host's distrust (0 to 1) reaches ``least_distrust`` and exceeds its trust; else it is
-    allowed. Null urls, or urls without ``://``, have an empty host and path and no evidence. Null html has no
+    Where no rule fits, a page is blocked if its host's distrust (1: that of the mean host) reaches ``least_distrust`` and exceeds its trust; else it is
+    allowed. ``keep`` 0 leaves every host its own seeds. Null urls, or urls without ``://``, have an empty host and path and no evidence. Null html has no
     links; repeated rows keep their rows; other columns are not read; an empty table returns none.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     ruled = match_rules(pages.select("page_id", "url", "html"), rules)
-    found = evidence(ruled, scratch).withColumnRenamed("host", "h")
+    found = evidence(ruled, scratch, keep).withColumnRenamed("host", "h")
     found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
     rows = ruled.drop("html").join(found, F.col("host") == F.col("h"), "left").drop("h")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})

@@ -9,6 +9,7 @@ SCHEMA = "page_id long, url string, html string"
 def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, linkers):
     pages = [(-1, "https://bad.net/x", "")]
     pages += [(i, f"https://farm{i}.com/", '<a href="https://bad.net/p">x</a>') for i in range(linkers)]
+    pages += [(-2 - i, f"https://other{i}.com/", "") for i in range(2 * linkers)]
     got = U.judge(spark.createDataFrame(pages, SCHEMA)).filter("page_id >= 0").select("verdict").collect()
     assert [r.verdict for r in got] == ["block"] * linkers
 
