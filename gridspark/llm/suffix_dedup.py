@@ -4,19 +4,22 @@ A text's windows of the least length are dealt to groups by their content, so th
 (the k-gram of least hash) and a core around it. Runs of windows with a core that occurs once can hold no repeat
 and go no further. Runs with the same bytes are counted as one. What is left is short and nearly equal; in each group of runs
 a Burrows-Wheeler transform is built, and breadth-first backward extension derives the common prefixes by increasing
-value up to the least length. Suffixes that share more hold the repeats.
+value up to the least length. Suffixes that share more hold the repeats. A group too large for one transform is dealt anew by wider cores,
+which fewer windows share, until its parts fit.
 
-Windows are told apart by their bytes, or by two 64-bit hashes of them.
+Runs with the same bytes are found by two 64-bit hashes of different make, one of the core and one of the whole; all else is compared by bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import Scratch, text_bytes
@@ -27,7 +30,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Cores that the windows of one anchor are dealt to: more are stricter, and give shorter runs.
 CORES = 2
-#: Bytes of a transform, about, and the most different runs of one core that are put into one.
+#: Bytes of a transform, about, and the most different runs of one core in it: cores with more are widened.
 CHUNK_BYTES, GROUP_RUNS = 1 << 20, 20_000
 #: Stands for a null doc_id, which comes before all others.
 _NULL_ID = -(1 << 63)
@@ -60,18 +63,23 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def core_step(least: int) -> int:
+    """How many places of the anchor in a window share a core."""
+    return -(-(least - min(GRAM, least) + 1) // CORES)
+
+
 def runs(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share a core: first start, number of windows, hash of the core, hash of all their bytes.
+    """Runs of windows that share a core: first start, number of windows, place of the anchor in the first of them, hash of the core.
 
     Every window of ``least`` bytes has an anchor, its k-gram of least hash (the first of equals), and a core, the
     bytes around the anchor that all windows at about its distance share. Both depend on the window's bytes alone; so
-    equal windows have equal cores, and lie in runs with the same hash. Every window lies in exactly one run.
+    equal windows have equal cores and the anchor at the same place. Every window lies in exactly one run.
     """
     out: list[tuple[np.ndarray, ...]] = []
     data = np.frombuffer(text, np.uint8)
     gram = min(GRAM, least)
     span = least - gram + 1
-    step = -(-span // CORES)
+    step = core_step(least)
     for lo in range(0, max(len(data) - least + 1, 0), _PIECE - least):
         piece = data[lo : lo + _PIECE]
         sums = np.zeros(len(piece) + 1, np.uint64)
@@ -84,8 +92,7 @@ def runs(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         count = np.diff(np.concatenate((first, [len(at)])))
         inner = at[first] - far[first] * step
         core = _mix((sums[inner + least - step + 1] - sums[inner]) * _DOWN[inner] + far[first].astype(np.uint64))
-        whole = _mix((sums[first + count - 1 + least] - sums[first]) * _DOWN[first] + count.astype(np.uint64))
-        out.append((first + lo, count, core.view(np.int64), whole.view(np.int64)))
+        out.append((first + lo, count, at[first] - first, core.view(np.int64)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -241,18 +248,23 @@ def _compare(least: int):
     return run
 
 
-def _wide(least: int):
-    """Arrow function for cores with very many runs: every window of a run with two hashes of its bytes."""
+def widened(parts: DataFrame, least: int) -> DataFrame:
+    """(d, t, core, place, off, n, lo, width, bytes): each run cut in two where the anchor's place passes the middle of its range, with the wider core of its half.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, t, place, n, b in zip(*[batch.column(c).to_pylist() for c in ("d", "t", "place", "n", "bytes")], strict=True):
-                full = [hashlib.blake2b(b[i : i + least], digest_size=16).digest() for i in range(n)]
-                yield pa.record_batch(
-                    [pa.array(full), pa.array([d] * n), pa.array([t] * n), pa.array(range(place, place + n))], ["w", "d", "t", "start"]
-                )
-
-    return run
+    All windows of a range [lo, lo + width) of places share least + 1 - width bytes, so halves share more. Equal windows have the anchor at the same place, and
+    stay together.
+    """
+    up = F.ceil(F.col("width") / 2).cast("int")
+    middle = F.col("lo") + up
+    first = F.least(F.col("n"), F.greatest(F.lit(0), F.col("off") - middle + 1))  # windows whose anchor lies in the upper half
+    half = lambda n, skip, lo, width: F.struct(
+        (F.col("place") + skip).alias("place"), (F.col("off") - skip).cast("int").alias("off"), n.cast("int").alias("n"), lo.cast("int").alias("lo"), width.cast("int").alias("width"),
+        F.substring("bytes", (skip + 1).cast("int"), (n - 1 + least).cast("int")).alias("bytes"),
+    )
+    both = F.array(half(first, F.lit(0), middle, F.col("width") - up), half(F.col("n") - first, first, F.col("lo"), up))
+    cut = parts.select("d", "t", "core", F.explode(F.filter(both, lambda h: h["n"] > 0)).alias("h")).select("d", "t", "core", "h.*")
+    shared = F.substring("bytes", (F.col("off") - F.col("lo") + 1).cast("int"), (least + 1 - F.col("width")).cast("int"))
+    return cut.withColumn("core", F.xxhash64("core", "lo", shared))
 
 
 def _cut(b: bytes, spans: list) -> tuple[int, int, str]:
@@ -270,53 +282,70 @@ def _cut(b: bytes, spans: list) -> tuple[int, int, str]:
     return removed, count, digest.hexdigest()
 
 
+def _first() -> Column:
+    return F.min(F.struct("d", "t", "place"))
+
+
 def repeats(rows: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """(d, t, b) to (d, t, start, end): intervals that cover exactly the bytes of windows that occurred earlier."""
+    """(d, t, b) to (d, t, start, end): intervals that cover exactly the bytes of windows that occurred earlier.
+
+    Texts are hashed twice, to count cores and to list the runs of those that are shared: a list of all runs would be larger than the texts.
+    """
     cores = rows.select("b").mapInArrow(
-        _per_document(lambda b: (runs(b, least)[2],), [], ["core", "c"], summed=True), "core long, c long"
+        _per_document(lambda b: (runs(b, least)[3],), [], ["core", "c"], summed=True), "core long, c long"
     )
     shared = scratch.write(cores.groupBy("core").agg(F.sum("c").alias("c")).filter("c > 1").select("core"), "cores")
+    step = core_step(least)
 
     def parts(b: bytes) -> tuple[np.ndarray, ...]:
-        start, n, core, whole = runs(b, least)
-        return core, whole, start << 8 | n
+        start, n, off, core = runs(b, least)
+        whole = [xxhash.xxh3_64_intdigest(b[i:j]) for i, j in zip(start.tolist(), (start + n - 1 + least).tolist(), strict=True)]
+        return core, np.array(whole, np.uint64).view(np.int64), start << 16 | off << 8 | n
 
     found = rows.mapInArrow(
         _per_document(parts, ["d", "t"], ["core", "whole", "place"]), "d long, t long, core long, whole long, place long"
     )
     found = scratch.write(found.join(shared, "core", "left_semi"), "runs")
-    start = F.shiftright("place", 8)
-    n = F.col("place").bitwiseAND(F.lit(255))
-    classes = found.groupBy("core", "whole").agg(F.min(F.struct("d", "t", "place")).alias("first"), F.count(F.lit(1)).alias("m"))
+    bits = lambda c, shift: F.shiftright(c, shift).bitwiseAND(F.lit(255)).cast("int")
+    start = F.shiftright("place", 16)
+    classes = found.groupBy("core", "whole").agg(_first().alias("first"), F.count(F.lit(1)).alias("m"))
     classes = scratch.write(classes, "classes")
     copies = found.join(classes.filter("m > 1").select("core", "whole", "first"), ["core", "whole"]).filter(
         F.struct("d", "t", "place") != F.col("first")
     )
-    copied = copies.select("d", "t", start.alias("start"), (start + n - 1 + least).alias("end"))
+    spans = [copies.select("d", "t", start.alias("start"), (start + bits("place", 0) - 1 + least).alias("end"))]
 
     groups = classes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     distinct = classes.join(groups, "core").select("core", "k", "first.*")
     wanted = distinct.groupBy("d", "t").agg(F.collect_list(F.struct("core", "k", "place")).alias("runs"))
-    texts = rows.join(wanted, ["d", "t"]).select(
-        "d", "t", "b", F.explode("runs").alias("r")
-    ).select(
-        "d", "t", "r.core", "r.k", F.shiftright("r.place", 8).alias("place"), F.col("r.place").bitwiseAND(F.lit(255)).alias("n"), "b"
+    texts = rows.join(wanted, ["d", "t"]).select("d", "t", "b", F.explode("runs").alias("r")).select("d", "t", "r.core", "r.k", "r.place", "b")
+    n, off = bits("place", 0), bits("place", 8)
+    texts = texts.select(
+        "d", "t", "core", "k", start.alias("place"), off.alias("off"), n.alias("n"), (F.floor(off / step) * step).cast("int").alias("lo"), F.lit(step).alias("width"),
+        F.substring("b", (start + 1).cast("int"), (n - 1 + least).cast("int")).alias("bytes"),
     )
-    texts = texts.withColumn("bytes", F.substring("b", (F.col("place") + 1).cast("int"), (F.col("n") - 1 + least).cast("int"))).drop("b")
     texts = scratch.write(texts, "bytes")
-    ordered = texts.filter(F.col("k") <= GROUP_RUNS).repartition("core").sortWithinPartitions("core")
-    compared = ordered.mapInArrow(_compare(least), "d long, t long, start long, end long")
-    wide = texts.filter(F.col("k") > GROUP_RUNS).mapInArrow(_wide(least), "w binary, d long, t long, start long")
-    heads = wide.groupBy("w").agg(F.min(F.struct("d", "t", "start")).alias("first"))
-    late = wide.join(heads, "w").filter(F.struct("d", "t", "start") != F.col("first"))
-    return copied.union(compared).union(late.select("d", "t", "start", (F.col("start") + least).alias("end")))
+    while True:
+        fit = texts.filter(F.col("k") <= GROUP_RUNS).select("core", "d", "t", "place", "n", "bytes")
+        spans.append(fit.repartition("core").sortWithinPartitions("core").mapInArrow(_compare(least), "d long, t long, start long, end long"))
+        large = texts.filter(F.col("k") > GROUP_RUNS)
+        if large.isEmpty():
+            break
+        cut = scratch.write(widened(large, least), "halves")
+        kind = ["core", "off", "n", "lo", "width", "bytes"]
+        classes = scratch.write(cut.groupBy(*kind).agg(_first().alias("first"), F.count(F.lit(1)).alias("m")), "kinds")
+        again = cut.join(classes.filter("m > 1").select(*kind, "first"), kind).filter(F.struct("d", "t", "place") != F.col("first"))
+        spans.append(again.select("d", "t", F.col("place").alias("start"), (F.col("place") + F.col("n") - 1 + least).alias("end")))
+        groups = classes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        texts = scratch.write(classes.join(groups, "core").select("first.d", "first.t", "core", "k", "first.place", "off", "n", "lo", "width", "bytes"), "bytes")
+    return reduce(DataFrame.union, spans)
 
 
 def deduplicate(docs: DataFrame, least: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of ``least`` bytes that covers it also starts earlier: in a smaller doc_id, or before in the same
-    document. A null text counts as empty; a null doc_id comes before all others. Rows that share a doc_id are in the order of a
+    document. A null text counts as empty; a null doc_id comes before all others and counts as -2^63. Rows that share a doc_id are in the order of a
     hash of their texts; repeated rows count as one document, and each gets its result. Other columns are not
     read; an empty table returns none.
     """

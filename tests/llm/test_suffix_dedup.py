@@ -42,7 +42,7 @@ def corpus(rng, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, "a" * 500), (n + 3, "ab" * 300), (n + 4, rows[3][1])]
 
 
-@pytest.mark.parametrize(("least", "group"), [(100, 20_000), (30, 20_000), (60, 1)])
+@pytest.mark.parametrize(("least", "group"), [(100, 20_000), (30, 20_000), (60, 1), (100, 1), (101, 4), (8, 2)])
 def test_matches_brute_force(spark, monkeypatch, least, group):
     monkeypatch.setattr(S, "GROUP_RUNS", group)
     rows = corpus(random.Random(least), 120)
@@ -50,6 +50,19 @@ def test_matches_brute_force(spark, monkeypatch, least, group):
     assert result(S.deduplicate(docs, least)) == brute(rows, least)
 
 
+@pytest.mark.parametrize("group", [1, 3, 25])
+def test_a_common_passage_in_many_contexts(spark, monkeypatch, group):
+    """One core stands in a hundred different runs, some of them equal in part: it is widened until its parts fit, with the same result."""
+    monkeypatch.setattr(S, "GROUP_RUNS", group)
+    rng = random.Random(4)
+    middle = "".join(rng.choice("abcdefgh ") for _ in range(85))
+    edge = lambda: rng.choice(["left one ", "the other ", ""]) + "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 40)))
+    rows = [(i, edge() + middle + edge()) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA).repartition(3)
+    got = result(S.deduplicate(docs))
+    assert got == brute(rows, 100) and sum(g[1] > 0 for g in got.values()) > 5
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     """Texts longer than a hashed piece: repeats across its borders are found."""
     rng = random.Random(9)
