@@ -40,8 +40,8 @@ RULES = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Evidence is broadcast to the pages up to so many hosts, about 10 MB.
 BROADCAST_HOSTS = 100_000
-#: Rounds that make one job, after which the scores are written.
-AT_ONCE = 3
+#: Rounds that make one job, after which the scores are written; and edges for which a round has a task, four tasks at least.
+AT_ONCE, EDGES_A_TASK = 3, 100_000
 #: A link with a host of its own, with or without a scheme.
 LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -94,12 +94,13 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0
     ``mean`` is the mean seed of the kind over all hosts. Rounds end when no score moves by more than ``tolerance`` in one, or with an error after
     ``max_rounds``; every third is written to the shared folder.
     """
+    tasks = max(4, edges.count() // EDGES_A_TASK)  # coalesce never makes more than the shuffle has
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    shares = scratch.write(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * keep).alias("w")), "shares")
+    shares = scratch.write(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * keep).alias("w")).coalesce(tasks), "shares")
     ends = [edges.select("kind", F.col(c).alias("host"), F.lit(0.0).alias("seed")) for c in ("src", "dst")]
     every = seeds.select("kind", "host", F.col("seed").cast("double")).unionByName(ends[0]).unionByName(ends[1])
     started = every.groupBy("kind", "host").agg(F.max("seed").alias("seed"))
-    state = scratch.write(started.select("kind", "host", "seed", (F.col("seed") * (1 - keep)).alias("seeded"), F.lit(1 - keep).alias("all")), "score")
+    state = scratch.write(started.select("kind", "host", "seed", (F.col("seed") * (1 - keep)).alias("seeded"), F.lit(1 - keep).alias("all")).coalesce(tasks), "score")
     base = state.select("kind", "host", "seeded", "all")
     mean = state.groupBy("kind").agg(F.avg("seed").alias("mean"))  # one row a kind
     score = F.try_divide("seeded", "all")
@@ -113,7 +114,7 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, keep: float = 0
     def step(old: DataFrame) -> DataFrame:
         handed = shares.join(old.select("kind", F.col("host").alias("src"), "seeded", "all"), ["kind", "src"])
         parts = handed.select("kind", F.col("dst").alias("host"), (F.col("seeded") * F.col("w")).alias("seeded"), (F.col("all") * F.col("w")).alias("all")).union(base)
-        return parts.groupBy("kind", "host").agg(F.sum("seeded").alias("seeded"), F.sum("all").alias("all"))
+        return parts.groupBy("kind", "host").agg(F.sum("seeded").alias("seeded"), F.sum("all").alias("all")).coalesce(tasks)
 
     first = state
     for _ in range(max_rounds // AT_ONCE):
