@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Scratch
+from gridspark.llm.common import Scratch, one_thread
 
 #: Bytes of text at which a block of documents ends; a longer text is a block of its own. Results don't depend on it.
 BLOCK_BYTES = 8 << 20
@@ -46,6 +46,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        one_thread()
         self.first = Tokenizer.from_file(byte_level)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -14,6 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
+def one_thread() -> None:
+    """Call before the tokenizers library is first used: its own threads, one for each core of the machine, would wait on each other in every task."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Scratch
+from gridspark.llm.common import Scratch, one_thread
 
 #: Chunks whose ids a worker remembers, about 200 bytes each, and their greatest length; beyond, the older half is forgotten.
 REMEMBERED, CHUNK_CHARS = 600_000, 64
@@ -40,6 +40,7 @@ class Encoder:
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
+        one_thread()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         made = json.loads(self.tokenizer.to_str())
         cutter, model = made["pre_tokenizer"] or {}, made["model"]
