@@ -10,14 +10,22 @@ ABBREVIATIONS = {
     "JAC": "JAX", "WSH": "WAS", "ARZ": "ARI", "KAN": "KC", "NOR": "NO", "TAM": "TB", "GNB": "GB", "SFO": "SF", "NWE": "NE", "RAM": "LAR",
     "SD": "LAC", "STL": "LAR", "OAK": "LV",
 }
-#: The name that follows a team's place, and its abbreviation.
-NICKNAMES = {
-    "Cardinals": "ARI", "Falcons": "ATL", "Ravens": "BAL", "Bills": "BUF", "Panthers": "CAR", "Bears": "CHI", "Bengals": "CIN", "Browns": "CLE",
-    "Cowboys": "DAL", "Broncos": "DEN", "Lions": "DET", "Packers": "GB", "Texans": "HOU", "Colts": "IND", "Jaguars": "JAX", "Chiefs": "KC",
-    "Raiders": "LV", "Chargers": "LAC", "Rams": "LAR", "Dolphins": "MIA", "Vikings": "MIN", "Patriots": "NE", "Saints": "NO", "Giants": "NYG",
-    "Jets": "NYJ", "Eagles": "PHI", "Steelers": "PIT", "49ers": "SF", "Seahawks": "SEA", "Buccaneers": "TB", "Titans": "TEN", "Commanders": "WAS",
-    "Team": "WAS", "Redskins": "WAS",
+#: Full names of teams, and their abbreviations.
+NAMES = {
+    "Arizona Cardinals": "ARI", "Atlanta Falcons": "ATL", "Baltimore Ravens": "BAL", "Buffalo Bills": "BUF", "Carolina Panthers": "CAR", "Chicago Bears": "CHI",
+    "Cincinnati Bengals": "CIN", "Cleveland Browns": "CLE", "Dallas Cowboys": "DAL", "Denver Broncos": "DEN", "Detroit Lions": "DET", "Green Bay Packers": "GB",
+    "Houston Texans": "HOU", "Indianapolis Colts": "IND", "Jacksonville Jaguars": "JAX", "Kansas City Chiefs": "KC", "Las Vegas Raiders": "LV", "Los Angeles Chargers": "LAC",
+    "Los Angeles Rams": "LAR", "Miami Dolphins": "MIA", "Minnesota Vikings": "MIN", "New England Patriots": "NE", "New Orleans Saints": "NO", "New York Giants": "NYG",
+    "New York Jets": "NYJ", "Philadelphia Eagles": "PHI", "Pittsburgh Steelers": "PIT", "San Francisco 49ers": "SF", "Seattle Seahawks": "SEA", "Tampa Bay Buccaneers": "TB",
+    "Tennessee Titans": "TEN", "Washington Commanders": "WAS",
+    "Oakland Raiders": "LV", "San Diego Chargers": "LAC", "St. Louis Rams": "LAR", "Washington Football Team": "WAS", "Washington Redskins": "WAS", "Phoenix Cardinals": "ARI",
+    "Los Angeles Raiders": "LV",
 }
+#: Other codes that stand before a team's last name, beside its abbreviation.
+CODES = {"GNB": "GB", "JAC": "JAX", "KAN": "KC", "SFO": "SF", "WSH": "WAS", "LA": ("LAC", "LAR"), "NY": ("NYG", "NYJ")}
+_LAST = {abbr: name.split(" ")[-1] for name, abbr in list(NAMES.items())[:32]}
+#: A code and the last name, as in "KC Chiefs".
+SHORT = {f"{code} {_LAST[t]}": t for code, of in [*((t, t) for t in _LAST), *CODES.items()] for t in (of if isinstance(of, tuple) else (of,))}
 #: Positions and their groups.
 POSITIONS = {
     "RB": ("RB", "FB", "RUNNING BACK", "FULLBACK"), "WR": ("WR", "WIDE RECEIVER"), "TE": ("TE", "TIGHT END"),
@@ -41,8 +49,8 @@ def abbreviation(x: Column, name: Column | None = None) -> Column:
 
 
 def from_name(x: Column) -> Column:
-    """Abbreviation of a team's full name, or of its abbreviation and name; null for others."""
-    return _lookup(NICKNAMES, F.element_at(F.split(x, " "), -1))
+    """Abbreviation of a team's full name, or of its code and last name; null for all others, whatever word they end in."""
+    return _lookup(NAMES | SHORT, x)
 
 
 def position_group(x: Column) -> Column:

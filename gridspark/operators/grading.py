@@ -105,14 +105,23 @@ def confidence_status(bins: DataFrame, least: int = 30, most_over: float = 0.05,
     return bins.withColumns({"recalibrated": F.col("rate"), "raw_minus_recalibrated": error, "status": status, "recommended": high & enough & ~over})
 
 
-def confidence_gate(status: DataFrame) -> DataFrame:
-    """One row: graded rows in recommended and in all confident bins, their weighted error, and whether the gate opens."""
-    confident = F.col("status") != "diagnostic_only"
-    n = F.sum(F.when(confident, F.col("n")))
-    err = F.try_divide(F.sum(F.when(confident, F.col("n") * F.abs("raw_minus_recalibrated"))), n)
-    good = F.sum(F.when(F.col("recommended"), F.col("n")).otherwise(0))
-    out = status.agg(n.alias("graded"), good.alias("graded_recommended"), err.alias("weighted_error"))
-    return out.withColumn("gate", F.when((F.col("graded_recommended") * 2 >= F.col("graded")) & (F.col("weighted_error") <= 0.05), "pass").otherwise("fail"))
+def confidence_gate(bins: DataFrame, least: int = 25, most_over: float = 0.07, from_prob: float = 0.55) -> DataFrame:
+    """One row: whether bins (bin, min_confidence, n, mean_p, rate) of the games where model and market disagree let a policy through.
+
+    Counted are confident bins with ``least`` graded games; one whose mean probability lies more than ``most_over`` above its rate blocks. The row names all that fail, the worst
+    first, and what the worst should have said.
+    """
+    error = F.col("mean_p") - F.col("rate")
+    counted = (F.col("min_confidence") >= from_prob) & (F.col("n") >= least) & error.isNotNull()
+    failed = F.sort_array(F.collect_list(F.when(counted & (error > most_over), F.struct((-error).alias("e"), (-F.col("n")).alias("n"), F.col("bin").cast("string").alias("bin"), "rate"))))
+    out = bins.agg(F.count(F.lit(1)).alias("bins"), F.count_if(counted).alias("evaluated_bins"), failed.alias("f"))
+    status = F.when(F.col("bins") == 0, "no_matching_confidence_bins").when(F.col("evaluated_bins") == 0, "insufficient_high_confidence_sample")
+    status = status.when(F.size("f") == 0, "model_confidence_calibration_pass").otherwise("blocked_model_confidence_overconfidence")
+    worst = F.try_element_at("f", F.lit(1))
+    return out.select(
+        (status == "model_confidence_calibration_pass").alias("pass"), status.alias("status"), "evaluated_bins", F.array_join(F.transform("f", lambda x: x["bin"]), ";").alias("failed_bins"),
+        worst["bin"].alias("worst_bin"), (-worst["e"]).alias("worst_error"), worst["rate"].alias("worst_recalibrated_prob"),
+    )
 
 
 def cover_tiers(bins: DataFrame, least: int, most_error: float) -> DataFrame:
@@ -122,23 +131,75 @@ def cover_tiers(bins: DataFrame, least: int, most_error: float) -> DataFrame:
     return bins.withColumn("tier", tier)
 
 
-def recalibration_decision(summary: DataFrame, baseline: str, least: int) -> DataFrame:
-    """Strategies (strategy, n, brier, log_loss, accuracy, roi) against the baseline's row: differences and the first gate that fails."""
-    base = summary.filter(F.col("strategy") == baseline).select(*[F.col(c).alias(f"_{c}") for c in ("brier", "log_loss", "accuracy", "roi")])
-    out = summary.filter(F.col("strategy") != baseline).crossJoin(F.broadcast(base.limit(1)))
-    out = out.withColumns({f"d_{c}": F.col(c) - F.col(f"_{c}") for c in ("brier", "log_loss", "accuracy", "roi")}).drop("_brier", "_log_loss", "_accuracy", "_roi")
-    reason = F.when(F.col("n") < least, "insufficient_sample").when(F.col("d_brier") >= 0, "brier").when(F.col("d_log_loss") >= 0, "log_loss")
-    return out.withColumn("decision", reason.when(F.col("d_accuracy") < -0.005, "accuracy").when(F.col("d_roi") < 0, "roi").otherwise("adopt"))
+#: What is compared with the model as it is, and what kind of change each would be.
+STRATEGIES = {"vegas_novig": "reference", "vegas_blend_50_50": "blend", "confidence_shrink": "shrink", "disagreement_shrink": "shrink"}
+_METRICS = ("brier", "log_loss", "auc", "accuracy", "roi")
+
 
+def recalibration_decision(summary: DataFrame, baseline: str = "current_model", least: int = 250, least_disagreement: int = 50) -> DataFrame:
+    """One row a strategy of STRATEGIES: its metrics against the baseline's, over all games and where model and market disagree, both gates, and the layer to change.
 
-def recommendations(segments: DataFrame, keys: list[str], season: str, least: int, least_season: int) -> DataFrame:
-    """Segments over all seasons (n, roi) with the share of their large enough seasons that gained, and what to do."""
-    whole = segments.filter(F.col(season).isNull())
-    per = segments.filter(F.col(season).isNotNull() & (F.col("n") >= least_season)).groupBy(*keys)
-    per = per.agg(F.count(F.lit(1)).alias("seasons"), F.avg((F.col("roi") > 0).cast("double")).alias("positive"))
-    out = whole.drop(season).join(per, keys, "left")
-    action = F.when(F.col("n") < least, "insufficient").when((F.col("roi") > 0) & (F.col("positive") >= 0.6), "candidate").when(F.col("roi") > -0.02, "blend")
-    return out.withColumn("action", action.otherwise("avoid"))
+    Summary: segment (all, disagree), strategy, n, brier, log_loss, auc, accuracy, roi. Over all games a strategy has to better Brier score and log loss on ``least`` games, to lose no more than 0.005
+    accuracy and no return on disagreements; on those, over ``least_disagreement`` games, to better both and the return. What is not there is null, and passes only
+    where it says so.
+    """
+    sides = {"overall": "all", "disagreement": "disagree"}
+    sums = []
+    for name, segment in sides.items():
+        here = F.col("segment") == segment
+        sums += [F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"{name}_n"), *[F.max(F.when(here, F.col(m))).alias(f"{name}_{m}") for m in _METRICS]]
+    wide = summary.groupBy("strategy").agg(*sums)  # as many rows as there are strategies
+    names = summary.sparkSession.createDataFrame(list(STRATEGIES.items()), "strategy string, kind string")
+    base = wide.filter(F.col("strategy") == baseline).select(*[F.col(f"{s}_{m}").alias(f"_{s}_{m}") for s in sides for m in _METRICS], F.lit(1).alias("_one"))
+    out = names.join(wide, "strategy", "left").na.fill(0, [f"{s}_n" for s in sides]).join(F.broadcast(base), F.lit(1) == F.col("_one"), "left")
+    out = out.select("strategy", "kind", *[f"{s}_n" for s in sides], *[(F.col(f"{s}_{m}") - F.col(f"_{s}_{m}")).alias(f"{s}_{m}_delta") for s in sides for m in _METRICS])
+    d = lambda s, m: F.col(f"{s}_{m}_delta")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    safe = lambda c: F.coalesce(c, F.lit(True))
+    lift = (F.col("overall_n") >= least) & yes(d("overall", "brier") < 0) & yes(d("overall", "log_loss") < 0)
+    overall = lift & safe(d("overall", "accuracy") >= -0.005) & safe(d("disagreement", "roi") >= 0)
+    policy = (F.col("disagreement_n") >= least_disagreement) & yes(d("disagreement", "brier") < 0) & yes(d("disagreement", "log_loss") < 0) & yes(d("disagreement", "roi") > 0)
+    kind = F.col("kind")
+    steps = [
+        ((kind == "reference") & lift, "market_reference_beats_model", "benchmark_only"), ((kind == "blend") & overall & policy, "market_blend_probability_and_policy_candidate", "market_blend"),
+        ((kind == "blend") & lift, "market_blend_probability_research_only", "research"), ((kind == "shrink") & overall & policy, "base_and_market_candidate", "both"),
+        ((kind == "shrink") & overall, "base_probability_candidate", "base_model"), ((kind == "shrink") & lift, "base_probability_research_only", "research"),
+        (policy, "market_policy_only_candidate", "market_policy"), (F.lit(True), "no_live_change", "none"),
+    ]
+    first = lambda i: F.coalesce(*[F.when(s[0], s[i]) for s in steps])
+    told = {"passes_overall_gate": overall, "passes_disagreement_gate": policy, "decision": first(1), "recommended_layer": first(2)}
+    return out.withColumns(told).drop("kind")
+
+
+#: Families of segments that say what was done and not what was played; they are not recommended.
+RESULT_FAMILIES = ("blend_followed", "moneyline_clv_segment")
+
+
+def recommendations(
+    segments: DataFrame, season: str = "season", least: int = 25, least_season: int = 5, least_seasons: int = 2, positive: float = 0.55, least_roi: float = 0.0, least_gain: float = 0.0
+) -> DataFrame:
+    """What to do with each segment that has ``least`` games over all seasons (null ``season``): back the model, back the blend, avoid the model, or watch.
+
+    Rows: family, segment, season, n, model_roi, market_roi, blend_n, blend_roi. The model's side is a candidate if it gains, and gains on the market's, over all seasons and in a share of ``positive`` of at least ``least_seasons``
+    seasons of ``least_season`` games; the blend's if it gains and beats both on ``least`` games. Ordered by ``tier`` and ``score``.
+    """
+    rows = segments.withColumn("gain", F.col("model_roi") - F.col("market_roi")).filter(~F.col("family").isin(*RESULT_FAMILIES))
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    per = rows.filter(F.col(season).isNotNull() & (F.col("n") >= least_season)).groupBy("family", "segment").agg(
+        F.count(F.lit(1)).alias("seasons"), rate(F.col("model_roi") > least_roi).alias("positive_roi_rate"), rate(F.col("gain") > least_gain).alias("positive_gain_rate")
+    )
+    out = rows.filter(F.col(season).isNull() & (F.col("n") >= least)).drop(season).join(per, ["family", "segment"], "left").na.fill(0, ["seasons"])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    model = (F.col("seasons") >= least_seasons) & yes((F.col("positive_roi_rate") >= positive) & (F.col("positive_gain_rate") >= positive))
+    model = model & yes((F.col("model_roi") > least_roi) & (F.col("gain") > least_gain))
+    blend = yes((F.col("blend_n") >= least) & (F.col("blend_roi") > 0) & (F.col("blend_roi") > F.col("model_roi")) & (F.col("blend_roi") > F.col("market_roi")))
+    avoid = yes((F.col("model_roi") < 0) & (F.col("gain") < 0))
+    steps = [
+        (model, "candidate_model_side_segment", "research", F.col("model_roi") + F.col("gain")), (blend, "candidate_market_blend_segment", "research", 2 * F.col("blend_roi") - F.col("model_roi")),
+        (avoid, "avoid_model_side_segment", "block", F.abs("model_roi") + F.abs("gain")), (F.lit(True), "monitor", "monitor", F.coalesce("gain", F.lit(0.0))),
+    ]
+    first = lambda i: F.coalesce(*[F.when(s[0], s[i]) for s in steps])
+    return out.withColumns({"action": first(1), "tier": first(2), "score": first(3)})
 
 
 def bias_monitor(df: DataFrame, keys: list[str], model: str, market: str, y: str) -> DataFrame:
@@ -158,12 +219,17 @@ def bias_monitor(df: DataFrame, keys: list[str], model: str, market: str, y: str
     return means.withColumn("t_stat", t).drop("_sd").join(scores, keys)
 
 
-def drift(current: DataFrame, baseline: DataFrame, keys: list[str], metrics: list[str], threshold: float) -> DataFrame:
-    """Metrics of two tables side by side, their change and whether it passes the threshold (relative to the baseline)."""
-    long = lambda df, n: df.unpivot(keys, metrics, "metric", n)
+def drift(current: DataFrame, baseline: DataFrame, keys: list[str], thresholds: dict[str, float]) -> DataFrame:
+    """Metrics of two tables side by side, by how much each moved, and how grave that is.
+
+    A move beyond the metric's threshold, up or down, is a warning, beyond twice of it critical; a smaller one, or one without both values, is none.
+    """
+    long = lambda df, n: df.unpivot(keys, list(thresholds), "metric", n)
     out = long(current, "now").join(long(baseline, "then"), [*keys, "metric"])
-    change = F.try_divide(F.col("now") - F.col("then"), F.abs("then"))
-    return out.withColumn("change", change).withColumn("drifted", F.coalesce(F.abs(change) > threshold, F.lit(False)))
+    most = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])[F.col("metric")]
+    moved = F.abs(F.col("now") - F.col("then"))
+    severity = F.when(moved > 2 * most, "critical").when(moved > most, "warning").otherwise("none")
+    return out.withColumns({"drift": F.col("now") - F.col("then"), "threshold": most, "severity": severity})
 
 
 def paired_t(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

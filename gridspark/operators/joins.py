@@ -73,19 +73,20 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, event:
     """Left rows with the ``values`` of the right row of their keys nearest in time, and its ``distance`` in microseconds.
 
     The nearest is the last one at or before, or the first one after: two as-of passes. Of equally near ones the first by ``tie`` counts;
-    left rows whose keys have no right row are gone.
+    left rows whose keys have no right row are gone. Rows are told apart by their content, which does not depend on how ``left`` is computed; equal rows come as often as they were.
     """
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
+    rows = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_times"))
     order = [F.col(c) for c in tie]
     t, e = _instant(at), _instant(event)
     found = None
     for sign in (1, -1):
         met = carry_last(rows, right, keys, t * sign, e * sign, False, order, slice_us).filter(F.col("r").isNotNull())
         gap = F.abs(F.unix_micros(F.col(f"l.{at}").cast("timestamp")) - F.unix_micros(F.col(f"r.{event}").cast("timestamp")))
-        part = met.select("l", F.col("l._row").alias("row"), F.struct(gap.alias("distance"), *[F.col(f"r.{c}").alias(f"_t{i}") for i, c in enumerate(tie)]).alias("o"), "r")
+        part = met.select("l", F.struct(gap.alias("distance"), *[F.col(f"r.{c}").alias(f"_t{i}") for i, c in enumerate(tie)]).alias("o"), "r")
         found = part if found is None else found.union(part)
-    best = found.groupBy("row").agg(F.min_by(F.struct("l", "r", F.col("o.distance").alias("distance")), "o").alias("b"))
-    return best.select("b.l.*", *[F.col(f"b.r.{v}").alias(v) for v in values], "b.distance").drop("_row")
+    best = found.groupBy("l").agg(F.min_by(F.struct("r", F.col("o.distance").alias("distance")), "o").alias("b"))
+    each = best.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("l._times"))))
+    return each.select(*[F.col(f"l.{c}").alias(c) for c in left.columns], *[F.col(f"b.r.{v}").alias(v) for v in values], "b.distance")
 
 
 def cascade_join(left: DataFrame, right: DataFrame, levels: list[list[str]], values: list[str], order: list[str]) -> DataFrame:

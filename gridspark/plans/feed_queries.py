@@ -11,7 +11,7 @@ from gridspark.plans.registry import query, table
 from gridspark.sources import feeds
 
 SPELLINGS = [" jac ", "WSH", "la", "LA", "kc", "OAK", "nyg", "LA"]
-TEAM_NAMES = ["Jacksonville Jaguars", "WSH Commanders", "Los Angeles Rams", "LA Chargers", "Kansas City Chiefs", "Las Vegas Raiders", "NY Giants", "nobody at all"]
+TEAM_NAMES = ["Jacksonville Jaguars", "WSH Commanders", "Los Angeles Rams", "LA Chargers", "Winnipeg Jets", "Oakland Raiders", "NY Giants", "San Francisco Giants"]
 SPOTS = ["qb", "Fullback", "WR ", "tight end", "EDGE", "OLB", "saf", "K", "", "DT"]
 
 
@@ -27,7 +27,7 @@ def _cases(pairs, x: str) -> str:
     "team_abbreviations",
     f"""WITH t AS (SELECT c_custkey, {_listed(SPELLINGS)}[c_custkey % 8 + 1] AS a, {_listed(TEAM_NAMES)}[c_custkey % 8 + 1] AS n FROM customer), u AS (SELECT *, upper(trim(a)) AS v FROM t)
     SELECT c_custkey, CASE WHEN v = 'LA' AND lower(n) LIKE '%rams%' THEN 'LAR' WHEN v = 'LA' AND lower(n) LIKE '%chargers%' THEN 'LAC' ELSE COALESCE({_cases(teams.ABBREVIATIONS.items(), "v")}, v) END AS team,
-      {_cases(teams.NICKNAMES.items(), "string_split(n, ' ')[-1]")} AS by_name FROM u""",
+      {_cases((teams.NAMES | teams.SHORT).items(), "n")} AS by_name FROM u""",
 )
 def team_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % 8 + 1).cast("int"))

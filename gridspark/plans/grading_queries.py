@@ -133,13 +133,14 @@ def confidence_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "confidence_gate",
-    f"""{BINS_SQL}, x AS (SELECT SUM(n) FILTER (WHERE status <> 'diagnostic_only')::BIGINT AS graded, SUM(CASE WHEN recommended THEN n ELSE 0 END)::BIGINT AS graded_recommended,
-      SUM(n * ABS(mean_p - rate)) FILTER (WHERE status <> 'diagnostic_only') / SUM(n) FILTER (WHERE status <> 'diagnostic_only') AS e FROM s)
-    SELECT graded, graded_recommended, ROUND(e, 7) AS weighted_error, CASE WHEN graded_recommended * 2 >= graded AND e <= 0.05 THEN 'pass' ELSE 'fail' END AS gate FROM x""",
+    f"""{BINS_SQL}, o AS (SELECT min_confidence::VARCHAR AS bin, n, mean_p - rate AS e, rate FROM b WHERE min_confidence >= 0.4 AND n >= 500),
+    w AS (SELECT *, ROW_NUMBER() OVER (ORDER BY e DESC, n DESC, bin) AS i FROM o WHERE e > 0.001), x AS (SELECT (SELECT COUNT(*) FROM o) AS k, (SELECT COUNT(*) FROM w) AS f)
+    SELECT f = 0 AND k > 0 AS pass, CASE WHEN k = 0 THEN 'insufficient_high_confidence_sample' WHEN f = 0 THEN 'model_confidence_calibration_pass' ELSE 'blocked_model_confidence_overconfidence' END AS status,
+      k AS evaluated_bins, COALESCE((SELECT string_agg(bin, ';' ORDER BY i) FROM w), '') AS failed_bins, (SELECT bin FROM w WHERE i = 1) AS worst_bin, ROUND((SELECT e FROM w WHERE i = 1), 7) AS worst_error, (SELECT rate FROM w WHERE i = 1) AS worst_recalibrated_prob FROM x""",
 )
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = grading.confidence_gate(grading.confidence_status(_bins(spark, sf_dir), 500, 0.005, 0.4))
-    return out.withColumn("weighted_error", F.round("weighted_error", 7))
+    bins = _bins(spark, sf_dir).withColumn("bin", F.col("min_confidence").cast("string"))
+    return grading.confidence_gate(bins, 500, 0.001, 0.4).withColumn("worst_error", F.round("worst_error", 7))
 
 
 @query(
@@ -150,37 +151,70 @@ def cover_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.cover_tiers(_bins(spark, sf_dir), 700, 0.01).select("min_confidence", "n", "tier")
 
 
-@query(
-    "recalibration_decision",
-    f"""WITH {BETS_SQL}, e AS (SELECT y, profit, unnest(['raw', 'shrunk', 'flat']) AS strategy, unnest([p, 0.5 + (p - 0.5) * 0.9, 0.5]) AS q FROM graded),
-    s AS (SELECT strategy, COUNT(*) AS n, ROUND(AVG((q - y) ** 2), 7) AS brier, ROUND(AVG(-(y * LN(q) + (1 - y) * LN(1 - q))), 7) AS log_loss, ROUND(AVG(((q >= 0.5) = (y = 1))::INT), 7) AS accuracy, ROUND(AVG(CASE WHEN q >= 0.5 THEN profit END), 7) AS roi FROM e GROUP BY 1)
-    SELECT s.strategy, s.n, ROUND(s.brier - b.brier, 6) AS d_brier, ROUND(s.accuracy - b.accuracy, 6) AS d_accuracy, CASE WHEN s.n < 100 THEN 'insufficient_sample' WHEN s.brier - b.brier >= 0 THEN 'brier' WHEN s.log_loss - b.log_loss >= 0 THEN 'log_loss'
-      WHEN s.accuracy - b.accuracy < -0.005 THEN 'accuracy' WHEN s.roi - b.roi < 0 THEN 'roi' ELSE 'adopt' END AS decision FROM s, (SELECT * FROM s WHERE strategy = 'shrunk') b WHERE s.strategy <> 'shrunk'""",
-)
+DECISION_SQL = f"""WITH {BETS_SQL}, e AS (SELECT y, profit, odds, unnest(['current_model', 'vegas_novig', 'vegas_blend_50_50', 'confidence_shrink']) AS strategy, unnest([p, mp, (p + mp) / 2, 0.5 + (p - 0.5) * 0.9]) AS q, (p >= 0.5) <> (mp >= 0.5) AS differs
+      FROM (SELECT *, CASE WHEN odds > 0 THEN 100 / (odds + 100) ELSE ABS(odds) / (ABS(odds) + 100) END AS mp FROM graded)),
+    f AS (SELECT *, unnest(['all', CASE WHEN differs THEN 'disagree' END]) AS segment FROM e), r AS (SELECT segment, strategy, q, SUM(y) AS pos, COUNT(*) AS n FROM f WHERE segment IS NOT NULL GROUP BY 1, 2, 3),
+    u AS (SELECT *, COALESCE(SUM(n - pos) OVER (PARTITION BY segment, strategy ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r),
+    a AS (SELECT segment, strategy, SUM(pos * (below + (n - pos) / 2.0)) / (SUM(pos) * SUM(n - pos)) AS auc FROM u GROUP BY 1, 2),
+    s AS (SELECT segment, strategy, COUNT(*) AS n, ROUND(AVG((q - y) ** 2), 7) AS brier, ROUND(AVG(-(y * LN(q) + (1 - y) * LN(1 - q))), 7) AS log_loss, ROUND(AVG(((q >= 0.5) = (y = 1))::INT), 7) AS accuracy, ROUND(AVG(CASE WHEN q >= 0.5 THEN profit END), 7) AS roi FROM f WHERE segment IS NOT NULL GROUP BY 1, 2),
+    t AS (SELECT s.*, ROUND(auc, 7) AS auc FROM s JOIN a USING (segment, strategy)), b AS (SELECT * FROM t WHERE strategy = 'current_model'),
+    d AS (SELECT x.strategy, x.kind, t.segment, t.n, t.brier - b.brier AS db, t.log_loss - b.log_loss AS dl, t.auc - b.auc AS da, t.accuracy - b.accuracy AS dc, t.roi - b.roi AS dr
+      FROM (VALUES ('vegas_novig', 'reference'), ('vegas_blend_50_50', 'blend'), ('confidence_shrink', 'shrink'), ('disagreement_shrink', 'shrink')) x(strategy, kind) LEFT JOIN t ON t.strategy = x.strategy LEFT JOIN b ON b.segment = t.segment),
+    w AS (SELECT strategy, kind, {", ".join(f"COALESCE(MAX(n) FILTER (WHERE segment = '{g}'), 0) AS {s}_n, " + ", ".join(f"MAX({c}) FILTER (WHERE segment = '{g}') AS {s}_{m}_delta" for m, c in (("brier", "db"), ("log_loss", "dl"), ("auc", "da"), ("accuracy", "dc"), ("roi", "dr"))) for s, g in (("overall", "all"), ("disagreement", "disagree")))} FROM d GROUP BY 1, 2),
+    l AS (SELECT *, overall_n >= 250 AND COALESCE(overall_brier_delta < 0, FALSE) AND COALESCE(overall_log_loss_delta < 0, FALSE) AS lift FROM w),
+    g AS (SELECT *, lift AND COALESCE(overall_accuracy_delta >= -0.005, TRUE) AND COALESCE(disagreement_roi_delta >= 0, TRUE) AS o, disagreement_n >= 50 AND COALESCE(disagreement_brier_delta < 0, FALSE) AND COALESCE(disagreement_log_loss_delta < 0, FALSE) AND COALESCE(disagreement_roi_delta > 0, FALSE) AS p FROM l),
+    h AS (SELECT *, CASE WHEN kind = 'reference' AND lift THEN ['market_reference_beats_model', 'benchmark_only'] WHEN kind = 'blend' AND o AND p THEN ['market_blend_probability_and_policy_candidate', 'market_blend'] WHEN kind = 'blend' AND lift THEN ['market_blend_probability_research_only', 'research']
+      WHEN kind = 'shrink' AND o AND p THEN ['base_and_market_candidate', 'both'] WHEN kind = 'shrink' AND o THEN ['base_probability_candidate', 'base_model'] WHEN kind = 'shrink' AND lift THEN ['base_probability_research_only', 'research'] WHEN p THEN ['market_policy_only_candidate', 'market_policy'] ELSE ['no_live_change', 'none'] END AS c FROM g)
+    SELECT strategy, overall_n, disagreement_n, {", ".join(f"ROUND({s}_{m}_delta, 6) AS {s}_{m}_delta" for s in ("overall", "disagreement") for m in ("brier", "log_loss", "auc", "accuracy", "roi"))}, o AS passes_overall_gate, p AS passes_disagreement_gate, c[1] AS decision, c[2] AS recommended_layer FROM h"""
+
+
+@query("recalibration_decision", DECISION_SQL)
 def recalibration_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p")
-    rows = F.array(*[F.struct(F.lit(n).alias("strategy"), q.alias("q")) for n, q in (("raw", p), ("shrunk", 0.5 + (p - 0.5) * 0.9), ("flat", F.lit(0.5)))])
-    q, y = F.col("q"), F.col("y")
-    each = graded(spark, sf_dir).select("y", "profit", F.inline(rows))
-    summary = each.groupBy("strategy").agg(
+    """The bets' probabilities as the model, the prices' as the market; the last strategy has no rows."""
+    from gridspark.functions import odds
+    from gridspark.operators import aggregates
+
+    p, mp, y = F.col("p"), odds.american_to_implied(F.col("odds")), F.col("y")
+    told = {"current_model": p, "vegas_novig": mp, "vegas_blend_50_50": (p + mp) / 2, "confidence_shrink": 0.5 + (p - 0.5) * 0.9}
+    rows = F.array(*[F.named_struct(F.lit("strategy"), F.lit(n), F.lit("q"), q) for n, q in told.items()])
+    segments = F.array_compact(F.array(F.lit("all"), F.when((p >= 0.5) != (mp >= 0.5), "disagree")))
+    each = graded(spark, sf_dir).select("y", "profit", F.explode(segments).alias("segment"), rows.alias("r")).select("y", "profit", "segment", F.inline("r"))
+    q, keys = F.col("q"), ["segment", "strategy"]
+    summary = each.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(q - y, 2)), 7).alias("brier"), F.round(F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q))), 7).alias("log_loss"),
         F.round(F.avg(((q >= 0.5) == (y == 1)).cast("int")), 7).alias("accuracy"), F.round(F.avg(F.when(q >= 0.5, F.col("profit"))), 7).alias("roi"),
-    )
-    out = grading.recalibration_decision(summary, "shrunk", 100)
-    return out.select("strategy", "n", F.round("d_brier", 6).alias("d_brier"), F.round("d_accuracy", 6).alias("d_accuracy"), "decision")
+    ).join(aggregates.auc(each, "q", "y", keys).withColumn("auc", F.round("auc", 7)), keys)
+    out = grading.recalibration_decision(summary)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_delta")})
 
 
 @query(
     "segment_recommendations",
-    f"""WITH {BETS_SQL}, s AS (SELECT market, segment, season, COUNT(*) AS n, ROUND(AVG(profit), 7) AS roi FROM graded GROUP BY 1, 2, 3), w AS (SELECT market, segment, COUNT(*) AS n, ROUND(AVG(profit), 7) AS roi FROM graded GROUP BY 1, 2),
-    p AS (SELECT market, segment, COUNT(*) AS seasons, ROUND(AVG((roi > 0)::INT), 6) AS positive FROM s WHERE n >= 50 GROUP BY 1, 2)
-    SELECT market, segment, n, roi, seasons, positive, CASE WHEN n < 200 THEN 'insufficient' WHEN roi > 0 AND positive >= 0.6 THEN 'candidate' WHEN roi > -0.02 THEN 'blend' ELSE 'avoid' END AS action FROM w LEFT JOIN p USING (market, segment)""",
+    f"""WITH {BETS_SQL}, m AS (SELECT *, CASE WHEN odds > 0 THEN 100 / (odds + 100) ELSE ABS(odds) / (ABS(odds) + 100) END AS mp FROM graded), z AS (SELECT *, CASE WHEN mp >= 0.5 THEN profit END AS mprofit, CASE WHEN ABS(p - mp) < 0.1 THEN profit END AS bprofit FROM m),
+    x AS (SELECT 'segment' AS family, segment, season, profit, mprofit, bprofit FROM z UNION ALL SELECT 'market', market, season, profit, mprofit, bprofit FROM z UNION ALL SELECT 'week', week::VARCHAR, season, profit, mprofit, bprofit FROM z UNION ALL SELECT 'blend_followed', segment, season, profit, mprofit, bprofit FROM z),
+    g AS (SELECT family, segment, season, COUNT(*) AS n, ROUND(AVG(profit), 7) AS model_roi, ROUND(AVG(mprofit), 7) AS market_roi, COUNT(bprofit) AS blend_n, ROUND(AVG(bprofit), 7) AS blend_roi FROM x WHERE family <> 'blend_followed' GROUP BY GROUPING SETS ((family, segment, season), (family, segment))),
+    h AS (SELECT *, model_roi - market_roi AS gain FROM g), s AS (SELECT family, segment, COUNT(*) AS seasons, AVG(COALESCE(model_roi > 0, FALSE)::INT) AS pr, AVG(COALESCE(gain > 0, FALSE)::INT) AS pg FROM h WHERE season IS NOT NULL AND n >= 5 GROUP BY 1, 2),
+    j AS (SELECT h.* EXCLUDE (season), COALESCE(seasons, 0) AS seasons, pr, pg FROM h LEFT JOIN s USING (family, segment) WHERE season IS NULL AND n >= 25),
+    k AS (SELECT *, seasons >= 2 AND pr >= 0.55 AND pg >= 0.55 AND model_roi > 0 AND gain > 0 AS m, COALESCE(blend_n >= 25 AND blend_roi > 0 AND blend_roi > model_roi AND blend_roi > market_roi, FALSE) AS b, COALESCE(model_roi < 0 AND gain < 0, FALSE) AS v FROM j)
+    SELECT family, segment, n, model_roi, market_roi, blend_n, blend_roi, ROUND(gain, 6) AS gain, seasons, ROUND(pr, 6) AS positive_roi_rate, ROUND(pg, 6) AS positive_gain_rate,
+      CASE WHEN m THEN 'candidate_model_side_segment' WHEN b THEN 'candidate_market_blend_segment' WHEN v THEN 'avoid_model_side_segment' ELSE 'monitor' END AS action, CASE WHEN m OR b THEN 'research' WHEN v THEN 'block' ELSE 'monitor' END AS tier,
+      ROUND(CASE WHEN m THEN model_roi + gain WHEN b THEN 2 * blend_roi - model_roi WHEN v THEN ABS(model_roi) + ABS(gain) ELSE COALESCE(gain, 0) END, 6) AS score FROM k""",
 )
 def segment_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bets = graded(spark, sf_dir)
-    sums = [F.count(F.lit(1)).alias("n"), F.round(F.avg("profit"), 7).alias("roi")]
-    segments = bets.groupingSets([[F.col("market"), F.col("segment"), F.col("season")], [F.col("market"), F.col("segment")]], "market", "segment", "season").agg(*sums)
-    return grading.recommendations(segments, ["market", "segment"], "season", 200, 50).withColumn("positive", F.round("positive", 6))
+    """Families of segments of the bets, one of them about results and so left out."""
+    from gridspark.functions import odds
+
+    mp = odds.american_to_implied(F.col("odds"))
+    bets = graded(spark, sf_dir).withColumns({"m": F.when(mp >= 0.5, F.col("profit")), "b": F.when(F.abs(F.col("p") - mp) < 0.1, F.col("profit"))})
+    families = F.array(*[F.struct(F.lit(f).alias("family"), F.col(c).cast("string").alias("value")) for f, c in (("segment", "segment"), ("market", "market"), ("week", "week"), ("blend_followed", "segment"))])
+    each = bets.select("season", "profit", "m", "b", F.inline(families)).withColumnRenamed("value", "segment")
+    sums = [
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("profit"), 7).alias("model_roi"), F.round(F.avg("m"), 7).alias("market_roi"), F.count("b").alias("blend_n"), F.round(F.avg("b"), 7).alias("blend_roi"),
+    ]
+    c = F.col
+    segments = each.groupingSets([[c("family"), c("segment"), c("season")], [c("family"), c("segment")]], "family", "segment", "season").agg(*sums)
+    out = grading.recommendations(segments)
+    return out.withColumns({n: F.round(n, 6) for n in ("gain", "positive_roi_rate", "positive_gain_rate", "score")})
 
 
 @query(
@@ -201,14 +235,16 @@ def bias_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "drift_check",
     f"""WITH {BETS_SQL}, s AS (SELECT market, season, ROUND(AVG((p - y) ** 2), 7) AS brier, ROUND(AVG(y), 7) AS rate FROM graded WHERE season IN (1998, 1999) GROUP BY 1, 2),
-    l AS (SELECT market, season, unnest(['brier', 'rate']) AS metric, unnest([brier, rate]) AS v FROM s)
-    SELECT a.market, a.metric, a.v AS "now", b.v AS "then", ROUND((a.v - b.v) / ABS(b.v), 6) AS change, COALESCE(ABS((a.v - b.v) / ABS(b.v)) > 0.01, FALSE) AS drifted FROM l a JOIN l b USING (market, metric) WHERE a.season = 1999 AND b.season = 1998""",
+    l AS (SELECT market, season, unnest(['brier', 'rate']) AS metric, unnest([brier, rate]) AS v, unnest([0.0005, 0.002]) AS most FROM s)
+    SELECT a.market, a.metric, a.v AS "now", b.v AS "then", ROUND(a.v - b.v, 6) AS drift, a.most::DOUBLE AS threshold, CASE WHEN ABS(a.v - b.v) > 2 * a.most THEN 'critical' WHEN ABS(a.v - b.v) > a.most THEN 'warning' ELSE 'none' END AS severity
+    FROM l a JOIN l b USING (market, metric) WHERE a.season = 1999 AND b.season = 1998""",
 )
 def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute moves of Brier score and rate from one season to the next."""
     bets = graded(spark, sf_dir)
     sums = [F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 7).alias("brier"), F.round(F.avg("y"), 7).alias("rate")]
     of = lambda s: bets.filter(F.col("season") == s).groupBy("market").agg(*sums)
-    return grading.drift(of(1999), of(1998), ["market"], ["brier", "rate"], 0.01).withColumn("change", F.round("change", 6))
+    return grading.drift(of(1999), of(1998), ["market"], {"brier": 0.0005, "rate": 0.002}).withColumn("drift", F.round("drift", 6))
 
 
 @query(

@@ -188,7 +188,7 @@ def test_html_rows_leave_headers_and_tags(spark):
 
     html = "<table><tr><th>a</th><th>b</th></tr>\n<tr><td> <b>x</b> </td><td>1,234%</td></tr><tr><td>one cell</td></tr></table>"
     out = feeds.html_rows(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "html", ["a", "b"])
-    assert [tuple(r) for r in out.withColumn("b", feeds.number(F.col("b"))).collect()] == [(1, "x", 1234.0)]
+    assert [tuple(r) for r in out.withColumn("b", feeds.number(F.col("b"))).collect()] == [(1, "x", 1234.0), (1, "one cell", None)]
 
 
 def test_nearest_and_asof_across_slices(spark):
