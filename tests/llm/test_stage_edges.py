@@ -1,6 +1,6 @@
 """Each stage alone on nulls, empty texts, repeated rows and columns named like an operator's own."""
 
-from gridspark.llm import mixing, packing, secret_scan, simhash
+from gridspark.llm import jaccard, mixing, packing, quality, secret_scan, simhash
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, _row long, _n long, _key long, d long, copy long, hash long, label long, "
@@ -24,6 +24,21 @@ def test_near_dedup(spark):
     assert rest(got) == {repr(EXTRA)}
 
 
+def test_near_dedup_by_sets(spark):
+    got = jaccard.deduplicate(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got) == sorted([(1, A), (3, B), (2, "")])
+    assert rest(got) == {repr(EXTRA)}
+
+
+def test_quality_rules(spark):
+    """Null and empty texts go, repeated rows and null ids stay with all their columns; without labels the base rule alone decides."""
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    docs = spark.createDataFrame(ROWS + ROWS[3:4], SCHEMA)
+    got = quality.select_good(docs, labels).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in got) == sorted([(0, A), (0, B), (1, A), (1, A), (3, B)])
+    assert rest(got) == {repr(EXTRA)} and quality.select_good(docs.limit(0), labels).count() == 0
+
+
 def test_secrets(spark):
     got = secret_scan.redact(spark.createDataFrame(ROWS, SCHEMA)).collect()
     assert len(got) == len(ROWS) and rest(got) == {repr(EXTRA)}
