@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import mixing, packing, quality, secret_scan, simhash
+from gridspark.llm import jaccard, mixing, packing, quality, secret_scan
 from gridspark.llm.common import Scratch, table
 
 
@@ -18,8 +18,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group that fingerprints of five-word shingles connect within four of 64 bits: the one with the smallest id."""
-    return simhash.deduplicate(docs, width=5)
+    """One document stays of each group, the one with the smallest id.
+
+    Groups are what fingerprints of five-word shingles connect within four of 64 bits at the anchors of the covering code, and what sets of these shingles
+    with a similarity of 0.8 or more connect among the rest.
+    """
+    return jaccard.deduplicate(docs, width=5)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
