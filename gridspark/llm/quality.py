@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import text_bytes
+from gridspark.llm.common import as_struct, from_struct, text_bytes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Model inputs, and the direction in which each may move the score (-1: only down; 0: free).
@@ -268,15 +268,19 @@ def select_good(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.35, min_words: int = 50, max_repeat: float = 0.5,
     max_train_rows: int = 4000,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass and without a shuffle."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass and without a shuffle.
+
+    A null text counts as empty and goes; null doc_ids and repeated rows stay as often as they come; columns may have any names; an empty table gives no rows.
+    """
     trees = train(docs, labels, max_train_rows)
+    rows = as_struct(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics((t.as_py() or "").encode()) for t in batch.column("text")]
+            found = [statistics((t or "").encode()) for t in batch.column("d").field("text").to_pylist()]
             counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
             score = trees.score(np.array([i for _, i in found], float).reshape(-1, len(FEATURES)))
             good = (counts[:, 0] >= min_words) & (counts[:, 4] <= max_repeat * counts[:, 0]) & (score >= threshold)
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return from_struct(rows.mapInArrow(keep, rows.schema), docs.columns)
