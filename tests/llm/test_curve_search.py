@@ -55,6 +55,18 @@ def test_recall_against_brute_force(spark, kind):
     assert all(s == pytest.approx(float(exact[q] @ exact[j]), abs=1e-12) for q in got for j, s in got[q])
 
 
+def test_recall_on_the_given_embeddings(spark):
+    """The whole table against brute force in numpy; a query's vectors have next to no structure, see the README."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.select("vec_id", "embedding").collect()]
+    rows = [(i, v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    got, want = found(C.search(vectors)), brute(ids, x, 20, 20)
+    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
+    print(len(want), "queries over", len(ids), "vectors, recall at 20:", hits / (20 * len(want)))
+    assert got.keys() == want.keys() and hits >= 0.95 * 20 * len(want)
+
+
 def test_copies_and_ties(spark):
     """A third of the rows hold one vector: its smallest ids win, and its queries skip themselves."""
     rng = np.random.default_rng(2)
