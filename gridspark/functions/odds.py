@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def held(x: Column, low: float, high: float) -> Column:
+    """``x`` within its bounds; null stays null, which greatest and least alone would take for a bound."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def american_to_decimal(odds: Column) -> Column:
     """Decimal price of American odds; odds of 0 have none."""
     return F.when(odds > 0, 1 + odds / 100).when(odds < 0, 1 + 100 / F.abs(odds))
@@ -29,7 +34,7 @@ def profit_per_unit(odds: Column) -> Column:
 def no_vig(one: Column, other: Column, clip: float | None = None) -> Column:
     """Share of the first of two implied probabilities, both above 0; optionally kept off 0 and 1 by ``clip``."""
     share = F.when((one > 0) & (other > 0), one / (one + other))
-    return share if clip is None else F.when(share.isNotNull(), F.greatest(F.lit(clip), F.least(F.lit(1 - clip), share)))
+    return share if clip is None else held(share, clip, 1 - clip)
 
 
 def expected_value(probability: Column, price: Column, stake: float = 1.0) -> Column:
@@ -54,7 +59,7 @@ def elo_probability(own: Column, other: Column, home_edge: float = 0.0) -> Colum
 
 
 def logit(p: Column, clip: float = 1e-6) -> Column:
-    kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
+    kept = held(p, clip, 1 - clip)
     return F.when(p.isNotNull(), F.log(kept / (1 - kept)))
 
 
@@ -88,5 +93,5 @@ def brier(p: Column, outcome: Column) -> Column:
 
 
 def log_loss(p: Column, outcome: Column, clip: float = 1e-15) -> Column:
-    kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
+    kept = held(p, clip, 1 - clip)
     return -(outcome * F.log(kept) + (1 - outcome) * F.log(1 - kept))

@@ -18,14 +18,14 @@ def versus_actual(predictions: DataFrame, results: DataFrame, keys: list[str]) -
     once = lambda df, side: df.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn(
         "_c", F.when(F.col("_c") > 1, F.raise_error(F.lit(f"{side}: a key comes twice"))).otherwise(F.col("_c"))
     )
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("home_win_prob")))
+    p = odds.held(F.col("home_win_prob"), 0.0, 1.0)
     out = once(predictions, "predictions").filter("_c = 1").drop("_c").join(once(results, "results").filter("_c = 1").drop("_c"), keys)
     out = out.withColumn("home_win_prob", p).withColumn("predicted_home_win", F.col("home_win_prob") >= 0.5)
     right = F.col("predicted_home_win") == F.col("actual_home_win")
     result = F.when(F.col("actual_home_win").isNull(), "push").when(right, "win").when(~right, "loss").otherwise("ungraded")
     price = F.when(F.col("predicted_home_win"), F.col("home_moneyline")).when(~F.col("predicted_home_win"), F.col("away_moneyline"))
     y = F.col("actual_home_win").cast("double")
-    safe = lambda x: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), x))
+    safe = lambda x: odds.held(x, 1e-9, 1 - 1e-9)
     return out.withColumns(
         {
             "su_result": result, "model_pick_prob": F.when(F.col("predicted_home_win"), p).otherwise(1 - p), "model_pick_moneyline": price,
@@ -69,7 +69,7 @@ def two_sided_clv(df: DataFrame) -> DataFrame:
 
     The handicap is the home side's points given to it, so pred_margin + spread over 28, around a half, held to 0.01 and 0.99.
     """
-    cover = F.greatest(F.lit(0.01), F.least(F.lit(0.99), 0.5 + (F.col("pred_margin") + F.col("home_spread")) / 28))
+    cover = odds.held(0.5 + (F.col("pred_margin") + F.col("home_spread")) / 28, 0.01, 0.99)
     rows = F.array(
         F.struct(F.lit("home").alias("side"), F.col("p").alias("model"), odds.american_to_implied(F.col("home_close")).alias("close"), cover.alias("cover")),
         F.struct(F.lit("away").alias("side"), (1 - F.col("p")).alias("model"), odds.american_to_implied(F.col("away_close")).alias("close"), (1 - cover).alias("cover")),
@@ -210,7 +210,7 @@ def bias_monitor(df: DataFrame, keys: list[str], model: str, market: str, y: str
         F.stddev_samp(gap).alias("_sd"),
     )
     moved = df.join(means.select(*keys, "mean_gap"), keys)
-    shifted = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(model) - F.col("mean_gap")))
+    shifted = odds.held(F.col(model) - F.col("mean_gap"), 0.01, 0.99)
     scores = moved.groupBy(*keys).agg(
         (F.avg(F.pow(F.col(model) - F.col(y), 2)) - F.avg(F.pow(F.col(market) - F.col(y), 2))).alias("brier_delta"),
         (F.avg(F.pow(shifted - F.col(y), 2)) - F.avg(F.pow(F.col(model) - F.col(y), 2))).alias("brier_of_shift"),

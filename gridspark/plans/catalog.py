@@ -14,6 +14,8 @@ from gridspark.plans import (  # noqa: F401
     ingest_queries,
     join_queries,
     player_queries,
+    prop_queries,
+    report_queries,
     scalar_queries,
     state_queries,
     stream_queries,

@@ -12,6 +12,7 @@ from gridspark.functions.text import slug
 
 ROSTER = "struct<team:string,athletes:array<struct<position:string,items:array<struct<id:string,name:string,status:string>>>>>"
 DEPTH = "struct<team:string,positions:array<struct<position:string,athletes:array<struct<id:string>>>>>"
+INJURIES = "struct<injuries:array<struct<status:string,type:string,date:string,detail:string,athlete:struct<id:string,displayName:string,shortName:string>,team:struct<abbreviation:string>>>>"
 ARTICLES = "struct<articles:array<struct<headline:string,published:string,categories:array<struct<type:string,team:string>>>>>"
 HOURS = "struct<days:array<struct<hours:array<struct<at:bigint,temp:double,wind:double,precip:double,conditions:string,source:string>>>>>"
 PERIODS = "struct<response:array<struct<periods:array<struct<at:bigint,temp:double,wind:double>>>>>"
@@ -41,6 +42,23 @@ def depth_chart(feed: DataFrame) -> DataFrame:
     return ranked.select(*keep, "team", "position", (F.col("i") + 1).alias("rank"), F.col("a.id").alias("id"))
 
 
+def injuries(feed: DataFrame) -> DataFrame:
+    """One row per reported athlete: id, names, team, status (else the type), type, detail and date."""
+    keep = [c for c in feed.columns if c != "payload"]
+    each = parsed(feed, INJURIES).select(*keep, F.explode("x.injuries").alias("i"))
+    return each.select(
+        *keep, F.col("i.team.abbreviation").alias("team"), F.col("i.athlete.id").alias("id"), F.col("i.athlete.displayName").alias("display_name"), F.col("i.athlete.shortName").alias("short_name"),
+        F.coalesce("i.status", "i.type").alias("injury_status"), F.col("i.type").alias("injury_type"), F.col("i.detail").alias("injury_detail"), F.col("i.date").alias("injury_date"),
+    )
+
+
+def in_season(news: DataFrame, season: int, published: str = "published") -> DataFrame:
+    """News between June of the year before and March of the year after a season, marked with it; what has no readable time is out."""
+    at = F.try_to_timestamp(F.col(published).cast("string"))
+    start, end = (F.lit(f"{y}-{md}").cast("timestamp") for y, md in ((season - 1, "06-01"), (season + 1, "03-01")))
+    return news.filter((at >= start) & (at <= end)).withColumn("season", F.lit(season))
+
+
 def articles(feed: DataFrame) -> DataFrame:
     """One row per article and team it is filed under."""
     keep = [c for c in feed.columns if c != "payload"]
