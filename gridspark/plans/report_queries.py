@@ -28,7 +28,7 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.decided(predictions, actuals, ["game_id"], "made_at")
 
 
-METRICS_SQL = "COUNT(*) AS n_games, ROUND(AVG((NOT missed)::INT), 7) AS accuracy, ROUND(AVG((q - y) ** 2), 10) AS brier, ROUND(AVG(-(y * LN(GREATEST(1e-9::DOUBLE, LEAST(1 - 1e-9::DOUBLE, q))) + (1 - y) * LN(1 - GREATEST(1e-9::DOUBLE, LEAST(1 - 1e-9::DOUBLE, q))))), 10) AS log_loss, ROUND(AVG(ae), 7) AS mae_margin, ROUND(SQRT(AVG(ae * ae)), 7) AS rmse_margin"
+METRICS_SQL = "COUNT(*) AS n_games, ROUND(AVG((NOT missed)::INT), 7) AS accuracy, ROUND(AVG((q - y) ** 2), 10) AS brier, ROUND(AVG(-(y * LN(GREATEST(1e-9::DOUBLE, LEAST(1 - 1e-9::DOUBLE, q))) + (1 - y) * LN(GREATEST(1e-9::DOUBLE, LEAST(1 - 1e-9::DOUBLE, 1 - q))))), 10) AS log_loss, ROUND(AVG(ae), 7) AS mae_margin, ROUND(SQRT(AVG(ae * ae)), 7) AS rmse_margin"
 
 
 @query("weekly_metrics", f"WITH {DECIDED_SQL}, s AS (SELECT season, week, {METRICS_SQL} FROM e GROUP BY 1, 2) SELECT s.*, ROUND(a.auc, 7) AS auc FROM s JOIN {_auc_sql('e', 'q', 'y', ['season', 'week'])} a USING (season, week)")
