@@ -101,6 +101,19 @@ def against_market(rows: DataFrame, sources: list[str], market: str = "market_pr
     return out.join(base, ["season", "week_bucket"]).withColumns({f"{c}_minus_market": F.col(c) - F.col(f"_{c}") for c in names}).drop(*[f"_{c}" for c in names])
 
 
+def attach_blend(games: DataFrame, blend: DataFrame, order: str) -> DataFrame:
+    """Games with what the blend of model and market picked: its last row of each (season, week, game_id) by ``order``, whom it followed, and its profit.
+
+    Games: model_home_pick and market_home_pick, which differ; blend: blend_home_pick, blend_correct, blend_profit. ``blend_followed`` is model, vegas, or unavailable without a blend.
+    """
+    keys = ["season", "week", "game_id"]
+    last = blend.groupBy(*keys).agg(F.max_by(F.struct("blend_home_pick", "blend_correct", "blend_profit"), order).alias("_b"))
+    out = games.join(last, keys, "left").select(*games.columns, "_b.*")
+    pick = F.col("blend_home_pick")
+    followed = F.when(pick.isNull(), "unavailable").when(pick == F.col("model_home_pick"), "model").when(pick == F.col("market_home_pick"), "vegas").otherwise("other")
+    return out.withColumns({"blend_available": F.col("blend_home_pick").isNotNull(), "blend_followed": followed})
+
+
 #: Columns that pass into the matrix of volatile games as they are, and words on quarterbacks of this week and of the last ones.
 VOLATILE_AS_IS = (
     "home_rest", "away_rest", "sched_rest_days_home", "sched_rest_days_away", "sched_back_to_back_travel_home", "sched_back_to_back_travel_away", "away_travel_distance_km",

@@ -252,3 +252,38 @@ def paged_player_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kept = feeds.paged(rows, ["season", "category"], "page", ["player"])
     return feeds.team_totals(kept.withColumns({"name": F.lit("yds"), "source": F.col("page")}), ["season", "team"], "category")
+
+
+@query(
+    "feed_player_prices",
+    """SELECT o_orderstatus AS feed, o_orderkey AS id, o_orderkey // 10 AS game_id, o_custkey AS player_id, CASE WHEN o_custkey % 2 = 0 THEN 'dk' ELSE 'fd' END AS vendor, o_orderpriority AS prop_type, CASE WHEN o_custkey % 9 > 0 THEN FLOOR(o_totalprice / 1000) + 0.5 END AS line,
+      CASE WHEN o_custkey % 3 = 0 THEN 'milestone' ELSE 'over_under' END AS market_type, (-110 - o_custkey % 20)::INT AS over_odds, CASE WHEN o_custkey % 3 > 0 THEN (100 + o_custkey % 20)::INT END AS under_odds FROM orders""",
+)
+def feed_player_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload per customer and status, some a list and some an object that holds it; broken lines are null."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    one, two = (-110 - cust % 20).cast("int"), (100 + cust % 20).cast("int")
+    single = cust % 3 == 0
+    market = F.struct(
+        F.when(single, "milestone").otherwise("over_under").alias("type"), F.when(single, one).alias("odds"), F.when(~single, one).alias("over_odds"), F.when(~single, two).alias("under_odds")
+    )
+    line = F.when(cust % 9 > 0, (F.floor(F.col("o_totalprice") / 1000) + 0.5).cast("string")).otherwise("n/a")
+    record = F.struct(
+        key.alias("id"), F.floor(key / 10).alias("game_id"), cust.alias("player_id"), F.when(cust % 2 == 0, "dk").otherwise("fd").alias("vendor"), F.col("o_orderpriority").alias("prop_type"), line.alias("line_value"), market.alias("market"), F.lit("x").alias("other")
+    )
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("feed")).agg(F.collect_list(record).alias("data"))
+    payload = F.when(F.col("o_custkey") % 2 == 0, F.to_json("data")).otherwise(F.to_json(F.struct("data")))
+    return feeds.player_prices(rows.select("feed", payload.alias("payload")))
+
+
+@query(
+    "feed_numbered_players",
+    f"WITH {STITCH_SQL} SELECT c_nationkey AS page, r::INT AS position, c_custkey::VARCHAR AS player_id, c_mktsegment AS name, (c_custkey % 7)::VARCHAR AS team FROM c",
+)
+def feed_numbered_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload per nation whose records lie under numbers beside their count."""
+    record = F.to_json(F.struct(F.array(F.struct(F.col("x.c_custkey").cast("string").alias("player_id"), F.struct(F.col("x.c_mktsegment").alias("full")).alias("name"), (F.col("x.c_custkey") % 7).alias("team"))).alias("player")))
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("page")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("c"))
+    each = rows.select("page", F.posexplode("c").alias("i", "x")).select("page", F.concat(F.lit('"'), F.col("i").cast("string"), F.lit('":'), record).alias("one"))
+    body = each.groupBy("page").agg(F.concat(F.lit('{"fantasy_content":{"players":{'), F.array_join(F.collect_list("one"), ","), F.lit(',"count":'), F.count(F.lit(1)).cast("string"), F.lit("}}}")).alias("payload"))
+    return feeds.numbered(body, "players", {"player_id": "$.player[0].player_id", "name": "$.player[0].name.full", "team": "$.player[0].team"})

@@ -183,3 +183,22 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_tax") - 0.04).alias("tax"), (F.col("l_discount") - 0.05).alias("discount"), (F.col("l_quantity") / 100).alias("quantity"))
     out = evaluation.top_features(lines.unpivot([], ["tax", "discount", "quantity"], "feature", "value"), 2)
     return out.withColumns({"mean_abs": F.round("mean_abs", 8), "mean": F.round("mean", 8)})
+
+
+@query(
+    "blend_detail",
+    """WITH g AS (SELECT o_orderkey AS game_id, YEAR(o_orderdate) AS season, MONTH(o_orderdate) AS week, o_custkey % 2 = 0 AS mp FROM orders), b AS (SELECT l_orderkey AS game_id, l_returnflag <> 'N' AS bp, l_tax > 0.04 AS bc, l_discount - 0.05 AS pr,
+      ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS i FROM lineitem WHERE l_quantity > 20)
+    SELECT g.game_id, bp IS NOT NULL AS blend_available, bp AS blend_home_pick, bc AS blend_correct, pr AS blend_profit, CASE WHEN bp = mp THEN 'model' WHEN bp <> mp THEN 'vegas' ELSE 'unavailable' END AS blend_followed FROM g LEFT JOIN b ON b.game_id = g.game_id AND i = 1""",
+)
+def blend_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as games on which model and market differ, their last larger line as what the blend picked."""
+    games = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("game_id"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.col("o_custkey") % 2 == 0).alias("model_home_pick"), (F.col("o_custkey") % 2 != 0).alias("market_home_pick")
+    )
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 20").select(
+        F.col("l_orderkey").alias("game_id"), (F.col("l_returnflag") != "N").alias("blend_home_pick"), (F.col("l_tax") > 0.04).alias("blend_correct"), (F.col("l_discount") - 0.05).alias("blend_profit"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seen"),
+    )
+    blend = lines.join(games.select("game_id", "season", "week"), "game_id")
+    return evaluation.attach_blend(games, blend, "seen").select("game_id", "blend_available", "blend_home_pick", "blend_correct", "blend_profit", "blend_followed")

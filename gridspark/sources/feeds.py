@@ -198,6 +198,35 @@ def number(x: Column) -> Column:
     return F.nullif(F.regexp_replace(x, r"[,%\s]", ""), F.lit("")).try_cast("double")
 
 
+def records(feed: DataFrame, fields: str) -> DataFrame:
+    """Rows of payloads that are a JSON list of records, or an object that holds it as "data"; ``fields`` is their schema, names not in it are left out."""
+    keep = [c for c in feed.columns if c != "payload"]
+    listed = F.startswith(F.ltrim("payload"), F.lit("["))
+    rows = F.when(listed, F.from_json("payload", f"array<struct<{fields}>>")).otherwise(F.from_json("payload", f"struct<data:array<struct<{fields}>>>")["data"])
+    return feed.select(*keep, F.inline(F.filter(F.coalesce(rows, F.array().cast(f"array<struct<{fields}>>")), lambda r: r.isNotNull())))
+
+
+#: A bookmaker's price on a player: its line, and odds of one side or of both.
+PROP = "id:bigint,game_id:bigint,player_id:bigint,vendor:string,prop_type:string,line_value:string,market:struct<type:string,odds:int,over_odds:int,under_odds:int>"
+
+
+def player_prices(feed: DataFrame) -> DataFrame:
+    """Prices on players, one row a record; a market with one side has its odds as the over's."""
+    each = records(feed, PROP)
+    return each.select(
+        *[c for c in each.columns if c not in ("line_value", "market")], F.col("line_value").try_cast("double").alias("line"), F.col("market.type").alias("market_type"),
+        F.coalesce("market.over_odds", "market.odds").alias("over_odds"), F.col("market.under_odds").alias("under_odds"),
+    )
+
+
+def numbered(feed: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
+    """Rows of payloads whose records lie under numbers in fantasy_content.``kind`` ({"0": …, "1": …, "count": 2}); ``fields`` maps names to JSON paths in a record."""
+    keep = [c for c in feed.columns if c != "payload"]
+    held = F.from_json("payload", f"struct<fantasy_content:struct<{kind}:map<string,string>>>")["fantasy_content"][kind]
+    each = feed.select(*keep, F.explode(held).alias("_n", "_r")).filter(F.col("_n").rlike("^[0-9]+$"))
+    return each.select(*keep, F.col("_n").cast("int").alias("position"), *[F.get_json_object("_r", path).alias(n) for n, path in fields.items()])
+
+
 def from_file_name(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
     """Whole numbers out of the name of the file that each row comes from, one for each group of ``pattern``."""
     return df.withColumns({n: F.nullif(F.regexp_extract(F.input_file_name(), pattern, i + 1), F.lit("")).cast("int") for i, n in enumerate(names)})

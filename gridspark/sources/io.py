@@ -71,3 +71,24 @@ def jsonable(df: DataFrame) -> DataFrame:
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions that ``df`` holds; rows of one partition are written together."""
     df.repartition(*by).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a row; NaN as null, and nulls written, so that every object has all fields."""
+    nan_to_null(df).write.option("ignoreNullFields", False).mode("overwrite").json(path)
+
+
+#: Names under which tables hold a team, the first that is there counts.
+TEAM_COLUMNS = ("team", "team_abbr", "team_abbreviation", "abbr", "club", "club_code", "team_code")
+
+
+def first_column(df: DataFrame, names: tuple[str, ...] = TEAM_COLUMNS) -> str | None:
+    return next((n for n in names if n in df.columns), None)
+
+
+def with_team(df: DataFrame, out: str = "team") -> DataFrame:
+    """The column that holds a team as ``out``, trimmed and in upper case; an error says which names were looked for."""
+    name = first_column(df)
+    if name is None:
+        raise ValueError(f"no column of a team among {df.columns}; looked for {list(TEAM_COLUMNS)}")
+    return df.withColumn(out, F.upper(F.trim(F.col(name).cast("string"))))

@@ -135,3 +135,34 @@ def test_statistics_in_json(spark):
     rows = [(1, "p", '{"a": 1, "b": "x", "c": null}'), (1, "p", '{"a": 3.5, "b": 2}'), (1, "p", "{"), (1, "p", None), (2, "q", "[]")]
     out = playbyplay.stat_table(spark.createDataFrame(rows, "k int, c string, s string"), ["k"], "c", "s")
     assert sorted(map(tuple, out.collect())) == [(1, "p_a", 2.25, 4.5, 2), (1, "p_b", 2.0, 2.0, 1)]
+
+
+def test_records_of_lists_objects_and_nonsense(spark):
+    one = '{"id": 1, "game_id": 2, "player_id": 3, "vendor": "dk", "prop_type": "x", "line_value": "1.5", "market": {"type": "m", "odds": -120}}'
+    two = one.replace('"odds": -120', '"over_odds": -110, "under_odds": -105').replace('"1.5"', '"?"')
+    feed = spark.createDataFrame([("a", f"[{one}]"), ("b", f'{{"data": [{two}, null]}}'), ("c", "[]"), ("d", "{}"), ("e", None), ("f", "[")], "k string, payload string")
+    out = sorted((r.k, r.line, r.over_odds, r.under_odds) for r in feeds.player_prices(feed).collect() if r.id is not None)
+    assert out == [("a", 1.5, -120, None), ("b", None, -110, -105)]
+
+
+def test_numbered_records_leave_their_count_out(spark):
+    feed = spark.createDataFrame([(1, '{"fantasy_content": {"players": {"0": {"player": [{"id": "7"}]}, "1": {}, "count": 2}}}'), (2, "{}"), (3, None)], "k int, payload string")
+    assert sorted((r.k, r.position, r.id) for r in feeds.numbered(feed, "players", {"id": "$.player[0].id"}).collect()) == [(1, 0, "7"), (1, 1, None)]
+
+
+def test_json_rows_have_all_fields(spark, tmp_path):
+    from gridspark.sources import io
+
+    df = spark.createDataFrame([(1, float("nan"), None, [1]), (2, 0.5, "x", None)], "a int, b double, c string, d array<int>")
+    io.write_json(df, str(tmp_path / "out"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines == ['{"a":1,"b":null,"c":null,"d":[1]}', '{"a":2,"b":0.5,"c":"x","d":null}']
+
+
+def test_the_column_of_a_team(spark):
+    from gridspark.sources import io
+
+    df = spark.createDataFrame([(" kc ", "x")], "club string, abbr_name string")
+    assert io.with_team(df).first().team == "KC" and io.first_column(df.drop("club")) is None
+    with pytest.raises(ValueError, match="no column of a team"):
+        io.with_team(df.drop("club"))
