@@ -19,6 +19,7 @@ from gridspark.plans import (  # noqa: F401
     scalar_queries,
     state_queries,
     stream_queries,
+    support_queries,
 )
 from gridspark.plans.registry import ORACLES, QUERIES
 
