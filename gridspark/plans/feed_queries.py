@@ -189,7 +189,7 @@ def feed_season_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     move = F.struct(F.to_date("o_orderdate").cast("string").alias("at"), F.col("o_orderpriority").alias("kind"), F.lit(None).cast("string").alias("from"), F.col("o_orderkey").cast("string").alias("to"))
     people = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.struct(F.col("o_custkey").cast("string").alias("id"), F.collect_list(move).alias("transactions")).alias("p"))
-    return feeds.transactions(people.groupBy(F.pmod("o_custkey", F.lit(50)).alias("page")).agg(F.to_json(F.struct(F.collect_list("p").alias("players"))).alias("payload")).select("payload"))
+    return feeds.transactions(people.groupBy(F.floor(F.col("o_custkey") / 20).alias("page")).agg(F.to_json(F.struct(F.collect_list("p").alias("players"))).alias("payload")).select("payload"))
 
 
 @query(

@@ -90,7 +90,7 @@ def touchdown_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "injury_grid",
     """WITH g AS (SELECT DISTINCT YEAR(o_orderdate) AS season, MONTH(o_orderdate) AS week, o_custkey % 16 AS team FROM orders),
-    r AS (SELECT YEAR(o_orderdate) AS season, MONTH(o_orderdate) AS week, o_custkey % 16 AS team, COUNT(*)::DOUBLE AS inj_out FROM orders WHERE o_totalprice > 480000 AND MONTH(o_orderdate) % 3 <> 0 GROUP BY 1, 2, 3),
+    r AS (SELECT YEAR(o_orderdate) AS season, MONTH(o_orderdate) AS week, o_custkey % 16 AS team, COUNT(*)::DOUBLE AS inj_out FROM orders WHERE o_totalprice > 497000 GROUP BY 1, 2, 3),
     k AS (SELECT season, week, team, CASE WHEN w.hit THEN COALESCE(inj_out, 0) END AS v FROM g LEFT JOIN r USING (season, week, team) LEFT JOIN (SELECT DISTINCT season, week, TRUE AS hit FROM r) w USING (season, week))
     SELECT season, week, team, LAST_VALUE(v IGNORE NULLS) OVER (PARTITION BY team, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inj_out FROM k""",
 )
@@ -98,7 +98,7 @@ def injury_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), (F.col("o_custkey") % 16).alias("home_team"), "o_totalprice"
     )
-    reports = orders.filter("o_totalprice > 480000 AND week % 3 <> 0").groupBy("season", "week", F.col("home_team").alias("team")).agg(F.count(F.lit(1)).cast("double").alias("inj_out"))
+    reports = orders.filter("o_totalprice > 497000").groupBy("season", "week", F.col("home_team").alias("team")).agg(F.count(F.lit(1)).cast("double").alias("inj_out"))
     return football.injury_grid(reports, orders.withColumn("away_team", F.col("home_team")), ["inj_out"])
 
 
