@@ -130,7 +130,7 @@ def write(
 ) -> None:
     """Encode and write ``docs`` as ORC in ascending doc_id order (null first), shard after shard.
 
-    Rows: shard int, doc_id long, ids array<int>. Without ``shards`` there are as many as the texts have SHARD_BYTES, and at
+    Rows: shard int, place long (0, 1, … in the shard), doc_id long, ids array<int>. Without ``shards`` there are as many as the texts have SHARD_BYTES, and at
     least one for each core. Rows of one doc_id, or of none, are in the order of a hash of their texts; so many of them
     are no burden to one shard.
     """
@@ -142,7 +142,7 @@ def write(
     ordered = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     (
         encode(ordered, vocabulary, end_id)
-        .select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
+        .select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), "doc_id", "ids")
         .write.option("compression", "lz4")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -154,16 +154,16 @@ def write(
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(shard, doc_id, ids) of a written folder; of some documents, by the row indexes and Bloom filters."""
-    rows = spark.read.schema("shard int, doc_id long, ids array<int>").orc(path)
+    """(shard, place, doc_id, ids) of a written folder; of some documents, by the row indexes and Bloom filters."""
+    rows = spark.read.schema("shard int, place long, doc_id long, ids array<int>").orc(path)
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(*doc_ids))
 
 
 def digest(stored: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shard, doc_id, ids) to (doc_id, start, n_tokens, ids_crc32), from the ids alone.
+    """(shard, place, doc_id, ids) to (doc_id, start, n_tokens, ids_crc32), from the ids alone.
 
-    ``start`` counts the ids of all documents before: a sum over shards (one row each) plus a running sum within the
-    shard. Repeated doc_ids are ordered by length and checksum.
+    ``start`` counts the ids of all documents before, in the order in which they lie in the files: a sum over shards (one row each) plus a running sum within the
+    shard.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +173,16 @@ def digest(stored: DataFrame, scratch: Scratch) -> DataFrame:
             values = lists.values.to_numpy().astype("<i4", copy=False)
             sums = [zlib.crc32(values[a:b].data) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch(
-                [batch.column("shard"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
-                ["shard", "doc_id", "n_tokens", "ids_crc32"],
+                [*[batch.column(c) for c in ("shard", "place", "doc_id")], pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
+                ["shard", "place", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    rows = stored.select("shard", "doc_id", "ids").mapInArrow(check, "shard int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = stored.select("shard", "place", "doc_id", "ids").mapInArrow(check, "shard int, place long, doc_id long, n_tokens long, ids_crc32 long")
     rows = scratch.write(rows, "digest")
     before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.groupBy(F.col("shard").alias("s")).agg(F.sum("n_tokens").alias("n"))
     starts = shards.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32")
+    own = Window.partitionBy("shard").orderBy("place")
     run = F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return (
         rows.withColumn("run", run)

@@ -61,6 +61,17 @@ def test_round_trip(spark, tmp_path):
     assert "PushedFilters: [EqualTo(doc_id,5)]" in plan or "PushedFilters: [In(doc_id, [5])]" in plan or "PushedFilters: [IsNotNull(doc_id)" in plan
 
 
+def test_starts_are_places_in_the_files(spark, tmp_path):
+    """Texts that share an id stand in the digest as they lie in the shards."""
+    docs = spark.createDataFrame([(i % 7, f"word{i} " * (i % 5), None, None) for i in range(200)] + [(None, "x y", None, None)] * 3, SCHEMA).repartition(4)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in T.encode_to_orc(docs, str(tmp_path / "t"), VOCABULARY).collect())
+    start, want = 0, []
+    for r in T.read(spark, str(tmp_path / "t")).orderBy("shard", "place").collect():
+        want.append((start, r.doc_id, len(r.ids)))
+        start += len(r.ids)
+    assert got == want and [d for _, d, _ in want] == sorted((d for _, d, _ in want), key=lambda d: -1 if d is None else d)
+
+
 def test_whole_tables(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
