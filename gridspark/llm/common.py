@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,16 @@ class Scratch:
         df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Delete all tables of this folder, which nothing will read again."""
+        folder, files = self._folder(self.root)
+        files.delete(folder, True)
+
+    def release(self) -> None:
+        """Let go of the shuffle files of jobs that are over: Spark deletes them when the driver collects its garbage, which it may not do for long."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this folder that nothing will read again."""
         for file in df.inputFiles()[:1]:

@@ -2,8 +2,8 @@
 
 A pair of texts with a Jaccard similarity just above 0.8 differs in about ten of 64 bits of its fingerprints, so the anchors of
 ``simhash`` connect the closest copies only. Here the texts that are left, one for each fingerprint, meet in bands of minimum hashes: with 28 bands
-of 7 hashes a pair of similarity 0.8 misses all of them with a probability of 0.0014. In a band, members are compared with a few leaders, chosen by a hash, and with more of them
-round by round while the band is not connected; in the last round everyone is a leader, so every pair that meets is linked already or compared. A pair is looked at first by its
+of 7 hashes a pair of similarity 0.8 meets in fewer than two with a probability of 0.012, more similar ones hardly ever. In a band, members are compared with a few leaders, chosen by a hash, and with more of them
+round by round while the band is not connected; in the last round everyone is a leader, so every pair that meets twice is linked already or compared. A pair is looked at first by its
 signatures, and by its whole sets only if those leave a chance. What is shuffled is one signature, or one set, for each pair and each leader, and never a pair of them.
 """
 
@@ -24,10 +24,10 @@ from gridspark.llm.simhash import fingerprint, links
 #: Least similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 28, 7
-#: Equal minimum hashes of a pair that leave it no chance are fewer than this share: four deviations below 0.8.
-LEAST_EQUAL = 0.68
+#: Bands in which a pair has to meet, and the share of minimum hashes that must be equal: two deviations below 0.8.
+LEAST_BANDS, LEAST_EQUAL = 2, 0.74
 #: Leaders of a band in the first round, and by what they grow in each.
-LEADERS, GROWTH = 1, 6
+LEADERS, GROWTH = 1, 32
 #: Rows that stand for one leader where its pairs are compared.
 SALTS = 8
 
@@ -129,7 +129,7 @@ def similar_links(classes: DataFrame, near: DataFrame, docs: DataFrame, scratch:
     )).alias("band", "key"))
     shared = each.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = scratch.write(each.join(shared, bucket), "met")
-    edges, leaders = scratch.write(near, "near"), LEADERS
+    edges, leaders = near, LEADERS
     labels = connected_components(edges, scratch)
     while True:
         marked = met.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -143,15 +143,18 @@ def similar_links(classes: DataFrame, near: DataFrame, docs: DataFrame, scratch:
         pairs = marked.select(*bucket, F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("l_v")).join(lead, bucket)
         fits = SIMILAR[1] * F.least("n_u", "n_v") >= SIMILAR[0] * F.greatest("n_u", "n_v")
         #: A pair of two leaders is compared once.
-        pairs = scratch.write(pairs.filter((F.col("l_u") != F.col("l_v")) & fits).select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct(), "pairs")
+        pairs = pairs.filter((F.col("l_u") != F.col("l_v")) & fits).select("band", F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u"))
+        pairs = pairs.groupBy("u", "v").agg(F.countDistinct("band").alias("c")).filter(F.col("c") >= LEAST_BANDS)
+        pairs = scratch.write(pairs.select("u", "v"), "pairs")
         hopeful = scratch.write(compared(pairs, classes, "sig", _maybe), "hopeful")
-        wanted = hopeful.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "hash"), "fp")
+        wanted = hopeful.select(F.col("u").alias("fp")).distinct().union(hopeful.select("v").distinct()).distinct().join(classes.select("fp", "hash"), "fp")
         sets = scratch.write(_sets(docs, wanted, width), "sets")
         new = scratch.write(compared(hopeful, sets, "shingles", _equal_enough), "links")
         for done in (marked, pairs, hopeful, sets):
             scratch.drop(done)
         edges = edges.union(new)
         labels = connected_components(edges, scratch)
+        scratch.release()
         if leaders >= largest:
             return labels
         leaders *= GROWTH
@@ -163,9 +166,14 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 4) -> DataFram
     The smallest doc_id stays, null last; then the text hash and the other columns decide. Texts without a word are one group. Rows are judged by their own texts:
     a null doc_id that nothing resembles stays, and so do different texts under one doc_id.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.write(signed(docs, width), "signed")
-    classes = scratch.write(rows.groupBy("fp").agg(F.min_by(F.struct("hash", "n", "sig"), "hash").alias("x")).select("fp", "x.*"), "classes")
-    labels = similar_links(classes, links(classes.select("fp"), scratch, threshold), docs, scratch, width).withColumnRenamed("node", "fp")
-    labelled = rows.select("doc_id", "hash", "fp").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    scratch, anchors = Scratch(docs.sparkSession, "jaccard"), Scratch(docs.sparkSession, "anchors")
+    every = scratch.write(signed(docs, width), "signed")
+    classes = scratch.write(every.groupBy("fp").agg(F.min_by(F.struct("hash", "n", "sig"), "hash").alias("x")).select("fp", "x.*"), "classes")
+    rows = scratch.write(every.select("doc_id", "hash", "fp"), "rows")
+    scratch.drop(every)
+    near = scratch.write(links(classes.select("fp"), anchors, threshold), "near")
+    anchors.clear()
+    scratch.release()
+    labels = similar_links(classes, near, docs, scratch, width).withColumnRenamed("node", "fp")
+    labelled = rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     return keep_heads(docs, labelled)
