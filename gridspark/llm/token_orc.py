@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import Scratch, one_thread
 
 #: Chunks whose ids a worker remembers, about 200 bytes each, and their greatest length; beyond, the older half is forgotten.
-REMEMBERED, CHUNK_CHARS = 600_000, 64
+REMEMBERED, CHUNK_CHARS = 1_200_000, 64
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 256 << 20
 
