@@ -36,3 +36,11 @@ def average_percent_rank(value: Column, over: WindowSpec, same: WindowSpec, ever
     ``everything`` is the whole partition."""
     mean_rank = F.rank().over(over) + (F.count(value).over(same) - 1) / 2
     return mean_rank / F.count(value).over(everything)
+
+
+def row_median(*values: Column) -> Column:
+    """Median of a row's values, nulls left out; null without any."""
+    there = F.array_sort(F.array_compact(F.array(*[v.cast("double") for v in values])))
+    n = F.size(there)
+    at = lambda i: F.try_element_at(there, i.cast("int"))
+    return (at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2

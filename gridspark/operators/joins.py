@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions import geo
+
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, event: str, span: str, days: int) -> DataFrame:
     """Left rows with the right rows of their keys whose ``event`` lies within ``days`` before ``at``, ends included.
@@ -133,3 +135,22 @@ def gap_audit(a: DataFrame, b: DataFrame, keys: list[str], reason_a: str, reason
     left = a.select(*keys).distinct().join(b.select(*keys), keys, "left_anti").withColumn("reason", F.lit(reason_a))
     right = b.select(*keys).distinct().join(a.select(*keys), keys, "left_anti").withColumn("reason", F.lit(reason_b))
     return left.unionByName(right)
+
+
+def nearest_places(left: DataFrame, right: DataFrame, row: str, place: str, n: int, radius_km: float) -> DataFrame:
+    """(``row``, ``place``, km, rank): of every left row the ``n`` right places nearest to it within ``radius_km``; ties by ``place``.
+
+    Both sides have lat and lon. Points lie on the sphere in space, which is cut into cubes as wide as the radius: a left row looks into its own cube and those around it, so that
+    the join is one on equality, and poles and the date line are no edges. Rows without coordinates find nothing.
+    """
+    lat, lon = F.radians(F.col("lat").cast("double")), F.radians(F.col("lon").cast("double"))
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    cube = [F.floor(v * geo.EARTH_KM / radius_km).alias(f"_{a}") for a, v in axes.items()]
+    a = left.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(row), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *cube)
+    b = right.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(place), "lat", "lon", *cube)
+    for axis in axes:
+        a = a.withColumn(f"_{axis}", F.explode(F.array(*[F.col(f"_{axis}") + d for d in (-1, 0, 1)])))
+    km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    met = a.join(b, [f"_{axis}" for axis in axes]).withColumn("km", km).filter(F.col("km") <= radius_km)
+    rank = F.row_number().over(Window.partitionBy(row).orderBy("km", place))
+    return met.select(row, place, "km").withColumn("rank", rank).filter(F.col("rank") <= n)

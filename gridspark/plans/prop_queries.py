@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import odds
-from gridspark.operators import props
+from gridspark.operators import overs, props
 from gridspark.plans.aggregate_queries import BETS_SQL, graded
 from gridspark.plans.registry import query, table
 
@@ -230,3 +230,33 @@ def prop_probability_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("actual_value"), F.when(F.col("l_tax") > 0, F.col("l_partkey") % 50).alias("line"), (F.col("l_suppkey") % 50).alias("model_projection"),
     )
     return props.probability_input(rows).drop("actual_value", "line", "model_projection")
+
+
+@query(
+    "over_probabilities",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS market, YEAR(l_shipdate) * 100 + MONTH(l_shipdate) AS per, (l_partkey % 50)::DOUBLE AS line, (l_suppkey % 50)::DOUBLE AS proj, l_quantity AS v, CASE WHEN l_tax > 0 THEN (l_partkey % 90 + 5) / 100.0 END::DOUBLE AS ip,
+      ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_returnflag, YEAR(l_shipdate), MONTH(l_shipdate) ORDER BY l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey % 1000 DESC) AS i FROM lineitem WHERE l_quantity <> l_partkey % 50),
+    c AS (SELECT market, per, v - proj AS r, COUNT(*) AS n FROM p WHERE i = 1 GROUP BY 1, 2, 3), t AS (SELECT DISTINCT market, per, line - proj AS need FROM p),
+    h AS (SELECT t.market, t.per, t.need, SUM(CASE WHEN c.r > t.need THEN c.n ELSE 0 END)::DOUBLE AS above, SUM(c.n)::DOUBLE AS n FROM t JOIN c ON c.market = t.market AND c.per < t.per GROUP BY 1, 2, 3),
+    o AS (SELECT market, per, SUM((v > line)::INT) AS s, COUNT(*) AS c FROM p GROUP BY 1, 2), b AS (SELECT market, per, SUM(s) OVER w / SUM(c) OVER w::DOUBLE AS base FROM o WINDOW w AS (PARTITION BY market ORDER BY per ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    x AS (SELECT p.*, v > line AS won, COALESCE(base, 0.5) AS base, COALESCE(h.n, 0) AS n, above / h.n AS raw, CASE WHEN ip IS NOT NULL THEN GREATEST(0.02, LEAST(0.98, ip)) END AS pm FROM p LEFT JOIN b USING (market, per) LEFT JOIN h ON h.market = p.market AND h.per = p.per AND h.need = p.line - p.proj),
+    y AS (SELECT *, CASE WHEN n >= 500 THEN GREATEST(0.02, LEAST(0.98, n / (n + 50) * raw + (1 - n / (n + 50)) * base)) END AS pr FROM x),
+    k AS (SELECT market, per, COUNT(*) FILTER (WHERE pr IS NOT NULL AND pm IS NOT NULL) AS n, SUM((pr - won::INT) ** 2) FILTER (WHERE pr IS NOT NULL AND pm IS NOT NULL) AS r, SUM((pm - won::INT) ** 2) FILTER (WHERE pr IS NOT NULL AND pm IS NOT NULL) AS m FROM y GROUP BY 1, 2),
+    q AS (SELECT market, per, SUM(n) OVER w AS n, SUM(r) OVER w AS r, SUM(m) OVER w AS m FROM k WINDOW w AS (PARTITION BY market ORDER BY per ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT market, per, CASE WHEN n >= 1000 THEN GREATEST(0.15, LEAST(0.95, 0.5 + 6 * (r / n - m / n) / GREATEST(m / n, 1e-6))) END AS w FROM q), f AS (SELECT y.*, z.w, pr IS NOT NULL AND pm IS NOT NULL AND z.w IS NOT NULL AS bl FROM y JOIN z USING (market, per)),
+    g AS (SELECT *, CASE WHEN bl THEN GREATEST(0.02, LEAST(0.98, (1 - w) * pr + w * pm)) ELSE COALESCE(pr, pm, GREATEST(0.02, LEAST(0.98, base))) END AS po FROM f)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN bl THEN 'market_residual_blend' WHEN pr IS NOT NULL THEN 'residual_cdf' WHEN pm IS NOT NULL THEN 'market_implied_fallback' ELSE 'base_rate_fallback' END AS method, ROUND(pr, 7) AS prob_over_residual, ROUND(po, 7) AS prob_over_model,
+      ROUND(CASE WHEN bl THEN w ELSE 0 END, 6) AS market_blend_weight, n::BIGINT AS calibration_sample_size FROM g""",
+)
+def over_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as several prices on one projection an order."""
+    part, supp, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"), F.col("l_returnflag").alias("market"), F.col("l_quantity").alias("actual_value"),
+        (part % 50).alias("line"), (supp % 50).alias("model_projection"), F.when(F.col("l_tax") > 0, (part % 90 + 5) / 100.0).alias("implied_probability"), (n * 10000000 + part * 1000 + supp % 1000).alias("seen"),
+    )
+    out = overs.over_probabilities(props.probability_input(rows), ["l_orderkey", "market", "season", "week"], "seen", 500, 50.0, blend_least=1000)
+    return out.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "method", F.round("prob_over_residual", 7).alias("prob_over_residual"), F.round("prob_over_model", 7).alias("prob_over_model"),
+        F.round("market_blend_weight", 6).alias("market_blend_weight"), F.col("calibration_sample_size").cast("bigint").alias("calibration_sample_size"),
+    )

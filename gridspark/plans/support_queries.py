@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.functions import geo, ids, teams, text, time
-from gridspark.operators import football, quality
+from gridspark.functions import bins, geo, ids, teams, text, time
+from gridspark.operators import football, joins, quality, windows
 from gridspark.plans.registry import query, table
 from gridspark.sources import io
 from gridspark.sources.scratch import folder
@@ -126,3 +126,48 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumns({"same": F.lit(1.0), "rare": F.when(F.col("l_orderkey") < 5, F.col("l_tax"))})
     kept = quality.select_features(rows, ["l_quantity", "same", "rare", "l_tax"])
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *kept)
+
+
+@query(
+    "row_medians",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT MEDIAN(x) FROM (SELECT unnest([l_quantity, CASE WHEN l_tax > 0.02 THEN l_discount * 1000 END, CASE WHEN l_returnflag = 'R' THEN l_linenumber::DOUBLE END, CASE WHEN l_linestatus = 'O' THEN 30.0 END]) AS x)) AS line FROM lineitem",
+)
+def row_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians across columns, of as many as are there."""
+    c = F.col
+    values = (c("l_quantity"), F.when(c("l_tax") > 0.02, c("l_discount") * 1000), F.when(c("l_returnflag") == "R", c("l_linenumber")), F.when(c("l_linestatus") == "O", 30.0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", bins.row_median(*values).alias("line"))
+
+
+@query(
+    "player_ranks",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, DENSE_RANK() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC) AS depth FROM lineitem",
+)
+def player_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ranks of players in their game and team; equal values share one."""
+    w = windows.ordered(["l_orderkey", "l_returnflag"], ["l_quantity"]).orderBy(F.desc("l_quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.dense_rank().over(w).alias("depth"))
+
+
+@query(
+    "sums_of_what_is_there",
+    "SELECT o_custkey % 500 AS team, YEAR(o_orderdate) AS season, MONTH(o_orderdate) AS week, SUM(CASE WHEN o_orderstatus = 'F' THEN FLOOR(o_totalprice) END) AS total, COUNT(*) AS rows FROM orders GROUP BY 1, 2, 3",
+)
+def sums_of_what_is_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A team's week without any value has no sum, and not 0."""
+    value = F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice").cast("double"))
+    return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("team"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "nearest_stations",
+    """WITH v AS (SELECT c_custkey, (c_custkey * 37) % 179 - 89.0::DOUBLE AS lat, (c_custkey * 91) % 359 - 179.0::DOUBLE AS lon FROM customer), s AS (SELECT s_suppkey, (s_suppkey * 53) % 177 - 88.5::DOUBLE AS lat, (s_suppkey * 29) % 357 - 178.5::DOUBLE AS lon FROM supplier),
+    d AS (SELECT c_custkey, s_suppkey, 2 * 6371 * ASIN(SQRT(LEAST(1, SIN(RADIANS(s.lat - v.lat) / 2) ** 2 + COS(RADIANS(v.lat)) * COS(RADIANS(s.lat)) * SIN(RADIANS(s.lon - v.lon) / 2) ** 2))) AS km FROM v, s),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY c_custkey ORDER BY ROUND(km, 7), s_suppkey) AS rank FROM d WHERE km <= 1500) SELECT c_custkey, s_suppkey, ROUND(km, 5) AS km, rank FROM r WHERE rank <= 3""",
+)
+def nearest_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers set on the globe, over poles and the date line."""
+    key, supp = F.col("c_custkey"), F.col("s_suppkey")
+    venues = table(spark, sf_dir, "customer").select("c_custkey", ((key * 37) % 179 - 89.0).alias("lat"), ((key * 91) % 359 - 179.0).alias("lon"))
+    stations = table(spark, sf_dir, "supplier").select("s_suppkey", ((supp * 53) % 177 - 88.5).alias("lat"), ((supp * 29) % 357 - 178.5).alias("lon"))
+    return joins.nearest_places(venues, stations, "c_custkey", "s_suppkey", 3, 1500.0).withColumn("km", F.round("km", 5))
