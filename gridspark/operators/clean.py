@@ -37,9 +37,10 @@ def content_hash(df: DataFrame) -> DataFrame:
 
     Names, types and nulls count: 1 differs from "1", and a null from any text.
     """
-    kinds = dict(df.dtypes)
-    parts = [x for c in sorted(df.columns) for x in (F.lit(f"{c}:{kinds[c]}"), F.col(c).isNull(), F.col(c))]
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).cast("string").alias("hash"))
+    kinds, mark = dict(df.dtypes), "\x1f"
+    parts = [x for c in sorted(df.columns) for x in (F.lit(f"{c}:{kinds[c]}"), F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    digest = F.conv(F.substring(F.md5(F.concat_ws(mark, *parts)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(digest).cast("string").alias("hash"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
