@@ -245,7 +245,8 @@ def bootstrap_gap(df: DataFrame, row: list[str], loss_a: Column, loss_b: Column,
     A row's weight in a replicate is drawn from a hash of both, so reruns agree. Each row is unfolded into its replicates and summed at once
     where it is read: what is shuffled are ``replicates`` rows a task.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", *row), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), *[F.col(c).cast("string") for c in row]))
+    u = (F.conv(F.substring(key, 1, 7), 16, 10).cast("double") + 0.5) / (1 << 28)
     steps, total, p = [], 0.0, 2.718281828459045**-1
     for k in range(9):
         total += p
