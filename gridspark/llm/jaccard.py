@@ -2,9 +2,10 @@
 
 A pair of texts with a Jaccard similarity just above 0.8 differs in about ten of 64 bits of its fingerprints, so the anchors of
 ``simhash`` connect the closest copies only. Here the texts that are left, one for each fingerprint, meet in bands of minimum hashes: with 28 bands
-of 7 hashes a pair of similarity 0.8 meets in fewer than two with a probability of 0.012, more similar ones hardly ever. In a band, members are compared with a few leaders, chosen by a hash, and with more of them
-round by round while the band is not connected; in the last round everyone is a leader, so every pair that meets twice is linked already or compared. A pair is looked at first by its
-signatures, and by its whole sets only if those leave a chance. What is shuffled is one signature, or one set, for each pair and each leader, and never a pair of them.
+of 7 hashes a pair of similarity 0.8 meets in fewer than two with a probability of 0.012, more similar ones hardly ever. In a band,
+members are first compared with one leader, chosen by a hash, and those of bands that are not connected then with another; so large groups are connected by few pairs. What is still
+open is dealt out in blocks, in which all signatures are compared with all: a block tells the pairs that have a chance and no others, each in the first band it meets in. A pair with a chance is compared by
+its whole sets. What is shuffled is one signature, or one set, for each pair and each leader or block, and never a pair of them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 28, 7
 #: Bands in which a pair has to meet, and the share of minimum hashes that must be equal: two deviations below 0.8.
 LEAST_BANDS, LEAST_EQUAL = 2, 0.74
-#: Leaders of a band in the first round, and by what they grow in each.
-LEADERS, GROWTH = 1, 32
+#: Rounds with one leader a band, and the members of a band in one part of a block, about.
+LEADER_ROUNDS, BLOCK_ROWS = 2, 1024
 #: Rows that stand for one leader where its pairs are compared.
 SALTS = 8
 
@@ -110,6 +112,41 @@ def compared(pairs: DataFrame, values: DataFrame, value: str, holds) -> DataFram
     return every.select("u", "v", "x").mapInArrow(check, "u long, v long")
 
 
+def _chances(rows: pd.DataFrame, band: int, same: bool) -> pd.DataFrame:
+    """Pairs (u, v) of a block's rows (fp, n, label, part, sig) that may be similar and meet in LEAST_BANDS bands, ``band`` the first of them.
+
+    ``same``: the rows are one part, and all pairs are looked at; else two parts, and pairs between them.
+    """
+    sigs = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(len(rows), _SIZE)
+    fp, n, label, part = (rows[c].to_numpy() for c in ("fp", "n", "label", "part"))
+    found = []
+    for lo in range(0, len(rows), 64):
+        equal = (sigs[lo : lo + 64, None, :] == sigs[None, :, :]).sum(axis=2)
+        here = slice(lo, lo + 64)
+        fits = SIMILAR[1] * np.minimum(n[here, None], n[None, :]) >= SIMILAR[0] * np.maximum(n[here, None], n[None, :])
+        good = (equal >= LEAST_EQUAL * _SIZE) & (label[here, None] != label[None, :]) & fits
+        good &= fp[here, None] < fp[None, :] if same else part[here, None] < part[None, :]
+        i, j = np.nonzero(good)
+        met = (sigs[i + lo] == sigs[j]).reshape(-1, BANDS, BAND_ROWS).all(axis=2)
+        own = (met.sum(axis=1) >= LEAST_BANDS) & (met.argmax(axis=1) == band)
+        found.append(np.stack([fp[i[own] + lo], fp[j[own]]], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+
+
+def block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): of the members (band, key, m, fp, n, label) of open bands all pairs that have a chance, each once. A band of m members is cut into parts, and each two of them make a block."""
+    parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    own = members.join(classes.select("fp", "sig"), "fp").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")})
+    group = ["band", "key", "a", "b"]
+
+    def look(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _chances(rows, key[0], key[2] == key[3])
+
+    return each.select(*group, "fp", "n", "label", "part", "sig").groupBy(*group).applyInPandas(look, "u long, v long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(fp, shingles) for (fp, hash): the sets of the texts with these hashes."""
 
@@ -129,35 +166,32 @@ def similar_links(classes: DataFrame, near: DataFrame, docs: DataFrame, scratch:
     )).alias("band", "key"))
     shared = each.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = scratch.write(each.join(shared, bucket), "met")
-    edges, leaders = near, LEADERS
+    edges = near
     labels = connected_components(edges, scratch)
-    while True:
+    for turn in range(LEADER_ROUNDS + 1):
         marked = met.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        open_ = marked.groupBy(*bucket).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("fp").alias("least")).filter("a <> b")
-        marked = scratch.write(marked.join(open_.select(*bucket, "least"), bucket), "open")
-        largest = marked.agg(F.max("m")).first()[0]
-        if largest is None:
-            return labels
-        chosen = F.pmod(F.xxhash64("fp", F.lit(leaders)), F.ceil(F.col("m") / leaders)) == 0
-        lead = marked.filter(chosen | (F.col("fp") == F.col("least"))).select(*bucket, F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("l_u"))
-        pairs = marked.select(*bucket, F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("l_v")).join(lead, bucket)
-        fits = SIMILAR[1] * F.least("n_u", "n_v") >= SIMILAR[0] * F.greatest("n_u", "n_v")
-        #: A pair of two leaders is compared once.
-        pairs = pairs.filter((F.col("l_u") != F.col("l_v")) & fits).select("band", F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u"))
-        pairs = pairs.groupBy("u", "v").agg(F.countDistinct("band").alias("c")).filter(F.col("c") >= LEAST_BANDS)
-        pairs = scratch.write(pairs.select("u", "v"), "pairs")
-        hopeful = scratch.write(compared(pairs, classes, "sig", _maybe), "hopeful")
+        open_ = marked.groupBy(*bucket).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+        marked = scratch.write(marked.join(open_.select(*bucket), bucket), "open")
+        if marked.isEmpty():
+            break
+        if turn < LEADER_ROUNDS:
+            rank = F.struct(F.xxhash64("fp", F.lit(turn)), F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("l_u"))
+            lead = marked.groupBy(*bucket).agg(F.min(rank).alias("x")).select(*bucket, "x.u", "x.n_u", "x.l_u")
+            pairs = marked.select(*bucket, F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("l_v")).join(lead, bucket)
+            fits = SIMILAR[1] * F.least("n_u", "n_v") >= SIMILAR[0] * F.greatest("n_u", "n_v")
+            pairs = pairs.filter((F.col("l_u") != F.col("l_v")) & fits).select("u", "v").distinct()
+            hopeful = scratch.write(compared(pairs, classes, "sig", _maybe), "hopeful")
+        else:
+            hopeful = scratch.write(block_pairs(marked, classes), "hopeful")
         wanted = hopeful.select(F.col("u").alias("fp")).distinct().union(hopeful.select("v").distinct()).distinct().join(classes.select("fp", "hash"), "fp")
         sets = scratch.write(_sets(docs, wanted, width), "sets")
         new = scratch.write(compared(hopeful, sets, "shingles", _equal_enough), "links")
-        for done in (marked, pairs, hopeful, sets):
+        for done in (marked, hopeful, sets):
             scratch.drop(done)
         edges = edges.union(new)
         labels = connected_components(edges, scratch)
         scratch.release()
-        if leaders >= largest:
-            return labels
-        leaders *= GROWTH
+    return labels
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 4) -> DataFrame:

@@ -36,9 +36,10 @@ def groups(texts, threshold=4):
     return {k: root(k) for k in texts}
 
 
-@pytest.mark.parametrize("growth", [2, 6])
-def test_planted_near_copies_are_found_and_others_stay(spark, monkeypatch, growth):
-    monkeypatch.setattr(jaccard, "GROWTH", growth)
+@pytest.mark.parametrize(("rounds", "block"), [(2, 1024), (0, 5), (1, 30)])
+def test_planted_near_copies_are_found_and_others_stay(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     rng = random.Random(7)
     texts, n = {}, 0
     for _ in range(60):
