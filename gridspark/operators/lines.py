@@ -92,27 +92,29 @@ def match_lines(lines: DataFrame, predictions: DataFrame, identity: DataFrame, s
     )
 
 
-def market_metrics(matched: DataFrame) -> DataFrame:
-    """Matched lines with the book's margin, what came of the line, and the model's side of it; a push decides nothing."""
+def _metrics() -> dict[str, Column]:
+    """The book's margin, what came of a line, and the model's side of it; a push decides nothing."""
     over, under = odds.american_to_implied(F.col("over_odds"), None), odds.american_to_implied(F.col("under_odds"), None)
     edge, push = F.col("projection") - F.col("line"), F.col("actual") == F.col("line")
     pick = F.when(edge > 0, "over").when(edge < 0, "under").otherwise("push")
     right = F.when(push, None).when(pick == "over", F.col("actual") > F.col("line")).when(pick == "under", F.col("actual") < F.col("line"))
-    return matched.filter("match_method IS NOT NULL").withColumns({
+    return {
         "over_implied": over, "under_implied": under, "book_hold": over + under - 1, "actual_over_line": F.coalesce(F.col("actual") > F.col("line"), F.lit(False)),
         "actual_push": F.coalesce(push, F.lit(False)), "model_edge": edge, "model_pick": pick, "model_pick_correct": right,
         "model_error": F.col("projection") - F.col("actual"), "line_error": F.col("line") - F.col("actual"),
-    })
+    }
+
+
+def market_metrics(matched: DataFrame) -> DataFrame:
+    """Matched lines with the book's margin, what came of the line, and the model's side of it."""
+    return matched.filter("match_method IS NOT NULL").withColumns(_metrics())
 
 
 def join_summary(matched: DataFrame) -> DataFrame:
     """Over all, by market and by book: lines, how many each tier matched and each reason kept out (they add up), and how model and line did on the matched."""
     methods, reasons = ("identity_strict", "strict_prefix", "initial_last_unique"), ("no_prediction", "no_such_name", "strict_market", "several_players", "several_lines")
-    told = market_metrics(matched).select(
-        "line_id", "over_implied", "under_implied", "actual_over_line", "model_edge", "model_pick_correct", "model_error", "line_error"
-    ).withColumn("_m", F.lit(True))
-    rows = matched.join(told, "line_id", "left")
-    hit = F.col("_m")
+    hit = F.col("match_method").isNotNull()
+    rows = matched.withColumns({"_m": F.when(hit, True)} | {c: F.when(hit, v) for c, v in _metrics().items()})
     sums = [
         F.count(F.lit(1)).alias("lines"), F.count("_m").alias("matched"), F.try_divide(F.count("_m"), F.count(F.lit(1))).alias("matched_rate"),
         *[F.count_if(F.col("match_method") == m).alias(m) for m in methods], *[F.count_if(F.col("reason") == r).alias(r) for r in reasons],
