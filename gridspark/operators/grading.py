@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -245,17 +246,19 @@ def bootstrap_gap(df: DataFrame, row: list[str], loss_a: Column, loss_b: Column,
     A row's weight in a replicate is drawn from a hash of both, so reruns agree. Each row is unfolded into its replicates and summed at once
     where it is read: what is shuffled are ``replicates`` rows a task.
     """
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), *[F.col(c).cast("string") for c in row]))
-    u = (F.conv(F.substring(key, 1, 7), 16, 10).cast("double") + 0.5) / (1 << 28)
-    steps, total, p = [], 0.0, 2.718281828459045**-1
+    #: The least hash, as its first seven hex digits, that passes each step of the distribution; texts of hex digits order like their numbers.
+    least, total, p = [], 0.0, 2.718281828459045**-1
     for k in range(9):
         total += p
-        steps.append(total)
+        least.append(math.floor(total * (1 << 28) - 0.5) + 1)
         p /= k + 1
-    weight = sum((F.when(u > F.lit(c), 1).otherwise(0) for c in steps), F.lit(0))
-    each = df.select(*row, loss_a.alias("_la"), loss_b.alias("_lb")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    each = each.withColumn("_w", F.when(F.col("_b") == 0, 1).otherwise(weight))
-    per = each.groupBy("_b").agg(F.try_divide(F.sum(F.col("_w") * (F.col("_la") - F.col("_lb"))), F.sum("_w")).alias("gap"))
+    weight = sum(((F.col("_h") >= F.lit(f"{n:07x}")).cast("int") for n in least if n < 1 << 28), F.lit(0))
+    named = F.when(F.coalesce(*[F.col(c).cast("string") for c in row]).isNotNull(), F.concat_ws("|", *[F.col(c).cast("string") for c in row]))
+    draws = F.posexplode(F.array(*[F.lit(f"{seed}|{b}") for b in range(replicates + 1)])).alias("_b", "_draw")
+    each = df.select((loss_a - loss_b).alias("_gap"), named.alias("_row")).select("_gap", "_row", draws)
+    # The hash is a column before it is compared: one a row and replicate.
+    each = each.select("_b", "_gap", F.md5(F.concat_ws("|", "_draw", "_row")).alias("_h")).select("_b", "_gap", F.when(F.col("_b") == 0, 1).otherwise(weight).alias("_w"))
+    per = each.groupBy("_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("_gap")), F.sum("_w")).alias("gap"))
     out = per.agg(F.max(F.when(F.col("_b") == 0, F.col("gap"))).alias("gap"), F.stddev_samp(F.when(F.col("_b") > 0, F.col("gap"))).alias("sd"))
     return out.withColumn("z", F.try_divide(F.col("gap"), F.col("sd")))
 
