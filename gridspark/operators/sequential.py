@@ -21,7 +21,7 @@ def fold_weeks(games: DataFrame, step: Week, out: str, weeks_a_job: int = 52) ->
 
     Needs league, season, week and game_id. Leagues run side by side. Their states (JSON, one row a league) lie in the shared folder between jobs,
     and a job takes no more than ``weeks_a_job`` weeks on; so a task holds a league's games of those weeks, whatever its history. ``out`` is
-    the schema of the tuples, league, season and week first.
+    the schema of the tuples, league, season and week first. Games of one id go by home_order and away_order where those are there, else by the sides' names.
     """
     spark = games.sparkSession
     root = folder(spark, "weeks")
@@ -32,12 +32,13 @@ def fold_weeks(games: DataFrame, step: Week, out: str, weeks_a_job: int = 52) ->
     parts = (calendar.agg(F.max("part")).first()[0] or 0) + 1
     stored = written(games.join(F.broadcast(calendar), ["season", "week"]), f"{root}/games", "part")
     names = [f.split()[0] for f in out.split(", ")]
+    sides = ["home_order", "away_order"] if "home_order" in games.columns else ["home", "away"]
 
     def run(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         state = json.loads(states["state"].iloc[0]) if len(states) else {}
         found = []
         if len(rows):
-            rows = rows.sort_values(["season", "week", "game_id", "home", "away"], kind="stable")
+            rows = rows.sort_values(["season", "week", "game_id", *sides], kind="stable")
             for _, week in rows.groupby(["season", "week"], sort=True):
                 found += step([r for r in week.astype(object).where(week.notna(), None).itertuples(index=False)], state)
         told = pd.DataFrame(found, columns=names)
@@ -68,11 +69,11 @@ def _margin_factor(margin: float, winner_edge: float) -> float:
     return math.log(abs(margin) + 1) * 2.2 / (winner_edge * 0.001 + 2.2)
 
 
-def _sides(games: DataFrame, league: str, *more: str) -> DataFrame:
+def _sides(games: DataFrame, league: str, *more: str, kept: tuple[str, ...] = ()) -> DataFrame:
     text, number = ("game_id", "home", "away"), ("home_score", "away_score", *more)
     return games.select(
         F.col(league).alias("league"), F.col("season").cast("int").alias("season"), F.col("week").cast("int").alias("week"),
-        *[F.col(c).cast("string").alias(c) for c in text], *[F.col(c).cast("double").alias(c) for c in number],
+        *[F.col(c).cast("string").alias(c) for c in text], *[F.col(c).cast("double").alias(c) for c in number], *kept,
     )
 
 
@@ -86,7 +87,8 @@ def elo(
     """Ratings before each game: (league, season, week, game_id, home, away, home_elo, away_elo, home_probability).
 
     All games of a week see the ratings before that week; between seasons every rating is drawn to ``start``. Needs league, season,
-    week, game_id, home, away, home_score, away_score; games without scores change nothing.
+    week, game_id, home, away, home_score, away_score; games without scores change nothing. A week's moves are added up by game_id's text, then home and away in their
+    own order: where a side plays many games a week, ratings swing, and the last digit of a sum grows from week to week.
     """
 
     def step(week: list, state: dict) -> Iterator[tuple]:
@@ -96,18 +98,20 @@ def elo(
         state["season"], moves = week[0].season, {}
         for g in week:
             h, a = rating.get(g.home, start), rating.get(g.away, start)
-            p = _chance(h + home_edge - a)
+            edge = h + home_edge - a
+            p = _chance(edge)
             yield g.league, g.season, g.week, g.game_id, g.home, g.away, h, a, p
             if g.home_score is not None and g.away_score is not None:
                 margin = g.home_score - g.away_score
-                edge = (h + home_edge - a) * (1 if margin >= 0 else -1)
-                shift = k * _margin_factor(margin, max(edge, -2000)) * (_won(margin) - p)
+                held = max(edge * (1 if margin >= 0 else -1), -2000)
+                shift = k * math.log(abs(margin) + 1) * 2.2 / (held * 0.001 + 2.2) * (_won(margin) - p)
                 moves[g.home] = moves.get(g.home, 0.0) + shift
                 moves[g.away] = moves.get(g.away, 0.0) - shift
         rating.update({t: rating.get(t, start) + m for t, m in moves.items()})
 
     out = f"league {_league_type(games, league)}, season int, week int, game_id string, home string, away string, home_elo double, away_elo double, home_probability double"
-    return fold_weeks(_sides(games, league), step, out, weeks_a_job)
+    typed = games.withColumns({"home_order": F.col("home"), "away_order": F.col("away")})
+    return fold_weeks(_sides(typed, league, kept=("home_order", "away_order")), step, out, weeks_a_job)
 
 
 #: Ratings begin and rest at MEAN, a season keeps CARRY of the distance to it; exponential means halve in HALF_LIFE games and keep half of theirs.

@@ -1,11 +1,32 @@
 """What shows only on larger tables, made small."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from gridspark.operators import grading
+from gridspark.plans.catalog import ORACLES, QUERIES
+from tests.oracle import connect, differences
 
 
 def test_draws_are_hashed_once(spark):
     df = spark.range(50).select("id", (F.col("id") % 7 / 7.0).alias("a"), (F.col("id") % 5 / 5.0).alias("b"))
     out = grading.bootstrap_gap(df, ["id"], F.col("a"), F.col("b"), 40, 42)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_ratings_of_many_games_a_week_equal_their_sql(spark, tmp_path):
+    """With dozens of games a side and week the ratings swing: the last digit of a sum shows after some weeks."""
+    con, rng = duckdb.connect(), random.Random(3)
+    con.execute("CREATE TABLE customer AS SELECT i::BIGINT AS c_custkey, i::INT AS c_nationkey FROM range(25) r(i)")
+    con.execute("CREATE TABLE supplier AS SELECT i::BIGINT AS s_suppkey, i::INT AS s_nationkey FROM range(25) r(i)")
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP)")
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_tax DOUBLE)")
+    orders = [(16 * n, rng.randrange(25), n // 200) for n in range(200 * 60)]
+    con.execute("INSERT INTO orders SELECT k, c, TIMESTAMP '1995-01-02' + INTERVAL 7 DAY * w FROM (SELECT unnest(?) AS k, unnest(?) AS c, unnest(?) AS w)", [list(x) for x in zip(*orders)])
+    lines = [(k, rng.randrange(25), float(rng.randint(1, 50)), rng.randint(0, 8) / 100) for k, _, _ in orders for _ in range(4)]
+    con.execute("INSERT INTO lineitem SELECT unnest(?), unnest(?), unnest(?), unnest(?)", [list(x) for x in zip(*lines)])
+    for name in ("customer", "supplier", "orders", "lineitem"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    assert differences(QUERIES["elo_ratings"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["elo_ratings"]) is None
