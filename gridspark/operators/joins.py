@@ -138,7 +138,7 @@ def gap_audit(a: DataFrame, b: DataFrame, keys: list[str], reason_a: str, reason
 
 
 def nearest_places(left: DataFrame, right: DataFrame, row: str, place: str, n: int, radius_km: float) -> DataFrame:
-    """(``row``, ``place``, km, rank): of every left row the ``n`` right places nearest to it within ``radius_km``; ties by ``place``.
+    """(``row``, ``place``, km, rank): of every left row the ``n`` right places nearest to it within ``radius_km``; those that are equally far to a tenth of a millimetre by ``place``.
 
     Both sides have lat and lon. Points lie on the sphere in space, which is cut into cubes as wide as the radius: a left row looks into its own cube and those around it, so that
     the join is one on equality, and poles and the date line are no edges. Rows without coordinates find nothing.
@@ -152,5 +152,5 @@ def nearest_places(left: DataFrame, right: DataFrame, row: str, place: str, n: i
         a = a.withColumn(f"_{axis}", F.explode(F.array(*[F.col(f"_{axis}") + d for d in (-1, 0, 1)])))
     km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
     met = a.join(b, [f"_{axis}" for axis in axes]).withColumn("km", km).filter(F.col("km") <= radius_km)
-    rank = F.row_number().over(Window.partitionBy(row).orderBy("km", place))
+    rank = F.row_number().over(Window.partitionBy(row).orderBy(F.round("km", 7), place))
     return met.select(row, place, "km").withColumn("rank", rank).filter(F.col("rank") <= n)

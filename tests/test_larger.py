@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import grading
+from gridspark.operators import grading, joins
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -30,3 +30,11 @@ def test_ratings_of_many_games_a_week_equal_their_sql(spark, tmp_path):
     for name in ("customer", "supplier", "orders", "lineitem"):
         con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
     assert differences(QUERIES["elo_ratings"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["elo_ratings"]) is None
+
+
+def test_places_equally_far_go_by_their_key(spark):
+    """The same distance to both sides, which differs in its last digit."""
+    left = spark.createDataFrame([(0, 50.0, 33.3)], "a int, lat double, lon double")
+    for signs in ((1, -1), (-1, 1)):
+        right = spark.createDataFrame([(i, 50.0, 33.3 + s * 2.3) for i, s in enumerate(signs, 1)], "b int, lat double, lon double")
+        assert [(r.b, r["rank"]) for r in joins.nearest_places(left, right, "a", "b", 1, 900.0).collect()] == [(1, 1)]
