@@ -50,20 +50,21 @@ def attach_offers(predictions: DataFrame, offers: DataFrame, row: str, tiers: li
     """The best offer of each prediction: tiers of keys, strictest first; predictions and offers (``id_``) matched in one tier are out of the next.
 
     Within the first tier that matches, the highest ``price`` counts, then the smaller offer. Count, mean and range of the matched
-    offers' lines go along.
+    offers' lines go along. Each tier's offers are summed up by its keys before predictions meet them, so no prediction is paired with every offer of its keys. ``row`` is a key.
     """
-    found, left, right = [], predictions, offers.withColumn("_price", price)
+    out, left, right = predictions, predictions, offers.withColumn("_price", price)
+    tier = lambda field: F.coalesce(*[F.col(f"_t{i}") for i in range(len(tiers))])[field]
     for i, (name, keys) in enumerate(tiers):
-        met = left.join(right, keys).select(F.col(row), F.col(id_), "_price", "line", F.lit(i).alias("_tier"), F.lit(name).alias("tier"))
-        found.append(met)
-        left = left.join(met.select(row).distinct(), row, "left_anti")
-        right = right.join(met.select(id_).distinct(), id_, "left_anti")
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy(row).agg(
-        F.min_by(F.struct(id_, "tier", F.col("_price").alias("price"), "line"), F.struct("_tier", -F.col("_price"), id_)).alias("_o"),
-        F.count(F.lit(1)).alias("n_offers"), F.avg("line").alias("line_mean"), (F.max("line") - F.min("line")).alias("line_range"),
-    )
-    return predictions.join(best, row, "left").select(*predictions.columns, "_o.*", F.coalesce("n_offers", F.lit(0)).alias("n_offers"), "line_mean", "line_range")
+        best = F.min_by(F.struct(id_, F.lit(name).alias("tier"), F.col("_price").alias("price"), "line"), F.struct(-F.col("_price"), id_))
+        lines = [F.count(F.lit(1)).alias("n_offers"), F.avg("line").alias("line_mean"), (F.max("line") - F.min("line")).alias("line_range")]
+        summed = right.groupBy(*keys).agg(best.alias("_o"), *lines).select(*keys, F.struct("_o", "n_offers", "line_mean", "line_range").alias(f"_t{i}"))
+        out = out.join(summed, keys, "left")
+        if i + 1 < len(tiers):
+            taken = right.join(left.select(*keys).distinct(), keys, "left_semi").select(id_).distinct()
+            left = left.join(summed.select(*keys), keys, "left_anti")
+            right = right.join(taken, id_, "left_anti")
+    told = out.select(*predictions.columns, tier("_o").alias("_o"), *[tier(c).alias(c) for c in ("n_offers", "line_mean", "line_range")])
+    return told.select(*predictions.columns, "_o.*", F.coalesce("n_offers", F.lit(0)).alias("n_offers"), "line_mean", "line_range")
 
 
 def merge_on_line(lines: DataFrame, probabilities: DataFrame, keys: list[str], line: str, order: str, values: list[str], digits: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import grading, joins
+from gridspark.operators import grading, joins, players
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -38,3 +38,26 @@ def test_places_equally_far_go_by_their_key(spark):
     for signs in ((1, -1), (-1, 1)):
         right = spark.createDataFrame([(i, 50.0, 33.3 + s * 2.3) for i, s in enumerate(signs, 1)], "b int, lat double, lon double")
         assert [(r.b, r["rank"]) for r in joins.nearest_places(left, right, "a", "b", 1, 900.0).collect()] == [(1, 1)]
+
+
+def join_rows(df) -> int:
+    """The most rows that a join of the executed plan gave."""
+
+    def most(node) -> int:
+        metrics, kind = node.metrics(), node.getClass().getSimpleName()
+        own = int(metrics.apply("numOutputRows").value()) if "Join" in kind and metrics.contains("numOutputRows") else 0
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        children = node.children()
+        return max([own, *map(most, [*inner, *[children.apply(i) for i in range(children.size())]])])
+
+    df.collect()
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+def test_offers_of_one_key_are_summed_before_they_meet(spark):
+    left = spark.createDataFrame([(i, 1) for i in range(300)] + [(300, 2), (301, None)], "row int, n int")
+    right = spark.createDataFrame([(i, 1, float(i % 7), i % 10) for i in range(300)] + [(300, None, 1.0, 1)], "offer int, n int, p double, line int")
+    out = players.attach_offers(left, right, "row", [("strict", ["n"])], F.col("p"), "offer")
+    assert join_rows(out) <= 1000
+    got = {r.row: (r.offer, r.tier, r.price, r.n_offers, r.line_mean, r.line_range) for r in out.collect()}
+    assert got[0] == got[299] == (6, "strict", 6.0, 300, 4.5, 9) and got[300] == got[301] == (None, None, None, 0, None, None)
