@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_events(manifest: DataFrame, events: DataFrame, row: str = "game_id") -> DataFrame:
+def match_events(manifest: DataFrame, events: DataFrame) -> DataFrame:
     """The manifest with ``event_id`` and ``events_status``: matched, no_match (the week has events, none of them fits) or pending.
 
     Of the events of a game's week and sides the nearest in time counts, however far; of equally near ones the smaller id, one without a time last. A game that no event
     fits keeps the id that it had, so a run over what an earlier one left gives the same. Without any events the manifest stays as it is.
 
-    Manifest: ``row`` (a key), season, week, home, away, kickoff, event_id, events_status. Events: season, week, home, away, event_id, starts.
+    Manifest: season, week, home, away, kickoff, event_id, events_status. Events: season, week, home, away, event_id, starts.
     """
     known = events.filter("season IS NOT NULL AND week IS NOT NULL")
     weeks = known.select("season", "week").distinct().withColumn("_has", F.lit(True))
     sides = ["season", "week", "home", "away"]
     offered = known.filter("event_id IS NOT NULL").select(*sides, F.col("event_id").alias("_event"), "starts")
     gap = F.abs(F.unix_micros(F.col("kickoff").cast("timestamp")) - F.unix_micros(F.col("starts").cast("timestamp")))
-    near = manifest.select(row, "kickoff", *sides).join(offered, sides)
-    best = near.groupBy(row).agg(F.min_by("_event", F.struct(gap.isNull(), gap, "_event")).alias("_event"))
+    # Events of one time stand for their smallest id, and games of one kickoff are asked for once: what is paired are the times of a week's sides, not their rows.
+    times = offered.groupBy(*sides, "starts").agg(F.min("_event").alias("_event"))
+    near = manifest.select(*sides, "kickoff").distinct().join(times, sides)
+    best = near.groupBy(*sides, "kickoff").agg(F.min_by("_event", F.struct(gap.isNull(), gap, "_event")).alias("_event"))
+    best = best.withColumnsRenamed({c: f"_{c}" for c in (*sides, "kickoff")})
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in sides], F.col("kickoff").eqNullSafe(F.col("_kickoff")))
     none = known.limit(1).select(F.lit(True).alias("_any"))  # one row, or none
-    out = manifest.join(best, row, "left").join(weeks, ["season", "week"], "left").join(F.broadcast(none), F.lit(True), "left")
+    out = manifest.join(best, same, "left").join(weeks, ["season", "week"], "left").join(F.broadcast(none), F.lit(True), "left")
     event = F.coalesce("_event", "event_id")
     status = F.when(event.isNotNull(), "matched").when(F.col("_has"), "no_match").otherwise("pending")
     changed = {"event_id": event, "events_status": F.when(F.col("_any"), status).otherwise(F.col("events_status"))}

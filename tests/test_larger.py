@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import grading, joins, players
+from gridspark.operators import grading, joins, manifest, players
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -61,3 +61,12 @@ def test_offers_of_one_key_are_summed_before_they_meet(spark):
     assert join_rows(out) <= 1000
     got = {r.row: (r.offer, r.tier, r.price, r.n_offers, r.line_mean, r.line_range) for r in out.collect()}
     assert got[0] == got[299] == (6, "strict", 6.0, 300, 4.5, 9) and got[300] == got[301] == (None, None, None, 0, None, None)
+
+
+def test_events_of_one_time_are_matched_once(spark):
+    games = spark.createDataFrame([(i, 2020, 1, "A", "B", f"2020-01-0{1 + i % 2} 00:00:00" if i else None, None, "pending") for i in range(300)], "game_id int, season int, week int, home string, away string, kickoff string, event_id string, events_status string")
+    events = spark.createDataFrame([(2020, 1, "A", "B", f"e{i:03}", f"2020-01-0{2 + i % 2} 00:00:00" if i else None) for i in range(300)], "season int, week int, home string, away string, event_id string, starts string")
+    out = manifest.match_events(games.withColumn("kickoff", F.to_timestamp("kickoff")), events.withColumn("starts", F.to_timestamp("starts")))
+    assert join_rows(out) <= 1000
+    got = {r.game_id: r.event_id for r in out.collect()}
+    assert len(got) == 300 and (got[0], got[1], got[2]) == ("e000", "e002", "e002")
