@@ -123,28 +123,42 @@ def bootstrap_auc(df: DataFrame, row: list[str], a: str, b: str, y: str, replica
     """One row: the areas under the ROC curves of ``a`` and ``b``, their gap, its mean and deviation over Poisson bootstrap replicates, z and p.
 
     A row's weights in all replicates are drawn from a hash of its key, so reruns agree, and are the same for both scores. Where rows are read, those of
-    one score are added up, as vectors of weights with and without the outcome. Slices of scores (0 to 1) are ordered on their own, one pass giving what every
+    one score are added up over all of a task, as vectors of weights with and without the outcome; of many scores a bounded number is held at a time. Slices of scores (0 to 1) are ordered on their own, one pass giving what every
     replicate's area gains there; what lies below a slice is added from the slices' totals.
     """
     wide = replicates + 1
+    most = 1 << 21  # numbers that a task holds of each outcome before it passes them on
     parts = "model int, slice int, score double, pos binary, neg binary"
     sums = "model int, slice int, below array<double>, pos array<double>, neg array<double>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            """What is held, in small batches; then nothing is."""
+            rows = [[m, int(min(max(s * slices, 0), slices - 1)), s, v[0].tobytes(), v[1].tobytes()] for (m, s), v in held.items()]
+            held.clear()
+            for lo in range(0, len(rows), 1024):
+                yield pa.RecordBatch.from_pylist([dict(zip(("model", "slice", "score", "pos", "neg"), r, strict=True)) for r in rows[lo : lo + 1024]], _schema(parts))
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 some = batch.slice(lo, 2048)
                 weight = _poisson(some.column("h").to_numpy(), replicates)
                 won = some.column("y").to_numpy() > 0
-                rows: list[list] = []
                 for model, name in enumerate(("a", "b")):
                     scores, at = np.unique(some.column(name).to_numpy(), return_inverse=True)
                     both = np.zeros((2, len(scores), wide), np.int64)
                     np.add.at(both[0], at[won], weight[won])
                     np.add.at(both[1], at[~won], weight[~won])
-                    cut = np.clip((scores * slices).astype(np.int64), 0, slices - 1)
-                    rows += [[model, int(c), float(s), p.tobytes(), n.tobytes()] for c, s, p, n in zip(cut, scores, both[0], both[1], strict=True)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("model", "slice", "score", "pos", "neg"), r, strict=True)) for r in rows], _schema(parts))
+                    for i, s in enumerate(scores.tolist()):
+                        if (model, s) in held:
+                            held[model, s] += both[:, i]
+                        else:
+                            held[model, s] = both[:, i].copy()
+                if len(held) * wide > most:
+                    yield from told()
+        yield from told()
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, score = None, None

@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import grading, joins, manifest, players
+from gridspark.operators import aggregates, grading, joins, manifest, players
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -40,18 +40,22 @@ def test_places_equally_far_go_by_their_key(spark):
         assert [(r.b, r["rank"]) for r in joins.nearest_places(left, right, "a", "b", 1, 900.0).collect()] == [(1, 1)]
 
 
-def join_rows(df) -> int:
-    """The most rows that a join of the executed plan gave."""
+def most(df, kind: str, metric: str) -> int:
+    """The largest ``metric`` of the executed plan's nodes whose class names hold ``kind``."""
 
-    def most(node) -> int:
-        metrics, kind = node.metrics(), node.getClass().getSimpleName()
-        own = int(metrics.apply("numOutputRows").value()) if "Join" in kind and metrics.contains("numOutputRows") else 0
-        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+    def of(node) -> int:
+        metrics, name = node.metrics(), node.getClass().getSimpleName()
+        own = int(metrics.apply(metric).value()) if kind in name and metrics.contains(metric) else 0
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
         children = node.children()
-        return max([own, *map(most, [*inner, *[children.apply(i) for i in range(children.size())]])])
+        return max([own, *map(of, [*inner, *[children.apply(i) for i in range(children.size())]])])
 
     df.collect()
-    return most(df._jdf.queryExecution().executedPlan())
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def join_rows(df) -> int:
+    return most(df, "Join", "numOutputRows")
 
 
 def test_offers_of_one_key_are_summed_before_they_meet(spark):
@@ -70,3 +74,8 @@ def test_events_of_one_time_are_matched_once(spark):
     assert join_rows(out) <= 1000
     got = {r.game_id: r.event_id for r in out.collect()}
     assert len(got) == 300 and (got[0], got[1], got[2]) == ("e000", "e002", "e002")
+
+
+def test_a_task_adds_up_its_rows_by_score(spark):
+    df = spark.range(0, 40_000, 1, 1).select("id", ((F.col("id") % 4) / 4 + 0.1).alias("a"), ((F.col("id") % 3) / 4 + 0.1).alias("b"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    assert 0 < most(aggregates.bootstrap_auc(df, ["id"], "a", "b", "y", 2), "ShuffleExchange", "shuffleRecordsWritten") <= 60
