@@ -33,17 +33,17 @@ def number(c: str) -> Column:
 def season_table(plays: DataFrame, totals: list[Total], shares: list[Share], keys: list[str], sides: dict[str, str], game: str, mean: str = "{}_mean") -> DataFrame:
     """One row per ``keys`` and team: ``games`` (a game counts once for each side the team was seen on), every total as ``name_sum`` and per game, and the shares.
 
-    ``sides`` names the column that holds the team of each side. A play is read once and becomes one row a side; sums of a team and game are made
-    where plays are read, and only they are shuffled. A team that was never on a side has null totals there.
+    ``sides`` names the column that holds the team of each side. A play becomes one row a side; sums of a team are made
+    where plays are read, and what is shuffled by game is only which games a team was seen in. A team that was never on a side has null totals there.
     """
     columns = {t.name: F.when(F.col("_side") == t.side, t.value) for t in totals}
     rows = F.array(*[F.struct(F.lit(side).alias("_side"), F.col(c).alias("team")) for side, c in sides.items()])
     each = plays.select("*", F.inline(rows)).filter(F.col("team").isNotNull() & F.col(game).isNotNull())
-    seen = [F.max(F.when(F.col("_side") == s, 1)).alias(f"_on_{s}") for s in sides]
-    per_game = each.groupBy(*keys, "team", game).agg(*seen, *[F.sum(v).alias(n) for n, v in columns.items()])
-    sums = per_game.groupBy(*keys, "team").agg(
-        F.sum(sum((F.coalesce(F.col(f"_on_{s}"), F.lit(0)) for s in sides), F.lit(0))).alias("games"), *[F.sum(n).alias(f"{n}_sum") for n in columns]
-    )
+    group = [*keys, "team"]
+    summed = each.groupBy(*group).agg(*[F.sum(v).alias(f"{n}_sum") for n, v in columns.items()])
+    played = each.select(*group, "_side", game).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("games"))
+    # Both are one row a team; put together by grouping, so that keys which are null meet.
+    sums = played.unionByName(summed, allowMissingColumns=True).groupBy(*group).agg(*[F.max(c).alias(c) for c in ("games", *(f"{n}_sum" for n in columns))])
     whole = lambda names: sum((F.col(f"{n}_sum") for n in names[1:]), F.col(f"{names[0]}_sum"))
     means = {mean.format(n): F.try_divide(F.col(f"{n}_sum"), F.col("games")) for n in columns}
     return sums.withColumns(means | {s.name: F.try_divide(whole(s.part), whole(s.whole)) for s in shares})

@@ -79,3 +79,8 @@ def test_events_of_one_time_are_matched_once(spark):
 def test_a_task_adds_up_its_rows_by_score(spark):
     df = spark.range(0, 40_000, 1, 1).select("id", ((F.col("id") % 4) / 4 + 0.1).alias("a"), ((F.col("id") % 3) / 4 + 0.1).alias("b"), (F.col("id") % 5 == 0).cast("int").alias("y"))
     assert 0 < most(aggregates.bootstrap_auc(df, ["id"], "a", "b", "y", 2), "ShuffleExchange", "shuffleRecordsWritten") <= 60
+
+
+def test_sums_of_teams_are_not_shuffled_by_game(spark):
+    out = QUERIES["season_team_table"](spark, "/root/testdata/sf0.01")
+    assert 0 < most(out, "ShuffleExchange", "dataSize") < 120_000 * 100
