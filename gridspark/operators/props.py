@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from gridspark.functions import odds, teams
 from gridspark.operators.aggregates import auc, scope_rollup
@@ -25,9 +26,11 @@ def market_family(market: Column) -> Column:
 
 
 def _cleaned(df: DataFrame, markets: list[str]) -> DataFrame:
+    """Rows with their keys in one spelling. The texts leave a generator, so that what filters them does not make them anew for each condition."""
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    rows = df.withColumns({c: text(c) for c in ("game_id", "player_id")} | {"market": F.lower(text("market"))} | {c: F.nullif(teams.abbreviation(F.col(c)), F.lit("")) for c in ("team", "opponent")})
-    rows = rows.withColumns({c: F.col(c).try_cast("int") for c in ("season", "week")}).dropna(subset=[*KEYS, "opponent"])
+    told = {c: text(c) for c in ("game_id", "player_id")} | {"market": F.lower(text("market"))} | {c: F.nullif(teams.abbreviation(F.col(c)), F.lit("")) for c in ("team", "opponent")}
+    told |= {c: F.col(c).try_cast("int") for c in ("season", "week")}
+    rows = df.select(F.inline(F.array(F.struct(*[told.get(c, F.col(c)).alias(c) for c in df.columns])))).dropna(subset=[*KEYS, "opponent"])
     return rows.filter((F.col("team") != F.col("opponent")) & F.col("market").isin(*markets)).withColumn("market_family", market_family(F.col("market")))
 
 
@@ -36,12 +39,24 @@ def _last(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.max_by(F.struct(*names), order).alias("_l")).select(*KEYS, *[F.col(f"_l.{c}").alias(c) for c in names])
 
 
+def _last_as_spelt(df: DataFrame, order: str) -> DataFrame:
+    """The last row by ``order`` of each key as it is spelt, before keys are cleaned: what is repeated is not cleaned again.
+
+    Texts are keys here and numbers are aggregates, so the rows are held in a hash table and not sorted.
+    """
+    fixed = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, fixed) and f.name not in (*KEYS, "opponent", order)]
+    keys = [c for c in df.columns if c not in (*numbers, order)]
+    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in numbers], F.max(order).alias(order)).select(*df.columns)
+
+
 def prepare_labels(labels: DataFrame, markets: list[str], order: str, before: tuple[int, int] | None = None) -> DataFrame:
     """Labels with their keys, a number and two different teams, in the known ``markets`` and before a (season, week); the last by ``order`` of each key.
 
     Needs KEYS, opponent and actual_value; actual_over_zero is derived.
     """
-    rows = _cleaned(labels, markets).withColumn("actual_value", F.col("actual_value").try_cast("double")).dropna(subset=["actual_value"])
+    known = labels.withColumn("actual_value", F.col("actual_value").try_cast("double")).dropna(subset=["actual_value"])
+    rows = _cleaned(_last_as_spelt(known, order), markets)
     if before:
         rows = rows.filter((F.col("season") < before[0]) | ((F.col("season") == before[0]) & (F.col("week") < before[1])))
     return _last(rows.withColumn("actual_over_zero", F.col("actual_value") > 0), order)
@@ -53,7 +68,7 @@ def prepare_candidates(candidates: DataFrame, markets: list[str], order: str) ->
         "actual_value": F.lit(None).cast("double"), "actual_over_zero": F.lit(False), "played": F.lit(False), "active": F.lit(True),
         "value_type": F.when(F.col("market").isin(*COUNTED), "count").otherwise("yards"),
     }
-    return _last(_cleaned(candidates, markets).withColumns(told), order)
+    return _last(_cleaned(_last_as_spelt(candidates, order), markets).withColumns(told), order)
 
 
 def player_history(rows: DataFrame, tie: list[str] | None = None) -> DataFrame:

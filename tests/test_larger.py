@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import aggregates, grading, joins, manifest, players
+from gridspark.operators import aggregates, grading, joins, manifest, players, props
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -84,3 +84,11 @@ def test_a_task_adds_up_its_rows_by_score(spark):
 def test_sums_of_teams_are_not_shuffled_by_game(spark):
     out = QUERIES["season_team_table"](spark, "/root/testdata/sf0.01")
     assert 0 < most(out, "ShuffleExchange", "dataSize") < 120_000 * 100
+
+
+def test_keys_are_cleaned_once_where_they_are_repeated(spark):
+    rows = [(2020, 1, "2020_1_KC_WSH", " wsh" if i % 2 else "WAS", "KC", "p", "RB_yards", float(i), i) for i in range(300)] + [(2020, 1, "2020_1_KC_WSH", "WAS", "KC", "p", "rb_yards", None, 999)]
+    labels = spark.createDataFrame(rows, "season int, week int, game_id string, team string, opponent string, player_id string, market string, actual_value double, ord long")
+    out = props.prepare_labels(labels, ["rb_yards"], "ord")
+    assert 0 < most(out, "Generate", "numOutputRows") <= 10
+    assert [(r.team, r.market, r.actual_value, r.ord) for r in out.collect()] == [("WAS", "rb_yards", 299.0, 299)]
