@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZTy
 from gridspark.functions import odds, teams
 from gridspark.operators.aggregates import auc, scope_rollup
 from gridspark.operators.windows import ordered, prior_mean, prior_std
+from gridspark.sources.scratch import folder, written
 
 KEYS = ["season", "week", "game_id", "team", "player_id", "market"]
 #: Families of markets by what their names begin with, and the markets that count events and no yards.
@@ -105,6 +106,7 @@ def game_sides(rows: DataFrame) -> DataFrame:
 def features(labels: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Labels with history, context of team and opponent, and sides; with ``candidates`` only their rows, to whose weeks the labels are history."""
     rows = labels if candidates is None else labels.withColumn("_asked", F.lit(False)).unionByName(candidates.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    rows = written(rows, folder(rows.sparkSession, "labels") + "/rows")
     out = player_history(rows, None if candidates is None else ["_asked"])
     for entity, prefix in (("team", "team_market"), ("opponent", "opponent_allowed")):
         out = out.join(weekly_context(rows, entity, prefix), ["season", "week", entity, "market"], "left")

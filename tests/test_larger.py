@@ -92,3 +92,10 @@ def test_keys_are_cleaned_once_where_they_are_repeated(spark):
     out = props.prepare_labels(labels, ["rb_yards"], "ord")
     assert 0 < most(out, "Generate", "numOutputRows") <= 10
     assert [(r.team, r.market, r.actual_value, r.ord) for r in out.collect()] == [("WAS", "rb_yards", 299.0, 299)]
+
+
+def test_labels_are_made_once_for_history_and_both_contexts(spark):
+    labels = spark.createDataFrame([(2020, w, f"2020_{w}_KC_WAS", "WAS", "KC", "p", "rb_yards", float(w), w) for w in range(1, 6)], "season int, week int, game_id string, team string, opponent string, player_id string, market string, actual_value double, ord long")
+    made = props.prepare_labels(labels, ["rb_yards"], "ord")
+    for out in (props.features(made), props.features(made, props.prepare_candidates(labels.drop("actual_value"), ["rb_yards"], "ord"))):
+        assert "max_by(" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and out.count() == 5
