@@ -178,6 +178,8 @@ def tier_metrics(rows: DataFrame) -> DataFrame:
     gap, y = F.col("model_projection") - F.col("actual_value"), "actual_over_zero"
     scores = _scores("prob_over_zero", y)
     both = F.col("prob_over_zero").isNotNull()
+    rows = rows.select("market", "confidence_tier", "sample_size", "model_projection", "actual_value", y, "prob_over_zero")
+    rows = written(rows, folder(rows.sparkSession, "tiers") + "/rows")
     sums = [
         F.count(F.lit(1)).alias("n_rows"), F.avg("sample_size").alias("avg_sample_size"), F.min("sample_size").alias("min_sample_size"), F.max("sample_size").alias("max_sample_size"),
         F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), scores["brier"].alias("brier_over_zero"), scores["logloss"].alias("logloss_over_zero"),

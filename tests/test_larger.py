@@ -99,3 +99,9 @@ def test_labels_are_made_once_for_history_and_both_contexts(spark):
     made = props.prepare_labels(labels, ["rb_yards"], "ord")
     for out in (props.features(made), props.features(made, props.prepare_candidates(labels.drop("actual_value"), ["rb_yards"], "ord"))):
         assert "max_by(" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and out.count() == 5
+
+
+def test_tiers_are_made_once_for_all_sets(spark):
+    rows = spark.range(40).select(F.md5(F.col("id").cast("string")).alias("market"), F.lit("low").alias("confidence_tier"), F.lit(3).alias("sample_size"), F.lit(1.0).alias("model_projection"), F.lit(2.0).alias("actual_value"), (F.col("id") % 2 == 0).alias("actual_over_zero"), F.lit(0.5).alias("prob_over_zero"))
+    out = props.tier_metrics(rows)
+    assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and out.count() == 82
