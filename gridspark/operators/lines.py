@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import odds, teams, text
 from gridspark.operators.aggregates import scope_rollup
+from gridspark.sources.scratch import folder, written
 
 GAME = ["season", "week", "game_id", "market"]
 #: Markets whose lines an initial and a last name alone must not match.
@@ -24,13 +25,20 @@ def with_row_id(df: DataFrame, columns: list[str], out: str) -> DataFrame:
     return marked.withColumn(out, F.concat_ws(":", "_digest", F.row_number().over(alike).cast("string"))).drop("_digest")
 
 
+def with_name_keys(df: DataFrame) -> DataFrame:
+    """The keys of ``player_name``. Its words leave a generator: they are made once a row, and no filter on the keys makes them anew."""
+    words = df.select("*", F.inline(F.array(F.struct(text.name_parts(F.col("player_name")).alias("_words")))))
+    key = lambda letters: F.when(F.size("_words") > 1, F.concat_ws(":", F.substring(F.col("_words")[0], 1, letters), F.element_at("_words", -1)))
+    return words.withColumns({"name_key": key(1), "prefix_key": key(2)}).drop("_words")
+
+
 def prepare_lines(lines: DataFrame, books: list[str] | None = None, comparable_only: bool = False) -> DataFrame:
     """Lines with a number, their book in lower case, the keys of their player's name and a ``line_id``.
 
     Needs the columns of GAME, sportsbook, player_name, line, comparable, over_odds and under_odds.
     """
     book = F.lower(F.trim("sportsbook"))
-    rows = lines.withColumn("sportsbook", book).withColumns({"name_key": text.initial_last_key(F.col("player_name")), "prefix_key": text.prefix_key(F.col("player_name"))})
+    rows = with_name_keys(lines.withColumn("sportsbook", book))
     rows = rows.withColumns({"comparable": F.coalesce("comparable", F.lit(False)), "line": F.col("line").cast("double")}).dropna(subset=[*GAME, "name_key", "sportsbook", "line"])
     if books:
         rows = rows.filter(F.col("sportsbook").isin(*[b.strip().lower() for b in books]))
@@ -42,15 +50,16 @@ def prepare_predictions(predictions: DataFrame, order: str) -> DataFrame:
 
     Needs the columns of GAME, player_id, player_name, projection and actual.
     """
-    last = predictions.groupBy(*GAME, "player_id").agg(F.max_by(F.struct("player_name", "projection", "actual"), order).alias("p")).select(*GAME, "player_id", "p.*")
-    keyed = last.withColumns({"name_key": text.initial_last_key(F.col("player_name")), "prefix_key": text.prefix_key(F.col("player_name"))})
-    return keyed.dropna(subset=[*GAME, "name_key"])
+    spelt = predictions.groupBy(*GAME, "player_id", "player_name").agg(*[F.max_by(c, order).alias(c) for c in ("projection", "actual")], F.max(order).alias("_order"))
+    last = spelt.groupBy(*GAME, "player_id").agg(F.max_by(F.struct("player_name", "projection", "actual"), "_order").alias("p")).select(*GAME, "player_id", "p.*")
+    return with_name_keys(last).dropna(subset=[*GAME, "name_key"])
 
 
 def identities(identity: DataFrame) -> DataFrame:
     """(season, week, team, name_key, prefix_key) of names that stand for one player, with his id and the surest alias."""
     keys = ["season", "week", "team", "name_key", "prefix_key"]
-    one = identity.dropna(subset=[*keys, "player_id"]).groupBy(*keys).agg(
+    known = identity.dropna(subset=[*keys, "player_id"]).select(*keys, "player_id", "alias", "confidence").distinct()
+    one = known.groupBy(*keys).agg(
         F.countDistinct("player_id").alias("_n"), F.min("player_id").alias("identity_id"), F.max_by("alias", F.struct(F.coalesce("confidence", F.lit(0.0)), "alias")).alias("alias")
     )
     return one.filter("_n = 1").drop("_n")
@@ -64,19 +73,21 @@ def match_lines(lines: DataFrame, predictions: DataFrame, identity: DataFrame, s
     (initial_last_unique; not in ``strict_markets``). What is not matched says why, by the last tier that could have matched it:
     no_prediction (none in its game and market), strict_market, several_lines, several_players, or no_such_name.
     """
+    name, spot, root = [*GAME, "name_key"], [*GAME, "name_key", "prefix_key"], folder(lines.sparkSession, "matches")
     shown = F.struct("player_id", F.col("player_name").alias("model_player_name"), "projection", "actual").alias("_p")
-    spots = predictions.select(*GAME, "player_id", "name_key", "prefix_key", shown)
-    team = lines.select("line_id", *GAME, "name_key", "prefix_key", F.explode(teams.game_teams(F.col("game_id").cast("string"))).alias("team"))
+    spots = written(predictions.select(*GAME, "player_id", "name_key", "prefix_key", shown), f"{root}/predictions")
+    #: What a line's match depends on is its game, market and name: lines that share these are matched once.
+    asked = written(lines.select(*spot).distinct(), f"{root}/names")
+    team = asked.select(*spot, F.explode(teams.game_teams(F.col("game_id").cast("string"))).alias("team"))
     known = team.join(identities(identity), ["season", "week", "team", "name_key", "prefix_key"])
     sure = known.join(spots.select(*GAME, F.col("player_id").alias("identity_id"), "_p"), [*GAME, "identity_id"])
-    sure = sure.groupBy("line_id").agg(F.countDistinct("identity_id").alias("_n"), F.min_by(F.struct("_p", "alias"), F.struct("identity_id", "team")).alias("m")).filter("_n = 1")
-    first = sure.select("line_id", F.lit(0).alias("tier"), "m._p", "m.alias")
-    strict = lines.join(spots.drop("player_id"), [*GAME, "name_key", "prefix_key"]).groupBy("line_id").agg(F.min_by("_p", "_p.player_id").alias("_p"))
-    second = strict.select("line_id", F.lit(1).alias("tier"), "_p", F.lit(None).cast("string").alias("alias"))
-    tiers = first.unionByName(second).groupBy("line_id").agg(F.min_by(F.struct("_p", "alias", "tier"), "tier").alias("m"))
-    #: Lines that the first two tiers left, with how many prefixes and predictions their name has in game and market.
-    rest = lines.join(tiers, "line_id", "left")
-    name = [*GAME, "name_key"]
+    sure = sure.groupBy(*spot).agg(F.countDistinct("identity_id").alias("_n"), F.min_by(F.struct("_p", "alias"), F.struct("identity_id", "team")).alias("m")).filter("_n = 1")
+    first = sure.select(*spot, F.lit(0).alias("tier"), "m._p", "m.alias")
+    strict = asked.join(spots.drop("player_id"), spot).groupBy(*spot).agg(F.min_by("_p", "_p.player_id").alias("_p"))
+    second = strict.select(*spot, F.lit(1).alias("tier"), "_p", F.lit(None).cast("string").alias("alias"))
+    tiers = first.unionByName(second).groupBy(*spot).agg(F.min_by(F.struct("_p", "alias", "tier"), "tier").alias("m"))
+    #: Names that the first two tiers left, with how many prefixes and predictions they have in game and market.
+    rest = asked.join(tiers, spot, "left")
     prefixes = rest.filter("m IS NULL").groupBy(*name).agg(F.countDistinct("prefix_key").alias("_prefixes"))
     people = spots.groupBy(*name).agg(F.count(F.lit(1)).alias("_people"), F.min_by("_p", "player_id").alias("_only"))
     games = spots.groupBy(*GAME).agg(F.count(F.lit(1)).alias("_game"))
@@ -87,9 +98,8 @@ def match_lines(lines: DataFrame, predictions: DataFrame, identity: DataFrame, s
     reason = F.when(method.isNotNull(), F.lit(None)).when(F.col("_game").isNull(), "no_prediction").when(F.col("_people").isNull(), "no_such_name")
     reason = reason.when(~loose, "strict_market").when(F.col("_people") > 1, "several_players").otherwise("several_lines")
     chosen = F.when(third, F.col("_only")).otherwise(F.col("m._p"))
-    return out.select(*lines.columns, method.alias("match_method"), reason.alias("reason"), F.col("m.alias").alias("alias"), chosen.alias("_c")).select(
-        *lines.columns, "match_method", "reason", "alias", "_c.*"
-    )
+    matches = written(out.select(*spot, method.alias("match_method"), reason.alias("reason"), F.col("m.alias").alias("alias"), chosen.alias("_c")), f"{root}/matches")
+    return lines.join(matches, spot, "left").select(*lines.columns, "match_method", "reason", "alias", "_c.*")
 
 
 def _metrics() -> dict[str, Column]:

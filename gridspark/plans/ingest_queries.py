@@ -183,11 +183,11 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions = rows.filter("mode NOT IN ('AIR', 'RAIL')").select(
         *offered.GAME, person.alias("player_id"), "player_name", (F.col("l_extendedprice") / 2000).alias("projection"), F.col("l_quantity").cast("double").alias("actual"), (F.col("l_orderkey") * 10 + n).alias("order")
     )
-    from gridspark.functions import teams, text
+    from gridspark.functions import teams
 
-    known = rows.filter("mode = 'MAIL'").select(
-        "season", "week", teams.abbreviation(pick(TEAMS[:3], supp % 3)).alias("team"), text.initial_last_key(F.col("player_name")).alias("name_key"), text.prefix_key(F.col("player_name")).alias("prefix_key"),
-        person.alias("player_id"), F.col("player_name").alias("alias"), F.lit(1.0).alias("confidence"),
+    named = rows.filter("mode = 'MAIL'").select("season", "week", pick(TEAMS[:3], supp % 3).alias("team"), "player_name", person.alias("player_id")).distinct()
+    known = offered.with_name_keys(named).select(
+        "season", "week", teams.abbreviation(F.col("team")).alias("team"), "name_key", "prefix_key", "player_id", F.col("player_name").alias("alias"), F.lit(1.0).alias("confidence")
     )
     return offered.match_lines(offered.prepare_lines(lines, ["AIR", "rail "]), offered.prepare_predictions(predictions, "order"), known)
 

@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import aggregates, grading, joins, manifest, players, props
+from gridspark.operators import aggregates, grading, joins, lines, manifest, players, props
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -105,3 +105,18 @@ def test_tiers_are_made_once_for_all_sets(spark):
     rows = spark.range(40).select(F.md5(F.col("id").cast("string")).alias("market"), F.lit("low").alias("confidence_tier"), F.lit(3).alias("sample_size"), F.lit(1.0).alias("model_projection"), F.lit(2.0).alias("actual_value"), (F.col("id") % 2 == 0).alias("actual_over_zero"), F.lit(0.5).alias("prob_over_zero"))
     out = props.tier_metrics(rows)
     assert "md5(" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and out.count() == 82
+
+
+def offers(spark):
+    rows = [(2020, 1, "2020_1_KC_WAS", "rush_yards", "dk", "Al Stone", float(i), True, -110.0, -110.0) for i in range(300)]
+    offered = spark.createDataFrame(rows, "season int, week int, game_id string, market string, sportsbook string, player_name string, line double, comparable boolean, over_odds double, under_odds double")
+    seen = [(2020, 1, "2020_1_KC_WAS", "rush_yards", f"P{i}", "Al Stone", 10.0 + i, 20.0, n) for i in range(3) for n in range(50)]
+    made = spark.createDataFrame(seen, "season int, week int, game_id string, market string, player_id string, player_name string, projection double, actual double, seen long")
+    known = spark.createDataFrame([], "season int, week int, team string, name_key string, prefix_key string, player_id string, alias string, confidence double")
+    return lines.match_lines(lines.prepare_lines(offered), lines.prepare_predictions(made, "seen"), known)
+
+
+def test_lines_of_one_name_are_matched_once(spark):
+    out = offers(spark)
+    assert join_rows(out) <= 300
+    assert {(r.match_method, r.player_id, r.projection) for r in out.collect()} == {("strict_prefix", "P0", 10.0)} and out.count() == 300
