@@ -124,13 +124,23 @@ def join_summary(matched: DataFrame) -> DataFrame:
     """Over all, by market and by book: lines, how many each tier matched and each reason kept out (they add up), and how model and line did on the matched."""
     methods, reasons = ("identity_strict", "strict_prefix", "initial_last_unique"), ("no_prediction", "no_such_name", "strict_market", "several_players", "several_lines")
     hit = F.col("match_method").isNotNull()
-    rows = matched.withColumns({"_m": F.when(hit, True)} | {c: F.when(hit, v) for c, v in _metrics().items()})
+    game = F.when(hit, F.col("game_id")).alias("game_id")
+    rows = matched.withColumns({c: F.when(hit, v) for c, v in _metrics().items()})
+    counts = {
+        "lines": F.count(F.lit(1)), "matched": F.count_if(hit), **{m: F.count_if(F.col("match_method") == m) for m in methods}, **{r: F.count_if(F.col("reason") == r) for r in reasons},
+        "comparable_rows": F.count_if(hit & F.col("comparable")), "two_way_rows": F.count_if(hit & F.col("over_odds").isNotNull() & F.col("under_odds").isNotNull()), "picks": F.count("model_pick_correct"),
+    }
+    means = {
+        "pick_accuracy": F.col("model_pick_correct").cast("double"), "over_rate": F.col("actual_over_line").cast("double"), "mean_edge": F.col("model_edge").cast("double"),
+        "model_mae": F.abs("model_error").cast("double"), "line_mae": F.abs("line_error").cast("double"),
+    }
+    # Sums by game and player first: what the sets and the distinct counts multiply is these, and not the lines.
+    cells = rows.groupBy("market", "sportsbook", game, "player_id").agg(
+        *[v.alias(c) for c, v in counts.items()], *[F.sum(v).alias(f"{c}_sum") for c, v in means.items()], *[F.count(v).alias(f"{c}_n") for c, v in means.items()]
+    )
     sums = [
-        F.count(F.lit(1)).alias("lines"), F.count("_m").alias("matched"), F.try_divide(F.count("_m"), F.count(F.lit(1))).alias("matched_rate"),
-        *[F.count_if(F.col("match_method") == m).alias(m) for m in methods], *[F.count_if(F.col("reason") == r).alias(r) for r in reasons],
-        F.countDistinct(F.when(hit, F.col("game_id"))).alias("games"), F.countDistinct("player_id").alias("players"), F.count_if(hit & F.col("comparable")).alias("comparable_rows"),
-        F.count_if(hit & F.col("over_odds").isNotNull() & F.col("under_odds").isNotNull()).alias("two_way_rows"), F.count("model_pick_correct").alias("picks"),
-        F.avg(F.col("model_pick_correct").cast("double")).alias("pick_accuracy"), F.avg(F.col("actual_over_line").cast("double")).alias("over_rate"), F.avg("model_edge").alias("mean_edge"),
-        F.avg(F.abs("model_error")).alias("model_mae"), F.avg(F.abs("line_error")).alias("line_mae"),
+        *[F.sum(c).alias(c) for c in ("lines", "matched")], F.try_divide(F.sum("matched"), F.sum("lines")).alias("matched_rate"), *[F.sum(c).alias(c) for c in (*methods, *reasons)],
+        F.countDistinct("game_id").alias("games"), F.countDistinct("player_id").alias("players"), *[F.sum(c).alias(c) for c in ("comparable_rows", "two_way_rows", "picks")],
+        *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(c) for c in means],
     ]
-    return scope_rollup(rows, [[], ["market"], ["sportsbook"]], sums)
+    return scope_rollup(cells, [[], ["market"], ["sportsbook"]], sums)

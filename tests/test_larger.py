@@ -120,3 +120,10 @@ def test_lines_of_one_name_are_matched_once(spark):
     out = offers(spark)
     assert join_rows(out) <= 300
     assert {(r.match_method, r.player_id, r.projection) for r in out.collect()} == {("strict_prefix", "P0", 10.0)} and out.count() == 300
+
+
+def test_sums_of_offers_are_made_before_sets(spark):
+    out = lines.join_summary(offers(spark))
+    assert 0 < most(out, "Expand", "numOutputRows") <= 100
+    got = {(r.market, r.sportsbook): (r.lines, r.matched, r.games, r.players, r.picks, round(r.mean_edge, 6), r.strict_prefix) for r in out.collect()}
+    assert got["all", "all"] == got["rush_yards", "all"] == got["all", "dk"] == (300, 300, 1, 1, 298, -139.5, 300)
