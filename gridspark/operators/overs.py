@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.odds import held
-from gridspark.operators.walkforward import prior_rate, residual_cdf
+from gridspark.operators.walkforward import prior_rates, residual_cdf
+from gridspark.sources.scratch import folder, written
 
 
 def over_probabilities(
@@ -23,8 +24,10 @@ def over_probabilities(
     period = F.col("season") * 100 + F.col("week")
     last = Window.partitionBy(*prediction).orderBy(F.desc(order))
     marked = rows.withColumns({"_period": period, "_over": F.col("actual_over_line").cast("int"), "_residual": F.when(F.row_number().over(last) == 1, F.col("residual")), "_point": -F.col("model_edge")})
-    based = prior_rate(marked, ["market"], "_period", "_over", "_base")
-    counted = residual_cdf(based, ["market"], "_period", "_residual", "_point", "_cdf", shrink=1.0, base=0.0)
+    # Tables of a row a market and period are written: the rows meet them as they are read, and are not sorted or shuffled for it.
+    root, week = folder(rows.sparkSession, "overs"), ["market", "_period"]
+    rates = written(prior_rates(marked, ["market"], "_period", "_over", "_base"), f"{root}/rates")
+    counted = residual_cdf(marked, ["market"], "_period", "_residual", "_point", "_cdf", shrink=1.0, base=0.0).join(rates, week, "left")
     n, base = F.col("_cdf_n"), F.coalesce("_base", F.lit(0.5))
     raw = F.col("_cdf") * (n + 1) / F.nullif(n, F.lit(0))
     weight = n / (n + shrink)
@@ -38,7 +41,8 @@ def over_probabilities(
     run = per.select("market", "_period", F.sum("_n").over(w).alias("_n"), F.sum("_r").over(w).alias("_r"), F.sum("_m").over(w).alias("_m"))
     brier = lambda c: F.try_divide(F.col(c), F.col("_n"))
     side = held(0.5 + blend_strength * (brier("_r") - brier("_m")) / F.greatest(brier("_m"), F.lit(1e-6)), blend_low, blend_high)
-    out = scored.join(run.select("market", "_period", F.when(F.col("_n") >= blend_least, side).alias("_w")), ["market", "_period"])
+    weights = written(run.select(*week, F.when(F.col("_n") >= blend_least, side).alias("_w")), f"{root}/weights")
+    out = scored.join(weights, week)
     blended = both & F.col("_w").isNotNull()
     fallback = F.coalesce("prob_over_market", held(base, floor, cap))
     p = F.when(blended, held((1 - F.col("_w")) * F.col("prob_over_residual") + F.col("_w") * F.col("prob_over_market"), floor, cap)).otherwise(F.coalesce("prob_over_residual", fallback))

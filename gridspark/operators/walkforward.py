@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import odds
+from gridspark.sources.scratch import folder, written
 
 ALL = Window.unboundedPreceding
 
@@ -22,12 +23,16 @@ def before(df: DataFrame, season: str, week: str, at: tuple[int, int] | None) ->
     return df.filter((F.col(season) < at[0]) | ((F.col(season) == at[0]) & (F.col(week) < at[1])))
 
 
-def prior_rate(df: DataFrame, keys: list[str], period: str, y: str, out: str) -> DataFrame:
-    """Rate of ``y`` over all earlier periods of the key: sums per period, then a running sum of those."""
+def prior_rates(df: DataFrame, keys: list[str], period: str, y: str, out: str) -> DataFrame:
+    """A row per key and period with the rate of ``y`` over all earlier ones: sums per period, then a running sum of those."""
     per = df.groupBy(*keys, period).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))
     w = Window.partitionBy(*keys).orderBy(period).rowsBetween(ALL, -1)
-    rates = per.select(*keys, period, F.try_divide(F.sum("_s").over(w), F.sum("_c").over(w)).alias(out), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(f"{out}_n"))
-    return df.join(rates, [*keys, period], "left")
+    return per.select(*keys, period, F.try_divide(F.sum("_s").over(w), F.sum("_c").over(w)).alias(out), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(f"{out}_n"))
+
+
+def prior_rate(df: DataFrame, keys: list[str], period: str, y: str, out: str) -> DataFrame:
+    """Rows with the rate of ``y`` over all earlier periods of their key."""
+    return df.join(prior_rates(df, keys, period, y, out), [*keys, period], "left")
 
 
 def residual_cdf(
@@ -37,12 +42,16 @@ def residual_cdf(
 
     Periods are numbered. A residual joins the even nodes over its number in a binary tree, a point asks the nodes that together make
     up all earlier numbers: at most one a level. In a node all are put in order of value and counted along; nodes are cut into slices of
-    value, whose counts are carried over. So n rows make n log(periods) rows, and none is paired with another.
+    value, whose counts are carried over. So n different residuals make n log(periods) rows, and none is paired with another. Rows with the same
+    residual and point in a period are counted first; the shares come in a table of their own, which the rows meet without a sort where it is small.
     """
-    periods = df.select(F.col(period).alias("_p")).filter("_p is not null").distinct().withColumn("_i", F.row_number().over(Window.orderBy("_p")) - 1)
+    root = folder(df.sparkSession, "residuals")
+    cells = df.groupBy(*keys, period, F.col(residual).cast("double").alias("_r"), F.col(point).cast("double").alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
+    cells = written(cells, f"{root}/cells")
+    periods = cells.select(F.col(period).alias("_p")).filter("_p is not null").distinct().withColumn("_i", F.row_number().over(Window.orderBy("_p")) - 1)
     levels = max(1, int(periods.agg(F.max("_i")).first()[0] or 0).bit_length())
-    span = df.groupBy(*keys).agg(F.min(residual).alias("_lo"), F.max(residual).alias("_hi"))
-    placed = df.join(periods, F.col(period) == F.col("_p")).join(span, keys)
+    span = cells.groupBy(*keys).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+    placed = lambda table: table.join(periods, F.col(period) == F.col("_p")).join(span, keys)
     part = F.try_divide((F.col("_v") - F.col("_lo")) * slices, F.col("_hi") - F.col("_lo"))
     cut = F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor(F.coalesce(part, F.lit(0.0))))).cast("int").alias("_b")
     named = [F.col(k) for k in keys]
@@ -52,9 +61,10 @@ def residual_cdf(
         F.filter(every, lambda l: F.call_function("shiftright", F.col("_i"), l) % 2 == 1),
         lambda l: F.struct(l.alias("l"), (F.call_function("shiftright", F.col("_i"), l) - 1).alias("node")),
     )
-    history = placed.filter(F.col(residual).isNotNull()).select(*named, F.col(residual).cast("double").alias("_v"), F.lit(1).alias("_one"), F.explode(over).alias("_n"), "_lo", "_hi")
-    asked = placed.filter(F.col(point).isNotNull()).select(*named, "_i", F.col(point).cast("double").alias("_v"), "_lo", "_hi").distinct()
-    asking = asked.select(*named, "_v", F.lit(0).alias("_one"), "_i", F.explode(under).alias("_n"), "_lo", "_hi")
+    missed = cells.filter("_r is not null").groupBy(*keys, period, F.col("_r").alias("_v")).agg(F.sum("_c").alias("_one"))
+    history = placed(missed).select(*named, "_v", "_one", F.explode(over).alias("_n"), "_lo", "_hi")
+    asked = placed(cells.filter("_a is not null").select(*keys, period, F.col("_a").alias("_v")).distinct())
+    asking = asked.select(*named, "_v", F.lit(0).cast("long").alias("_one"), "_i", F.explode(under).alias("_n"), "_lo", "_hi")
     rows = history.unionByName(asking, allowMissingColumns=True).select(*named, "_n", "_v", "_one", "_i", cut)
     group = [*keys, "_n", "_b"]
     inside = Window.partitionBy(*group).orderBy(F.desc("_v"), "_one").rowsBetween(ALL, 0)
@@ -63,10 +73,10 @@ def residual_cdf(
     carried = counts.select(*group, F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_over")).repartition(*group)
     counted = rows.withColumn("_in", F.sum("_one").over(inside)).filter("_one = 0").join(carried, group)
     hits = counted.groupBy(*keys, "_i", "_v").agg(F.sum(F.col("_in") + F.col("_over")).alias("_hits"))
-    hits = hits.join(periods, "_i").select(*named, F.col("_p").alias(period), F.col("_v").alias("_at"), "_hits")
+    hits = written(hits.join(periods, "_i").select(*named, F.col("_p").alias(period), F.col("_v").alias("_at"), "_hits"), f"{root}/hits")
     w = Window.partitionBy(*keys).orderBy(period).rowsBetween(ALL, -1)
-    sizes = df.groupBy(*keys, period).agg(F.count(residual).alias("_c"))
-    sizes = sizes.select(*keys, period, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(f"{out}_n"))
+    sizes = cells.groupBy(*keys, period).agg(F.coalesce(F.sum(F.when(F.col("_r").isNotNull(), F.col("_c"))), F.lit(0)).alias("_c"))
+    sizes = written(sizes.select(*keys, period, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(f"{out}_n")), f"{root}/sizes")
     joined = df.withColumn("_at", F.col(point).cast("double")).join(hits, [*keys, period, "_at"], "left").join(sizes, [*keys, period], "left")
     n = F.col(f"{out}_n")
     return joined.withColumn(out, (F.coalesce("_hits", F.lit(0)) + shrink * base) / (n + shrink)).select(*df.columns, out, f"{out}_n")

@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import aggregates, grading, joins, lines, manifest, players, props
+from gridspark.operators import aggregates, grading, joins, lines, manifest, players, props, walkforward
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -127,3 +127,10 @@ def test_sums_of_offers_are_made_before_sets(spark):
     assert 0 < most(out, "Expand", "numOutputRows") <= 100
     got = {(r.market, r.sportsbook): (r.lines, r.matched, r.games, r.players, r.picks, round(r.mean_edge, 6), r.strict_prefix) for r in out.collect()}
     assert got["all", "all"] == got["rush_yards", "all"] == got["all", "dk"] == (300, 300, 1, 1, 298, -139.5, 300)
+
+
+def test_equal_residuals_are_counted_before_the_tree(spark):
+    df = spark.range(600).select(F.lit("k").alias("k"), (F.col("id") % 4).alias("w"), (F.col("id") % 3).cast("double").alias("r"), F.lit(0.5).alias("x"))
+    out = walkforward.residual_cdf(df, ["k"], "w", "r", "x", "o", shrink=1.0, base=0.0)
+    assert most(out, "Generate", "numOutputRows") <= 20 and most(out, "SortMergeJoin", "numOutputRows") == 0
+    assert {(r.w, r.o, r.o_n) for r in out.collect()} == {(w, 100 * w / (150 * w + 1), 150 * w) for w in range(4)} and out.count() == 600
