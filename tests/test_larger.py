@@ -7,7 +7,7 @@ from functools import reduce
 import duckdb
 from pyspark.sql import functions as F
 
-from gridspark.operators import aggregates, grading, joins, lines, manifest, players, props, walkforward, weather
+from gridspark.operators import aggregates, football, grading, joins, lines, manifest, players, props, walkforward, weather
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -156,3 +156,20 @@ def test_weather_mean_of_what_is_no_decimal(spark):
         a, b = df.select(weather.exact_mean(F.col("v")), F.avg("v")).first()
         assert str(a) == str(b)
     assert spark.createDataFrame([(None,)], "v double").select(weather.exact_mean(F.col("v"))).first()[0] is None
+
+
+def test_drives_are_dealt_once_in_tasks_of_so_many_plays(spark, monkeypatch):
+    """No sums before the shuffle, where a drive's few plays would make as many groups as rows, and one shuffle for drives, their order and games."""
+    monkeypatch.setattr(football, "TASK_PLAYS", 50)
+    flags = {c: (F.col("id") % n == 0).cast("int") for c, n in (("drive_ended_with_score", 5), ("drive_inside20", 3), ("touchdown", 7))}
+    pbp = spark.range(2000).select(
+        F.lit(2020).alias("season"), (F.col("id") % 17).alias("week"), (F.col("id") % 170).alias("game_id"), (F.col("id") % 2).alias("posteam"), (1 - F.col("id") % 2).alias("defteam"),
+        F.floor(F.col("id") / 500).alias("drive"), (F.col("id") % 9 - 4.0).alias("epa"), (F.col("id") % 40).alias("yardline_100"), *[c.alias(n) for n, c in flags.items()],
+    )
+    out = football.drive_epa(pbp)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan.split("Exchange")[1]
+    assert f", {2000 // 50}), REPARTITION_BY_NUM" in plan
+    assert "REPARTITION_BY_NUM" in football.red_zone(pbp)._jdf.queryExecution().executedPlan().toString()
+    got = {r.game_id: r for r in out.collect()}
+    assert len(got) == 170 and sum(r.drives * r.plays_per_drive for r in got.values()) == 2000 and got[0].opening_epa == sum(i % 9 - 4.0 for i in range(0, 500, 170))
