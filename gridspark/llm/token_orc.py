@@ -52,8 +52,8 @@ class Encoder:
         self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) or r"(?!)")
-        #: Of a chunk met before: its ids, or None where its edges are no place to cut.
-        self.known: dict[str, bytes | None] = {}
+        #: Of a chunk met before: its ids, or nothing where its edges are no place to cut.
+        self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,8 +64,8 @@ class Encoder:
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(chunks):
             return self._library([" " + c for c in chunks])
-        ends = np.append(starts[1:], len(ids))
-        return [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        made, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
+        return [made[a:b] for a, b in zip((starts * 4).tolist(), ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
@@ -73,16 +73,20 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2, None))
         cut = [t.split(" ") for t in texts]
-        new = list(set(chain.from_iterable(c[1:] for c in cut)).difference(self.known))
-        visible = [_visible(c) for c in new]
-        good = [c for c, v in zip(new, visible, strict=True) if v]
-        self.known.update(dict.fromkeys(c for c, v in zip(new, visible, strict=True) if not v))
-        self.known.update(zip(good, self._behind_space(good) if good else (), strict=True))
-        ids = self.known.__getitem__
+        # each chunk of the batch is looked up once among all that are remembered, and then in a table that fits the processor's cache
+        batch = set(chain.from_iterable(c[1:] for c in cut))
+        here = dict(zip(batch, map(self.known.get, batch), strict=True))
+        new = [c for c, ids in here.items() if ids is None]
+        good = [c for c in new if _visible(c)]
+        learnt = dict.fromkeys(new, b"")
+        learnt.update(zip(good, self._behind_space(good) if good else (), strict=True))
+        here.update(learnt)
+        self.known.update(learnt)
+        unsafe = not all(here.values())
         found: list[bytes | None] = []
         for text, chunks in zip(texts, cut, strict=True):
-            rest = list(map(ids, chunks[1:]))
-            safe = len(chunks) == 1 or (_visible(chunks[0]) and None not in rest)
+            rest = list(map(here.__getitem__, chunks[1:]))
+            safe = len(chunks) == 1 or (_visible(chunks[0]) and not (unsafe and b"" in rest))
             found.append(b"".join(rest) if safe and not self.special.search(text) else None)
         alone = [t if f is None else c[0] for t, f, c in zip(texts, found, cut, strict=True)]
         for chunk in new:

@@ -84,3 +84,22 @@ def test_edges(spark, tmp_path, rows):
     docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
     got = T.encode_to_orc(docs, str(tmp_path / "t"), VOCABULARY).collect()
     assert sorted((r.start, r.n_tokens) for r in got) == ([(0, 1), (1, 3), (4, 3)] if rows else [])
+
+
+def test_chunks_are_looked_up_once_a_batch():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key):
+            Counted.looked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    encoder, plain = T.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    encoder.known, batch = Counted(), ["a" + " word, other" * 500, "b other", "c \x1c d other"]
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(batch)] == [plain.encode(t, add_special_tokens=False).ids for t in batch]
+    assert Counted.looked == 2 * len({"word,", "other", "\x1c", "d"})
