@@ -24,7 +24,7 @@ from gridspark.llm.common import Scratch, one_thread
 #: Pieces whose ids a worker remembers, about 200 bytes each, and their greatest length; beyond, the older half is forgotten. Of chunks the first ones met, about an eighth as many.
 REMEMBERED, CHUNK_CHARS = 800_000, 64
 #: Bytes of text that are encoded at a time, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 256 << 20
 
