@@ -137,20 +137,45 @@ def gap_audit(a: DataFrame, b: DataFrame, keys: list[str], reason_a: str, reason
     return left.unionByName(right)
 
 
+#: Widths of the cubes in which near places are looked for: the radius and its halves, so many in all.
+CUBE_WIDTHS = 10
+AXES = ("x", "y", "z")
+
+
+def _located(df: DataFrame, key: str, radius_km: float) -> DataFrame:
+    """(``key``, lat, lon, x, y, z): rows with coordinates as points in space, in radii."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    points = df.select(F.col(key), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return points.withColumns({a: v * geo.EARTH_KM / radius_km for a, v in axes.items()}).filter("NOT isnan(x + y + z)")
+
+
+def _in_cubes(points: DataFrame, level: Column) -> DataFrame:
+    """Points with their cube of a level, whose width is the radius halved so often."""
+    return points.withColumn("_level", level).withColumns({f"_{a}": F.floor(F.col(a) * F.pow(F.lit(2.0), F.col("_level"))) for a in AXES})
+
+
 def nearest_places(left: DataFrame, right: DataFrame, row: str, place: str, n: int, radius_km: float) -> DataFrame:
     """(``row``, ``place``, km, rank): of every left row the ``n`` right places nearest to it within ``radius_km``; those that are equally far to a tenth of a millimetre by ``place``.
 
-    Both sides have lat and lon. Points lie on the sphere in space, which is cut into cubes as wide as the radius: a left row looks into its own cube and those around it, so that
-    the join is one on equality, and poles and the date line are no edges. Rows without coordinates find nothing.
+    Both sides have lat and lon. Points lie on the sphere in space, which is cut into cubes: a left row looks into its own cube and those around it, so that the join is one on equality, and poles
+    and the date line are no edges. Cubes are as wide as the radius, or smaller where places are dense: if a row's cube holds ``n`` places, none of the nearest is farther than the cube's diagonal, and cubes twice as wide and
+    those around them hold all that are nearer than that. Rows of one position are looked up once, and of the places of one position only the first ``n`` can be among the nearest. Rows without coordinates find nothing.
     """
-    lat, lon = F.radians(F.col("lat").cast("double")), F.radians(F.col("lon").cast("double"))
-    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
-    cube = [F.floor(v * geo.EARTH_KM / radius_km).alias(f"_{a}") for a, v in axes.items()]
-    a = left.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(row), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *cube)
-    b = right.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(place), "lat", "lon", *cube)
-    for axis in axes:
-        a = a.withColumn(f"_{axis}", F.explode(F.array(*[F.col(f"_{axis}") + d for d in (-1, 0, 1)])))
+    levels = F.explode(F.array(*[F.lit(i) for i in range(CUBE_WIDTHS) if i == 0 or radius_km / 2**i > 0.001]))
+    cube, at = ["_level", *[f"_{a}" for a in AXES]], ["_lat", "_lon"]
+    rows = _located(left, row, radius_km).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(place))
+    places = _in_cubes(_located(right, place, radius_km).withColumn("_n", first).filter(F.col("_n") <= n), levels).select(F.col(place), "lat", "lon", *cube)
+    full = places.groupBy(*cube).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+    asked = _in_cubes(rows.groupBy(*at).agg(*[F.first(a).alias(a) for a in AXES]), levels).join(full, cube, "left")
+    finest = asked.groupBy(*at).agg(F.max(F.when(F.col("_n").isNotNull(), F.col("_level"))).alias("_full"), *[F.first(a).alias(a) for a in AXES])
+    looking = _in_cubes(finest, F.greatest(F.col("_full") - 1, F.lit(0))).select(*at, *cube)
+    for c in cube[1:]:
+        looking = looking.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
     km = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    met = a.join(b, [f"_{axis}" for axis in axes]).withColumn("km", km).filter(F.col("km") <= radius_km)
-    rank = F.row_number().over(Window.partitionBy(row).orderBy(F.round("km", 7), place))
-    return met.select(row, place, "km").withColumn("rank", rank).filter(F.col("rank") <= n)
+    met = looking.join(places.hint("merge"), cube).withColumn("km", km).filter(F.col("km") <= radius_km)
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("km", 7), place))
+    near = met.select(*at, place, "km").withColumn("rank", rank(*at)).filter(F.col("rank") <= n)
+    found = rows.select(row, *at).join(near, at).select(row, place, "km")
+    return found.withColumn("rank", rank(row)).filter(F.col("rank") <= n)

@@ -5,8 +5,10 @@ from decimal import Decimal
 from functools import reduce
 
 import duckdb
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridspark.functions import geo
 from gridspark.operators import aggregates, football, grading, joins, lines, manifest, players, props, walkforward, weather
 from gridspark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
@@ -173,3 +175,18 @@ def test_drives_are_dealt_once_in_tasks_of_so_many_plays(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in football.red_zone(pbp)._jdf.queryExecution().executedPlan().toString()
     got = {r.game_id: r for r in out.collect()}
     assert len(got) == 170 and sum(r.drives * r.plays_per_drive for r in got.values()) == 2000 and got[0].opening_epa == sum(i % 9 - 4.0 for i in range(0, 500, 170))
+
+
+def test_places_are_looked_for_where_they_are_dense(spark):
+    """Rows and places of one position, dense and lone ones, a pole, equal keys, and what has no coordinates; against all pairs."""
+    rng = random.Random(5)
+    near = lambda n: [(50 + rng.random() * 4, 5 + rng.random() * 4) for _ in range(n)]
+    odd = [(-90.0, 10.0), (-89.5, -170.0), (0.0, 180.0), (-0.0, -179.9), (45.0, 5.0), (None, 1.0), (float("nan"), 1.0)]
+    left = spark.createDataFrame([(i % 390, *p) for i, p in enumerate([*near(300), *[(51.0, 6.0)] * 100, *odd])], "a int, lat double, lon double")
+    right = spark.createDataFrame([(i, *p) for i, p in enumerate([*near(600), *[(51.0, 6.0)] * 50, *odd])], "b int, lat double, lon double")
+    out = joins.nearest_places(left, right, "a", "b", 3, 900.0)
+    assert join_rows(out) <= 100_000
+    all_pairs = left.select("a", F.col("lat").alias("x"), F.col("lon").alias("y")).crossJoin(right).withColumn("km", geo.haversine_km(F.col("x"), F.col("y"), F.col("lat"), F.col("lon"))).filter("km <= 900")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.round("km", 7), "b"))
+    want = all_pairs.withColumn("rank", rank).filter("rank <= 3").select("a", "b", "km", "rank")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1000
