@@ -168,7 +168,7 @@ def nearest_places(left: DataFrame, right: DataFrame, row: str, place: str, n: i
     first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(place))
     places = _in_cubes(_located(right, place, radius_km).withColumn("_n", first).filter(F.col("_n") <= n), levels).select(F.col(place), "lat", "lon", *cube)
     full = places.groupBy(*cube).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
-    asked = _in_cubes(rows.groupBy(*at).agg(*[F.first(a).alias(a) for a in AXES]), levels).join(full, cube, "left")
+    asked = _in_cubes(rows.groupBy(*at).agg(*[F.first(a).alias(a) for a in AXES]), levels).join(full.hint("merge"), cube, "left")
     finest = asked.groupBy(*at).agg(F.max(F.when(F.col("_n").isNotNull(), F.col("_level"))).alias("_full"), *[F.first(a).alias(a) for a in AXES])
     looking = _in_cubes(finest, F.greatest(F.col("_full") - 1, F.lit(0))).select(*at, *cube)
     for c in cube[1:]:
